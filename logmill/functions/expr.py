@@ -26,13 +26,16 @@ def hits(c: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [c.contains(w).cast("int") for w in words])
 
 
-def first_best(scores: dict[str, Column], otherwise: Column) -> Column:
-    """Name of the highest positive score; on equal scores the first name."""
-    best = F.greatest(*scores.values())
-    out = F.when(best <= 0, otherwise)
-    for name, score in scores.items():
-        out = out.when(score == best, F.lit(name))
-    return out
+def best_of(scores: dict[str, Column]) -> Column:
+    """(score, priority, name) of the highest score; on equal scores the first
+    name. Each score is written into the plan once."""
+    ranked = enumerate(scores.items())
+    return F.greatest(
+        *[
+            F.struct(score.alias("score"), F.lit(-i).alias("priority"), F.lit(name).alias("name"))
+            for i, (name, score) in ranked
+        ]
+    )
 
 
 def any_word(words: list[str]) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logmill.functions import dims
-from logmill.functions.expr import contains_any, extension, first_best, hits
+from logmill.functions.expr import best_of, contains_any, extension, hits
 
 
 def _confident(category: Column, confidence: Column) -> Column:
@@ -23,20 +23,33 @@ def log_fast_path(name: Column, text: Column) -> Column:
     )
 
 
-def keyword_file_class(name: Column, text: Column) -> Column:
-    """Best keyword score of four classes, or the extension's default."""
-    head = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, dims.CLASSIFY_CHARS))
-    scores = {c: hits(head, words) for c, words in dims.CLASS_KEYWORDS.items()}
-    best = F.greatest(*scores.values())
-    plain = extension(name).isin("log", "txt")
-    return F.when(
-        best > 0,
-        _confident(first_best(scores, F.lit(None)), F.least(best / F.lit(10.0), F.lit(0.9))),
+def keyword_file_class(files: DataFrame, unless: Column | None = None) -> DataFrame:
+    """Adds ``_class`` (category, confidence): the best keyword score of four
+    classes, or the extension's default.
+
+    The scores become columns before they are compared, so each keyword is
+    looked for once. Rows where ``unless`` holds are not searched.
+    """
+    head = F.lower(F.substring(F.coalesce(F.col("text"), F.lit("")), 1, dims.CLASSIFY_CHARS))
+    if unless is not None:
+        head = F.when(~unless, head)
+    scores = {c: hits(F.col("_head"), words) for c, words in dims.CLASS_KEYWORDS.items()}
+    best = F.col("_best")
+    plain = extension(F.col("name")).isin("log", "txt")
+    found = F.when(
+        best["score"] > 0,
+        _confident(best["name"], F.least(best["score"] / F.lit(10.0), F.lit(0.9))),
     ).otherwise(
         F.when(plain, _confident(F.lit("log"), F.lit(0.6))).otherwise(
             _confident(F.lit("other_document"), F.lit(0.5))
         )
     )
+    return (
+        files.withColumn("_head", head)
+        .withColumn("_best", best_of(scores))
+        .withColumn("_class", found)
+        .drop("_head", "_best")
+    )
 
 
 def normalize_label(label: Column) -> Column:
@@ -58,17 +71,20 @@ def classify_files(files: DataFrame) -> DataFrame:
 
     Optional columns ``label`` and ``score`` hold a model's answer.
     """
-    name, text = F.col("name"), F.col("text")
-    choices = [log_fast_path(name, text)]
+    given = F.lit(None).cast("struct<category:string,confidence:double>")
     if "label" in files.columns:
-        choices.append(
-            F.when(
-                F.col("label").isNotNull(),
-                _confident(normalize_label(F.col("label")), F.col("score").cast("double")),
-            )
+        given = F.when(
+            F.col("label").isNotNull(),
+            _confident(normalize_label(F.col("label")), F.col("score").cast("double")),
         )
-    choices.append(keyword_file_class(name, text))
-    return files.withColumn("_c", F.coalesce(*choices)).select(*files.columns, "_c.*")
+    known = files.withColumn(
+        "_known", F.coalesce(log_fast_path(F.col("name"), F.col("text")), given)
+    )
+    return (
+        keyword_file_class(known, unless=F.col("_known").isNotNull())
+        .withColumn("_c", F.coalesce("_known", "_class"))
+        .select(*files.columns, "_c.*")
+    )
 
 
 def log_like_tables(table_columns: DataFrame) -> DataFrame:

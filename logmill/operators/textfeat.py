@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logmill.functions import dims
-from logmill.functions.expr import clean_line, first_best, hits, strip, tokens, with_bigrams
+from logmill.functions.expr import best_of, clean_line, hits, strip, tokens, with_bigrams
 
 ENGLISH = dims.ENGLISH_STOP_WORDS
 LINE_STOPS = dims.ENGLISH_STOP_WORDS + dims.LINE_STOP_WORDS
@@ -302,4 +302,5 @@ def category_by_domain(text: Column) -> Column:
     """The domain with most keyword hits; none: T10."""
     low = F.lower(text)
     scores = {c: hits(low, words) for c, words in dims.DOMAIN_KEYWORDS.items()}
-    return first_best(scores, category_dynamic(text))
+    best = best_of(scores)
+    return F.when(best["score"] > 0, best["name"]).otherwise(category_dynamic(text))

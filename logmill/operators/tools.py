@@ -156,17 +156,11 @@ def peak_hour(lines: DataFrame, year: int) -> DataFrame:
 
 
 def _pattern_matches(lines: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    found = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.regexp_extract_all("line", F.lit(rx), F.lit(0)),
-                    lambda v, kind=kind: F.struct(F.lit(kind).alias("kind"), v.alias("value")),
-                )
-                for kind, rx in patterns.items()
-            ]
-        )
-    )
+    def matches(kind: str, pattern: str) -> Column:
+        values = F.regexp_extract_all("line", F.lit(pattern), F.lit(0))
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    found = F.flatten(F.array(*[matches(kind, rx) for kind, rx in patterns.items()]))
     return (
         lines.select("file_id", "line_no", F.posexplode_outer(found).alias("pos", "m"))
         .where(F.col("m").isNotNull())
