@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -43,8 +44,30 @@ def any_word(words: list[str]) -> str:
     return rf"(?i)(?<!{WORD})(?:{'|'.join(words)})(?!{WORD})"
 
 
-def attack_regex(category: str) -> str:
-    return f"(?i)(?:{'|'.join(dims.ATTACK_PATTERNS[category])})"
+def has_word(text: Column, low: Column, words: list[str]) -> Column:
+    """Whether one of the words occurs as a whole word. ``low`` is the text in
+    lower case: a substring search rules most lines out before the regex runs."""
+    stems = [w.lower() for w in words]
+    stems = [w for w in stems if not any(o != w and o in w for o in stems)]
+    return contains_any(low, stems) & text.rlike(any_word(words))
+
+
+def matches_pattern(text: Column, low: Column, pattern: str) -> Column:
+    """Search for a pattern made of literal pieces with optional blanks between.
+
+    The pieces are looked for as substrings of ``low``; only where all occur and
+    blanks matter does the regex itself run.
+    """
+    pieces = [re.sub(r"\\(.)", r"\1", p).lower() for p in re.split(r"\\s[+*]", pattern)]
+    found = reduce(lambda a, b: a & b, [low.contains(p) for p in pieces if p])
+    return found if len(pieces) == 1 else found & text.rlike(f"(?i){pattern}")
+
+
+def matches_attack(text: Column, low: Column, category: str) -> Column:
+    return reduce(
+        lambda a, b: a | b,
+        [matches_pattern(text, low, p) for p in dims.ATTACK_PATTERNS[category]],
+    )
 
 
 def first_match(c: Column, pattern: str) -> Column:
@@ -60,9 +83,9 @@ def parse_line_timestamp(ts: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(ts, r"\s+", " "), F.lit("yyyy-MM-dd HH:mm:ss"))
 
 
-def line_level(line: Column) -> Column:
-    return F.when(line.rlike(any_word(dims.ERROR_WORDS)), F.lit("ERROR")).when(
-        line.rlike(any_word(dims.WARNING_WORDS)), F.lit("WARNING")
+def line_level(line: Column, low: Column) -> Column:
+    return F.when(has_word(line, low, dims.ERROR_WORDS), F.lit("ERROR")).when(
+        has_word(line, low, dims.WARNING_WORDS), F.lit("WARNING")
     )
 
 

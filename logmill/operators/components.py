@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from logmill.session import round_tables
@@ -25,18 +25,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the number of rounds grows with the logarithm of the longest path.
     """
     write = round_tables(edges.sparkSession, "components")
-    pairs = write(
+
+    def settle(df: DataFrame):
+        """One round's edges, written, with a fingerprint taken on the way."""
+        seen = Observation()
+        key = F.xxhash64("u", "v")
+        out = write(df.observe(seen, F.count("*").alias("n"), F.bit_xor(key).alias("x"), F.max(key).alias("m")))
+        return out, seen.get
+
+    pairs, before = settle(
         edges.where(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-
-    def state(df: DataFrame):
-        return df.agg(
-            F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1000003)
-        ).first()
-
-    before = state(pairs)
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (
@@ -45,13 +46,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         small = _to_least_neighbour(large, F.lit(True))
-        pairs = write(
+        pairs, after = settle(
             small.where(F.col("v") != F.col("m"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        after = state(pairs)
         if after == before:
             break
         before = after

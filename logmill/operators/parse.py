@@ -15,10 +15,10 @@ from pyspark.sql.window import Window
 
 from logmill.functions import dims
 from logmill.functions.expr import (
-    attack_regex,
     contains_any,
     line_level,
     line_timestamp,
+    matches_attack,
     parse_line_timestamp,
     strip,
 )
@@ -26,10 +26,23 @@ from logmill.functions.expr import (
 _ATTACKS = list(dims.ATTACK_PATTERNS)
 
 
-def _flags(line: Column) -> dict[str, Column]:
-    """One boolean per attack category. Kept as plain columns of a projection,
-    each regex runs once per line and the stage stays in generated code."""
-    return {f"_a{no}": line.rlike(attack_regex(name)) for no, name in enumerate(_ATTACKS, start=1)}
+def _flagged(lines: DataFrame, text: str) -> DataFrame:
+    """Adds ``_low`` and one boolean per attack category (``_a1`` ...).
+
+    Kept as plain columns of a projection, each test runs once per line and
+    the stage stays in generated code.
+    """
+    low = lines.withColumn("_low", F.lower(text))
+    return low.withColumns(
+        {
+            f"_a{no}": matches_attack(F.col(text), F.col("_low"), name)
+            for no, name in enumerate(_ATTACKS, start=1)
+        }
+    )
+
+
+def _flags() -> list[Column]:
+    return [F.col(f"_a{no}") for no in range(1, len(_ATTACKS) + 1)]
 
 
 def _hit_structs() -> list[Column]:
@@ -49,14 +62,14 @@ def line_times(lines: DataFrame) -> DataFrame:
 
 def line_levels(lines: DataFrame) -> DataFrame:
     """ERROR, WARNING or null for each line."""
-    return lines.select("file_id", "line_no", line_level(F.col("line")).alias("level"))
+    low = lines.withColumn("_low", F.lower("line"))
+    return low.select("file_id", "line_no", line_level(F.col("line"), F.col("_low")).alias("level"))
 
 
 def scan_signatures(lines: DataFrame) -> DataFrame:
     """Findings, at most one per line and attack category."""
     return (
-        lines.select("file_id", "line_no", "line")
-        .withColumns(_flags(F.col("line")))
+        _flagged(lines.select("file_id", "line_no", "line"), "line")
         .select("file_id", "line_no", "line", F.explode(F.array(*_hit_structs())).alias("hit"))
         .where(F.col("hit").isNotNull())
         .select(
@@ -75,16 +88,17 @@ def extract_events(lines: DataFrame) -> DataFrame:
     Gives ``file_id, line_no, category_no, entry_type, vuln_type, message,
     logged_on, logged_ts``; ``category_no`` is 0 for level events.
     """
-    no_attack = ~reduce(lambda a, b: a | b, [F.col(f"_a{n}") for n in range(1, len(_ATTACKS) + 1)])
-    level = F.when(no_attack, line_level(F.col("text")))
+    no_attack = ~reduce(lambda a, b: a | b, _flags())
+    level = F.when(no_attack, line_level(F.col("text"), F.col("_low")))
     level_hit = F.when(
         F.col("_level").isNotNull(),
         F.struct(F.lit(0).alias("category_no"), F.col("_level").alias("type")),
     )
+    texts = lines.select("file_id", "line_no", strip(F.col("line")).alias("text")).where(
+        F.col("text") != ""
+    )
     found = (
-        lines.select("file_id", "line_no", strip(F.col("line")).alias("text"))
-        .where(F.col("text") != "")
-        .withColumns(_flags(F.col("text")))
+        _flagged(texts, "text")
         .withColumn("_level", level)
         .select("file_id", "line_no", "text", F.explode(F.array(*_hit_structs(), level_hit)).alias("hit"))
         .where(F.col("hit").isNotNull())
@@ -123,8 +137,12 @@ def scan_summary(lines: DataFrame) -> DataFrame:
     Clean files count too, so the findings are counted per file in the same
     pass as the lines; the file totals then add up in a small second step.
     """
-    findings = reduce(lambda a, b: a + b, [f.cast("long") for f in _flags(F.col("line")).values()])
-    per_file = lines.groupBy("file_id").agg(F.sum(findings).alias("n"))
+    findings = reduce(lambda a, b: a + b, [f.cast("long") for f in _flags()])
+    per_file = (
+        _flagged(lines.select("file_id", "line"), "line")
+        .groupBy("file_id")
+        .agg(F.sum(findings).alias("n"))
+    )
     return per_file.agg(
         F.count("*").alias("files_scanned"),
         F.sum((F.col("n") > 0).cast("long")).alias("files_with_findings"),

@@ -63,88 +63,50 @@ def term_counts(
 def vocabulary(
     rows: DataFrame, max_terms: int = dims.MAX_TERMS, stop_words: list[str] = LINE_STOPS
 ) -> DataFrame:
-    """The ``max_terms`` most frequent words over all rows: (term, n, df).
+    """The ``max_terms`` most frequent words over all rows: (term, n, df, idf).
 
-    One pass: each word adds to ``n``, each distinct word of a row to ``df``.
+    One pass: all words of a row count for ``n``, its distinct words for ``df``.
+    A column ``copies`` lets one row stand for several.
+    idf = ln((1 + rows) / (1 + df)) + 1.
     """
-    words = tokens(F.col("text"), stop_words)
-    both = F.concat(
-        F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("df"))),
-        F.transform(
-            F.array_distinct(words),
-            lambda w: F.struct(w.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("df")),
-        ),
-    )
+    copies = F.col("copies") if "copies" in rows.columns else F.lit(1).cast("long")
+    rows = rows.select("text", copies.alias("copies"))
+    total = rows.agg(F.sum("copies")).scalar()
     return (
-        rows.select(F.explode(both).alias("t"))
-        .groupBy("t.term")
-        .agg(F.sum("t.n").alias("n"), F.sum("t.df").alias("df"))
+        rows.select("copies", tokens(F.col("text"), stop_words).alias("words"))
+        .select("copies", F.posexplode(F.array("words", F.array_distinct("words"))).alias("kind", "part"))
+        .select("copies", "kind", F.explode("part").alias("term"))
+        .groupBy("term")
+        .agg(
+            F.sum(F.when(F.col("kind") == 0, F.col("copies")).otherwise(0)).alias("n"),
+            F.sum(F.when(F.col("kind") == 1, F.col("copies")).otherwise(0)).alias("df"),
+        )
         .orderBy(F.col("n").desc(), "term")
         .limit(max_terms)
+        .withColumn("idf", F.log((1 + total) / (1 + F.col("df"))) + 1)
     )
 
 
-def tfidf_rows(
+def tfidf(
     rows: DataFrame, max_terms: int = dims.MAX_TERMS, stop_words: list[str] = LINE_STOPS
 ) -> DataFrame:
-    """Per row an array of (term, n, weight) in term order.
+    """T4: (row_id, term, n, weight), rows of unit length.
 
-    The vocabulary has at most ``max_terms`` entries, so it is fetched and put
-    into the plan as literals; the rows themselves are never shuffled.
+    The words meet the vocabulary in a broadcast join (at most ``max_terms``
+    rows) and are then shuffled once, by row: the counts and the lengths both
+    use that partitioning.
     """
-    top = vocabulary(rows, max_terms, stop_words).collect()
-    total = rows.count()
-    kept = [c for c in rows.columns if c != "text"]
-    empty = F.lit([]).cast("array<struct<term:string,n:int,weight:double>>")
-    if not top:
-        return rows.select(*kept, empty.alias("terms"))
-    # idf = ln((1 + rows) / (1 + df)) + 1
-    idf = F.create_map(
-        *[
-            part
-            for r in top
-            for part in (F.lit(r["term"]), F.lit(float(np.log((1 + total) / (1 + r["df"])) + 1)))
-        ]
-    )
-    known = F.filter(tokens(F.col("text"), []), lambda w: w.isin([r["term"] for r in top]))
-    counted = F.transform(
-        F.array_sort(F.array_distinct(F.col("_known"))),
-        lambda t: F.struct(
-            t.alias("term"),
-            F.size(F.filter(F.col("_known"), lambda w: w == t)).alias("n"),
-            F.element_at(idf, t).alias("idf"),
-        ),
-    )
-    norm = F.sqrt(
-        F.aggregate(
-            F.col("_counted"), F.lit(0.0), lambda s, t: s + t["n"] * t["idf"] * t["n"] * t["idf"]
-        )
-    )
-    weighed = F.transform(
-        F.col("_counted"),
-        lambda t: F.struct(
-            t["term"].alias("term"),
-            t["n"].alias("n"),
-            (t["n"] * t["idf"] / F.col("_norm")).alias("weight"),
-        ),
-    )
-    return (
-        rows.select(*kept, known.alias("_known"))
-        .select(*kept, counted.alias("_counted"))
-        .select(*kept, "_counted", norm.alias("_norm"))
-        .select(*kept, weighed.alias("terms"))
+    terms = vocabulary(rows, max_terms, stop_words).select("term", "idf")
+    counts = (
+        rows.select("row_id", F.explode(tokens(F.col("text"), stop_words)).alias("term"))
+        .join(F.broadcast(terms), "term")
+        .repartition("row_id")
+        .groupBy("row_id", "term", "idf")
+        .agg(F.count("*").alias("n"))
+        .withColumn("w", F.col("n") * F.col("idf"))
     )
-
-
-def tfidf(
-    rows: DataFrame, max_terms: int = dims.MAX_TERMS, stop_words: list[str] = LINE_STOPS
-) -> DataFrame:
-    """T4 in long form: (row_id, term, n, weight), rows of unit length."""
-    weighed = tfidf_rows(rows, max_terms, stop_words)
-    kept = [c for c in weighed.columns if c != "terms"]
-    return weighed.select(*kept, F.explode_outer("terms").alias("t")).where(
-        F.col("t").isNotNull()
-    ).select(*kept, "t.term", "t.n", "t.weight")
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("row_id")))
+    return counts.select("row_id", "term", "n", (F.col("w") / length).alias("weight"))
 
 
 def keyword_candidates(docs: DataFrame) -> DataFrame:

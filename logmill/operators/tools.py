@@ -75,31 +75,34 @@ def top_row_values(table: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def event_time(line: Column, year: int) -> Column:
-    """The first timestamp of a line in any of four shapes, as a timestamp.
+def _first_time(line: Column) -> Column:
+    """The leftmost timestamp of a line in any of four shapes, blanks squeezed."""
+    found = first_match(line, "|".join(f"(?:{rx})" for rx, _ in dims.TIME_SHAPES.values()))
+    return F.regexp_replace(found, r"\s+", " ")
 
-    The leftmost match decides; a shape without a year gets ``year``.
-    """
-    shapes = dims.TIME_SHAPES
-    found = first_match(line, "|".join(f"(?:{rx})" for rx, _ in shapes.values()))
-    blanks = F.regexp_replace(found, r"\s+", " ")
-    parsed = [
+
+def _parsed_time(found: Column, year: int) -> Column:
+    """The timestamp of a match; a shape without a year gets ``year``."""
+    patterns = {shape: F.lit(pattern) for shape, (_, pattern) in dims.TIME_SHAPES.items()}
+    # The shapes differ in one character each: T, a letter, a slash, a dash.
+    return (
         F.when(
-            found.rlike(f"^(?:{rx})$"),
-            F.try_to_timestamp(
-                F.concat(F.lit(f"{year} "), blanks) if shape == "syslog" else blanks,
-                F.lit(pattern),
-            ),
+            F.substring(found, 1, 1) > "9",
+            F.try_to_timestamp(F.concat(F.lit(f"{year} "), found), patterns["syslog"]),
         )
-        for shape, (rx, pattern) in shapes.items()
-    ]
-    return F.coalesce(*parsed)
+        .when(F.substring(found, 3, 1) == "/", F.try_to_timestamp(found, patterns["common"]))
+        .when(F.substring(found, 11, 1) == "T", F.try_to_timestamp(found, patterns["iso_t"]))
+        .otherwise(F.try_to_timestamp(found, patterns["iso"]))
+    )
 
 
 def timed_lines(lines: DataFrame, year: int) -> DataFrame:
-    return lines.select(
-        "file_id", "line_no", event_time(F.col("line"), year).alias("ts")
-    ).where(F.col("ts").isNotNull())
+    """(file_id, line_no, ts); ``ts`` is null where a line has no time."""
+    # Nulls are left to the aggregates: a filter on ts would be pushed below
+    # and run every regex twice.
+    return lines.select("file_id", "line_no", _first_time(F.col("line")).alias("_found")).select(
+        "file_id", "line_no", _parsed_time(F.col("_found"), year).alias("ts")
+    )
 
 
 def timeline_text(lines: DataFrame, year: int) -> DataFrame:
@@ -107,7 +110,8 @@ def timeline_text(lines: DataFrame, year: int) -> DataFrame:
     return (
         timed_lines(lines, year)
         .groupBy("file_id")
-        .agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("events"))
+        .agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("ts").alias("events"))
+        .where(F.col("events") > 0)
         .withColumn(
             "duration_seconds", F.unix_timestamp("end_ts") - F.unix_timestamp("start_ts")
         )
@@ -140,7 +144,8 @@ def hourly_histogram(lines: DataFrame, year: int) -> DataFrame:
     return (
         timed_lines(lines, year)
         .groupBy("file_id", F.hour("ts").alias("hour"))
-        .agg(F.count("*").alias("events"))
+        .agg(F.count("ts").alias("events"))
+        .where(F.col("events") > 0)
     )
 
 

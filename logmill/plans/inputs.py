@@ -56,7 +56,7 @@ def _rendered(spark: SparkSession, sf_dir: str, time: Column) -> DataFrame:
     kind = F.col("event_type")
     level = F.when(kind == "error", "ERROR").when(kind == "signup", "WARN").otherwise("INFO")
     number = F.floor(F.col("event_id") / LINES_PER_FILE).cast("long")
-    return load(spark, sf_dir, "events").select(
+    return spread(load(spark, sf_dir, "events"), "event_id").select(
         F.col("event_id").alias("row_id"),
         "value",
         F.concat(F.lit("evt-"), _str(number), F.lit(".log")).alias("file_id"),

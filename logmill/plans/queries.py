@@ -631,7 +631,7 @@ def template_clusters(spark, sf_dir):
 @query
 def density_clusters_lines(spark, sf_dir):
     rows = inputs.doc_line_rows(spark, sf_dir)
-    return cluster.density_clusters_lines(textfeat.tfidf_rows(rows), LINE_EPS)
+    return cluster.density_clusters_lines(rows, LINE_EPS)
 
 
 @query

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logmill.functions.expr import clean_line
 from logmill.operators import classify, cluster, enrich, metadata, parse, retrieval, textfeat
+from logmill.session import materialize
 
 
 def security_scan(lines: DataFrame, files: DataFrame, api: bool = False) -> DataFrame:
@@ -34,7 +35,9 @@ def ingest(files: DataFrame, table_columns: DataFrame | None = None) -> DataFram
 
 def summaries_by_weight(docs: DataFrame) -> DataFrame:
     """Summaries from the heaviest terms (no vector model)."""
-    weights = textfeat.tfidf(docs, stop_words=textfeat.ENGLISH)
+    weights = textfeat.tfidf(
+        docs.select(F.col("doc_id").alias("row_id"), "text"), stop_words=textfeat.ENGLISH
+    ).withColumnRenamed("row_id", "doc_id")
     return textfeat.file_summary(docs, textfeat.top_weighted_terms(weights))
 
 
@@ -87,25 +90,27 @@ def large_run_updates(report: DataFrame) -> DataFrame:
 
 
 def clustered_lines(lines: DataFrame, eps: float = 0.7) -> DataFrame:
-    """Lines (row_id, file_id, line) with cluster and category."""
+    """Lines (row_id, file_id, line) with cluster and category.
+
+    Everything but the last join works on distinct cleaned texts.
+    """
     table = textfeat.line_table(lines).withColumn("cleaned", clean_line(F.col("line")))
-    weighed = textfeat.tfidf_rows(table.select("row_id", F.col("cleaned").alias("text")))
-    labels = cluster.density_clusters_lines(weighed, eps)
-    weights = weighed.select("row_id", F.explode("terms").alias("t")).select(
-        "row_id", "t.term", "t.weight"
-    )
+    texts = cluster.distinct_texts(table.select("row_id", F.col("cleaned").alias("text")))
+    weights = materialize(textfeat.tfidf(texts), "weights")
+    labels = materialize(cluster.text_clusters(texts, weights, eps), "labels")
     named = cluster.cluster_label(labels, cluster.cluster_top_terms(weights, labels))
-    return (
-        table.join(labels, "row_id")
+    by_text = (
+        texts.join(labels.select("row_id", "cluster_id"), "row_id")
         .join(named, "cluster_id")
-        .select(
-            "row_id",
-            F.col("line").alias("original_log"),
-            F.col("file_id").alias("source_file"),
-            F.col("cleaned").alias("cleaned_log"),
-            "cluster_id",
-            "category",
-        )
+        .select(F.col("text").alias("cleaned"), "cluster_id", "category")
+    )
+    return table.join(by_text, "cleaned").select(
+        "row_id",
+        F.col("line").alias("original_log"),
+        F.col("file_id").alias("source_file"),
+        F.col("cleaned").alias("cleaned_log"),
+        "cluster_id",
+        "category",
     )
 
 
