@@ -19,6 +19,12 @@ def _to_least_neighbour(edges: DataFrame, keep) -> DataFrame:
     return edges.join(least, "u").where(keep)
 
 
+def _pairs(df: DataFrame, *ends: tuple[str, str]) -> DataFrame:
+    """(u, v) rows from each given pair of columns, in one pass."""
+    each = [F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in ends]
+    return df.select(F.explode(F.array(*each)).alias("p")).select("p.u", "p.v")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges(a, b)``; the component is its
     least node. Alternates large-star and small-star steps until nothing moves;
@@ -39,7 +45,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .distinct()
     )
     while True:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _pairs(pairs, ("u", "v"), ("v", "u"))
         large = (
             _to_least_neighbour(both, F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -47,10 +53,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         small = _to_least_neighbour(large, F.lit(True))
         pairs, after = settle(
-            small.where(F.col("v") != F.col("m"))
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(small.select("u", F.col("m").alias("v")))
-            .distinct()
+            _pairs(small, ("v", "m"), ("u", "m")).where(F.col("u") != F.col("v")).distinct()
         )
         if after == before:
             break

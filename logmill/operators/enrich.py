@@ -158,6 +158,18 @@ def resolve_incidents(
     return out.withColumn("_r", F.coalesce(*choices)).select(*events.columns, "signature", "_r.*")
 
 
+def resolve_vulns(
+    vulns: DataFrame, cache: DataFrame, answers: DataFrame | None = None
+) -> DataFrame:
+    """E8 for the scanner's vulnerabilities. Their signatures are the five known
+    types, so at most five rows of a table unique by signature can match: those
+    are broadcast, and a type that fills a third of all rows skews nothing."""
+    known = F.col("signature").isin(list(dims.FIXED_RESOLUTIONS))
+    few = F.broadcast(cache.where(known))
+    given = None if answers is None else F.broadcast(answers.where(known))
+    return resolve_incidents(vulns, few, given)
+
+
 def unified_events(resolved_events: DataFrame, resolved_vulns: DataFrame) -> DataFrame:
     """One layout for both kinds (columns of the event table)."""
 

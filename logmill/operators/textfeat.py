@@ -40,24 +40,32 @@ def table_line_table(
     )
 
 
-def term_counts(
-    docs: DataFrame, k: int = dims.MAX_TERMS, stop_words: list[str] = ENGLISH
-) -> DataFrame:
-    """Words and word pairs of each document, the ``k`` most frequent.
+def _ranked_terms(grams: DataFrame, k: int) -> DataFrame:
+    """Counts of (doc_id, fallback, term), the ``k`` most frequent of each document.
 
     Counts are partially summed per task, and the rank limit is applied before
     the per-document shuffle, so one huge document stays bounded.
     """
-    grams = F.explode(with_bigrams(tokens(F.col("text"), stop_words)))
-    counts = (
-        docs.select("doc_id", grams.alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    )
     order = Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "term")
     return (
-        counts.withColumn("rank", F.row_number().over(order))
+        grams.groupBy("doc_id", "fallback", "term")
+        .agg(F.count("*").alias("n"))
+        .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
-        .select("doc_id", "term", "n")
+        .drop("rank")
+    )
+
+
+def term_counts(
+    docs: DataFrame, k: int = dims.MAX_TERMS, stop_words: list[str] = ENGLISH
+) -> DataFrame:
+    """Words and word pairs of each document, the ``k`` most frequent."""
+    grams = docs.select(
+        "doc_id",
+        F.lit(False).alias("fallback"),
+        F.explode(with_bigrams(tokens(F.col("text"), stop_words))).alias("term"),
     )
+    return _ranked_terms(grams, k).select("doc_id", "term", "n")
 
 
 def vocabulary(
@@ -116,23 +124,31 @@ def keyword_candidates(docs: DataFrame) -> DataFrame:
     No candidate is left exactly when it has no pair of words and its only word,
     if any, is a stop word, which one look at the row decides.
     """
-    kept = (
-        term_counts(docs)
-        .where(~F.col("term").isin(dims.SUMMARY_STOP_WORDS))
-        .withColumn("fallback", F.lit(False))
-    )
     words = F.col("_words")
     none = (F.size(words) == 0) | (
         (F.size(words) == 1) & F.try_element_at(words, F.lit(1)).isin(dims.SUMMARY_STOP_WORDS)
     )
-    rest = (
+    grams = (
         docs.where(strip(F.col("text")) != "")
-        .withColumn("_words", tokens(F.col("text"), ENGLISH))
-        .where(none)
-        .select("doc_id", text_head(F.col("text"), 200).alias("term"), F.lit(0).cast("long").alias("n"))
-        .withColumn("fallback", F.lit(True))
+        .select(
+            "doc_id",
+            text_head(F.col("text"), 200).alias("_head"),
+            tokens(F.col("text"), ENGLISH).alias("_words"),
+        )
+        .withColumn("fallback", none)
+        .select(
+            "doc_id",
+            "fallback",
+            F.explode(
+                F.when(F.col("fallback"), F.array("_head")).otherwise(with_bigrams(words))
+            ).alias("term"),
+        )
+    )
+    return (
+        _ranked_terms(grams, dims.MAX_TERMS)
+        .where(F.col("fallback") | ~F.col("term").isin(dims.SUMMARY_STOP_WORDS))
+        .select("doc_id", "term", F.when(F.col("fallback"), 0).otherwise(F.col("n")).alias("n"), "fallback")
     )
-    return kept.unionByName(rest)
 
 
 def text_head(text: Column, chars: int) -> Column:
@@ -172,28 +188,32 @@ def mmr_keywords(
     ``candidates(doc_id, term, embedding)`` holds at most 500 terms per document
     (T5), ``docs(doc_id, embedding)`` one vector each; a task sees one document.
     """
-    joined = candidates.select("doc_id", "term", F.col("embedding").alias("term_vec")).join(
-        docs.select("doc_id", F.col("embedding").alias("doc_vec")), "doc_id"
-    )
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("term", ignore_index=True)
+    def choose(terms: pd.DataFrame, doc: pd.DataFrame) -> pd.DataFrame:
+        if terms.empty or doc.empty:
+            return pd.DataFrame({"doc_id": [], "rank": [], "term": []})
+        terms = terms.sort_values("term", ignore_index=True)
         picked = _pick(
-            np.asarray(group["doc_vec"].iloc[0], dtype=float),
-            np.stack(group["term_vec"].to_numpy()).astype(float),
+            np.asarray(doc["embedding"].iloc[0], dtype=float),
+            np.stack(terms["embedding"].to_numpy()).astype(float),
             top_n,
             diversity,
         )
         return pd.DataFrame(
             {
-                "doc_id": group["doc_id"].iloc[0],
+                "doc_id": terms["doc_id"].iloc[0],
                 "rank": np.arange(1, len(picked) + 1),
-                "term": group["term"].iloc[picked].to_numpy(),
+                "term": [terms["term"].iloc[i] for i in picked],
             }
         )
 
     id_type = dict(candidates.dtypes)["doc_id"]
-    return joined.groupBy("doc_id").applyInPandas(choose, f"doc_id {id_type}, rank long, term string")
+    return (
+        candidates.select("doc_id", "term", "embedding")
+        .groupBy("doc_id")
+        .cogroup(docs.select("doc_id", "embedding").groupBy("doc_id"))
+        .applyInPandas(choose, f"doc_id {id_type}, rank long, term string")
+    )
 
 
 def doc_sample(docs: DataFrame, chars: int = dims.SAMPLE_CHARS) -> DataFrame:

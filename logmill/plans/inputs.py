@@ -94,7 +94,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, line_no, line) of the documents."""
     texts = documents(spark, sf_dir).select(F.concat(F.lit("doc-"), "doc_id").alias("file_id"), "text")
-    return lines_of_texts(texts)
+    return lines_of_texts(texts, "file_id")
 
 
 def doc_line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spread(load(spark, sf_dir, "pages"), "page_id").select(
         F.concat(F.lit("page-"), "page_id").alias("file_id"), F.col("html").alias("text")
     )
-    return lines_of_texts(pages)
+    return lines_of_texts(pages, "file_id")
 
 
 def uuid_of(key: Column) -> Column:

@@ -407,7 +407,7 @@ def flat_findings(spark, sf_dir):
 
 @query
 def capped_report(spark, sf_dir):
-    return parse.capped_report(parse.scan_signatures(inputs.log_lines(spark, sf_dir)))
+    return runs.scan_report(inputs.log_lines(spark, sf_dir))
 
 
 @query
@@ -421,8 +421,8 @@ def scan_exclusions(spark, sf_dir):
 @query
 def security_scan(spark, sf_dir):
     """The whole scan over the landing texts, per file and type."""
-    files = inputs.files(spark, sf_dir)
-    found = runs.security_scan(readers.lines_of_texts(files), files.select("file_id", "name", "path"), api=True)
+    lines = readers.lines_of_texts(inputs.files(spark, sf_dir), "file_id", "path")
+    found = runs.security_scan(lines, api=True)
     return found.groupBy("file_id", "type").agg(F.count("*").alias("n"))
 
 

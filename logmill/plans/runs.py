@@ -10,21 +10,31 @@ from logmill.operators import classify, cluster, enrich, metadata, parse, retrie
 from logmill.session import materialize
 
 
-def security_scan(lines: DataFrame, files: DataFrame, api: bool = False) -> DataFrame:
-    """The scan: files not excluded by their path, and their findings."""
-    targets = parse.scan_exclusions(files, api).select("file_id", "name")
-    return parse.scan_signatures(lines.join(targets.select("file_id"), "file_id", "left_semi"))
+def security_scan(lines: DataFrame, api: bool = False) -> DataFrame:
+    """The scan: findings of the lines (with their ``path``) of files that are
+    not excluded. The path decides row by row, so no line moves."""
+    return parse.scan_signatures(parse.scan_exclusions(lines, api))
+
+
+def scan_report(lines: DataFrame) -> DataFrame:
+    """P9 from lines: scanned once, the far fewer findings are then read twice."""
+    return parse.capped_report(materialize(parse.scan_signatures(lines), "findings"))
 
 
 def resolved_incidents(
     lines: DataFrame, cache: DataFrame, answers: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Lines to (deduped resolved events, resolved vulnerabilities)."""
-    vulns, others = parse.split_vulns(parse.extract_events(lines))
+    """Lines to (deduped resolved events, resolved vulnerabilities).
+
+    The lines are scanned once; the events, far fewer, are written and read by
+    both branches.
+    """
+    found = materialize(parse.extract_events(lines), "events")
+    vulns, others = parse.split_vulns(found)
     events = enrich.dedupe_incidents(parse.keep_error_warning(others))
     return (
         enrich.resolve_incidents(events, cache, answers),
-        enrich.resolve_incidents(vulns, cache, answers),
+        enrich.resolve_vulns(vulns, cache, answers),
     )
 
 

@@ -73,12 +73,12 @@ def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def lines_of_texts(texts: DataFrame, key: str = "file_id", text: str = "text") -> DataFrame:
-    """Lines (key, line_no, line) of texts; a final line end starts no line."""
+def lines_of_texts(texts: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """Lines (keys, line_no, line) of texts; a final line end starts no line."""
     body = F.regexp_replace(text, r"\n\z", "")
     return texts.where(F.length(text) > 0).select(
-        key, F.posexplode(F.split(body, "\n")).alias("_pos", "line")
-    ).select(key, (F.col("_pos") + 1).cast("long").alias("line_no"), "line")
+        *keys, F.posexplode(F.split(body, "\n")).alias("_pos", "line")
+    ).select(*keys, (F.col("_pos") + 1).cast("long").alias("line_no"), "line")
 
 
 def read_csv_table(
