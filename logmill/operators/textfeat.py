@@ -191,7 +191,7 @@ def mmr_keywords(
 
     def choose(terms: pd.DataFrame, doc: pd.DataFrame) -> pd.DataFrame:
         if terms.empty or doc.empty:
-            return pd.DataFrame({"doc_id": [], "rank": [], "term": []})
+            return pd.DataFrame({"doc_id": [], "rank": [], "term": []}, dtype=object)
         terms = terms.sort_values("term", ignore_index=True)
         picked = _pick(
             np.asarray(doc["embedding"].iloc[0], dtype=float),

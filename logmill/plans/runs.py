@@ -67,7 +67,7 @@ def large_run(docs: DataFrame, eps: float = 0.8, dim: int = 64, model=None) -> D
 
     ``docs(doc_id, name, text)`` with numeric ids.
     """
-    summaries = summaries_by_weight(docs.select("doc_id", "text"))
+    summaries = materialize(summaries_by_weight(docs.select("doc_id", "text")), "summaries")
     vectors = retrieval.embed_column(summaries, "summary", dim, model).select(
         F.col("doc_id").alias("row_id"), "embedding"
     )
