@@ -64,7 +64,10 @@ def profile_files(files: DataFrame, lines: DataFrame, strict: bool = False) -> D
 
 def first_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The row of the lowest ``order`` for each key, reduced before the shuffle."""
+    order = [c for c in order if c != key]
     rest = [c for c in rows.columns if c != key and c not in order]
+    if not order + rest:
+        return rows.distinct()
     return (
         rows.groupBy(key)
         .agg(F.min(F.struct(*order, *rest)).alias("first"))

@@ -63,8 +63,7 @@ def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Whole small files, one row each: (path, file_id, text)."""
     return (
         spark.read.option("recursiveFileLookup", "true")
-        .option("wholetext", "true")
-        .text(path)
+        .text(path, wholetext=True)
         .select(
             F.col("_metadata.file_path").alias("path"), F.make_valid_utf8("value").alias("text")
         )
@@ -96,8 +95,11 @@ def read_parquet_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def list_landing_files(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
-    """The files of a folder (path, name, size_bytes, modified); the content
-    column is never selected, so nothing is read."""
+    """The files of a folder (path, name, size_bytes, modified).
+
+    The content column is never selected, so nothing is read. Empty files have
+    nothing to process and are not listed.
+    """
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", str(recursive).lower())
