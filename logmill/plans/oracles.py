@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from logmill.functions import dims
 from logmill.plans.inputs import FOLDERS, LINES_PER_FILE, ROWS_PER_TABLE, YEAR
-from logmill.plans.queries import VECTOR_EPS
+from logmill.plans.queries import LINE_EPS, VECTOR_EPS
 
 ORACLES: dict[str, str] = {}
 
@@ -497,6 +497,40 @@ put("majority_category", *CLUSTERED, select="""SELECT file_id, category, count(*
 put("write_cluster_report", *CLUSTERED, select="""SELECT file_id AS file_name, 'Total Entries: ' || count(*) AS summary, cluster_id, category
   FROM clustered GROUP BY file_id, cluster_id, category""")
 put("write_lines_by_category", *CLUSTERED, select="""SELECT line AS original_log, file_id AS source_file, cleaned AS cleaned_log, cluster_id, category FROM clustered""")
+
+
+def line_clusters(rows: str) -> str:
+    """labels(row_id, cluster_id) from weights: rows that share a shortened form."""
+    budget = 1 - (1 - LINE_EPS * LINE_EPS / 8) ** 2
+    return f"""vec AS (SELECT row_id, list({{'w': round(weight, 9), 't': term, 'n': n}} ORDER BY round(weight, 9), term, n) AS v FROM weights GROUP BY row_id),
+shaped AS (SELECT r.row_id, coalesce(list_transform(v, lambda x: x.t || ':' || x.n), []) AS words,
+  coalesce(list_transform(v, lambda x: x.w * x.w), []) AS sq FROM {rows} r LEFT JOIN vec USING (row_id)),
+pts AS (SELECT array_to_string(list_sort(words), ' ') AS key, min(row_id) AS point, count(*) AS weight,
+  arg_min(words, row_id) AS words, arg_min(sq, row_id) AS sq FROM shaped GROUP BY 1),
+forms AS (
+  SELECT point, array_to_string(list_sort(words[:i - 1] || words[i + 1:]), ' ') AS form
+  FROM (SELECT point, words, unnest(range(1, len(list_filter(sq, lambda x: x <= {budget!r})) + 1)) AS i FROM pts)
+  UNION SELECT point, array_to_string(list_sort(words[j + 1:]), ' ') FROM (SELECT point, words,
+    unnest(list_filter(range(0, len(sq) + 1), lambda j: j = 0 OR list_sum(sq[1:j]) <= {budget!r})) AS j FROM pts WHERE len(words) > 0)),
+hubs AS (SELECT form, min(point) AS hub FROM forms GROUP BY form HAVING count(*) > 1),
+half AS (SELECT DISTINCT point AS a, hub AS b FROM forms JOIN hubs USING (form) WHERE point <> hub),
+edges AS (SELECT a, b FROM half UNION SELECT b, a FROM half),
+reach(node, root) AS (SELECT point, point FROM pts UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node),
+comps AS (SELECT node AS point, min(root) AS root FROM reach GROUP BY node),
+point_labels AS (SELECT key, CASE WHEN sum(weight) OVER (PARTITION BY root) >= 5 THEN root ELSE -1 END AS cluster_id FROM pts JOIN comps USING (point)),
+labels AS (SELECT row_id, cluster_id FROM shaped JOIN point_labels ON key = array_to_string(list_sort(words), ' '))"""
+
+
+put("density_clusters_lines", DOC_ROWS, tfidf("doc_rows", "row_id", LINE_STOPS), line_clusters("doc_rows"),
+    select="SELECT row_id, cluster_id FROM labels")
+put("small_run", LOG, CLEAN_ROWS, CLEAN_TEXT, tfidf("clean_text", "row_id", LINE_STOPS), line_clusters("clean_text"), TOP, NAMED,
+    "clustered AS (SELECT r.*, l.cluster_id, n.category FROM clean_rows r JOIN labels l USING (row_id) JOIN named n USING (cluster_id))",
+    select="""SELECT file_id AS stored_filename, category, 'processed/' || category || '/' || file_id AS final_path, 'Line-Level' AS cluster_id,
+  'Processed via HDBSCAN clustering. Majority category: ' || category AS summary FROM (
+  SELECT file_id, category, count(*) AS n FROM clustered GROUP BY file_id, category
+  QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY n DESC, category) = 1)""")
+for _name in ("density_clusters_lines", "small_run"):
+    ORACLES[_name] = ORACLES[_name].replace("WITH ", "WITH RECURSIVE ", 1)
 ORACLES["density_clusters_files"] = f"""WITH RECURSIVE edges AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
   AND list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= {VECTOR_EPS}),
 reach(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node),

@@ -87,6 +87,14 @@ def round_tables(spark: SparkSession, name: str):
     return write
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Drop everything this application wrote to the shared folder. Call it when
+    no DataFrame made by the operators is needed any more."""
+    path = f"{shared_dir(spark)}/logmill-{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a scan of fewer splits than cores over all cores by key.
 
