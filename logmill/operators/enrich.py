@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logmill.functions import dims
+from logmill.operators.metadata import first_per_key, insert_if_absent
 
 RESOLUTION = ["severity", "summary", "solution", "reference_url"]
 
@@ -93,8 +94,6 @@ def cached_resolution(events: DataFrame, cache: DataFrame) -> DataFrame:
 
 def cache_upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
     """Cache plus the new signatures; stored ones stay."""
-    from logmill.operators.metadata import insert_if_absent
-
     return insert_if_absent(cache, new, "signature")
 
 
@@ -140,15 +139,17 @@ def resolve_incidents(
 ) -> DataFrame:
     """Cache, then supplied answers, then the fixed texts.
 
-    ``answers`` has the layout of E7's result. Each signature is looked up once
-    per distinct signature and file event; level events are expected deduped.
+    ``answers`` has the layout of E7's result; of several for one signature one
+    is taken. Level events are expected deduped (E1).
     """
     out = cached_resolution(with_signature(events), cache)
     found = F.when(F.col("severity").isNotNull(), F.struct(*RESOLUTION))
     choices = [found]
     if answers is not None:
-        given = answers.select("signature", F.struct(*RESOLUTION).alias("_answer"))
-        out = out.join(given, "signature", "left")
+        given = first_per_key(answers.select("signature", *RESOLUTION), "signature", RESOLUTION)
+        out = out.join(
+            given.select("signature", F.struct(*RESOLUTION).alias("_answer")), "signature", "left"
+        )
         choices.append(F.col("_answer"))
     choices.append(
         F.when(
@@ -162,12 +163,14 @@ def resolve_vulns(
     vulns: DataFrame, cache: DataFrame, answers: DataFrame | None = None
 ) -> DataFrame:
     """E8 for the scanner's vulnerabilities. Their signatures are the five known
-    types, so at most five rows of a table unique by signature can match: those
-    are broadcast, and a type that fills a third of all rows skews nothing."""
-    known = F.col("signature").isin(list(dims.FIXED_RESOLUTIONS))
-    few = F.broadcast(cache.where(known))
-    given = None if answers is None else F.broadcast(answers.where(known))
-    return resolve_incidents(vulns, few, given)
+    types, so after grouping at most five rows of a table can match: those are
+    broadcast, and a type that fills a third of all rows skews nothing."""
+
+    def few(table: DataFrame) -> DataFrame:
+        known = table.where(F.col("signature").isin(list(dims.FIXED_RESOLUTIONS)))
+        return F.broadcast(first_per_key(known.select("signature", *RESOLUTION), "signature", RESOLUTION))
+
+    return resolve_incidents(vulns, few(cache), None if answers is None else few(answers))
 
 
 def unified_events(resolved_events: DataFrame, resolved_vulns: DataFrame) -> DataFrame:

@@ -311,6 +311,10 @@ put("incident_totals", *RES, select="SELECT entry_type, severity, count(*) AS n,
 put("stream_events", LOG, events("log_lines"),
     select="SELECT entry_type, coalesce(vuln_type, '-') AS vuln_type, count(*) AS n FROM ev GROUP BY ALL")
 
+put("stream_dedupe", LOG, events("log_lines"), select="""SELECT file_id, entry_type, count(DISTINCT left(message, 200)) AS n FROM ev GROUP BY ALL""")
+put("stream_hourly", LOG, events("log_lines"), select="""SELECT file_id,
+  strftime(date_trunc('hour', strptime(logged_on, '%Y-%m-%d %H:%M:%S')), '%Y-%m-%d %H:%M:%S') AS hour_start, count(*) AS events FROM ev GROUP BY ALL""")
+
 # --- sources and sinks ---------------------------------------------------------------------------
 
 put("read_log_lines", LOG, select="SELECT file_id, line_no, line FROM log_lines")
@@ -421,7 +425,7 @@ put("cascade_delete", select="""SELECT 'file_master' AS table_name, o_orderkey A
   WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY l_orderkey""")
 put("file_uuid", FILES, select=f"""SELECT name, coalesce({first_match('name', dims.UUID_PATTERN)}, 'AUDIT-' || left(sha256(path), 16)) AS file_id,
   coalesce({first_match('name', '^' + dims.UUID_PATTERN)}, name) AS event_file_id FROM files""")
-put("safe_file_name", FILES, select=f"SELECT file_id, trim(regexp_replace(name, '[^\\p{{L}}\\p{{N}} ._-]', '', 'g')) AS safe_name FROM files")
+put("safe_name", FILES, select=f"SELECT file_id, trim(regexp_replace(name, '[^\\p{{L}}\\p{{N}} ._-]', '', 'g')) AS safe_name FROM files")
 
 # --- texts --------------------------------------------------------------------------------------------------
 

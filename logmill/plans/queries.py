@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmill.functions.expr import extension, safe_name
+from logmill.functions import expr
 from logmill.operators import classify, cluster, enrich, metadata, parse, retrieval, textfeat, tools
 from logmill.plans import inputs, runs
 from logmill.session import scratch_path
@@ -80,7 +80,7 @@ def read_parquet_table(spark, sf_dir):
 @query
 def ingest_status(spark, sf_dir):
     return inputs.files(spark, sf_dir, with_text=False).select(
-        "file_id", extension(F.col("name")).alias("ext"), classify.ingest_status(F.col("name")).alias("status")
+        "file_id", expr.extension(F.col("name")).alias("ext"), classify.ingest_status(F.col("name")).alias("status")
     )
 
 
@@ -315,9 +315,9 @@ def file_uuid(spark, sf_dir):
 
 
 @query
-def safe_file_name(spark, sf_dir):
+def safe_name(spark, sf_dir):
     return inputs.files(spark, sf_dir, with_text=False).select(
-        "file_id", safe_name(F.col("name")).alias("safe_name")
+        "file_id", expr.safe_name(F.col("name")).alias("safe_name")
     )
 
 
@@ -871,6 +871,30 @@ def stream_events(spark, sf_dir):
     )
 
 
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as files that a stream picks up."""
+    path = scratch_path(spark, "event-files")
+    events = _events(spark, sf_dir)
+    events.write.parquet(path)
+    return spark.readStream.schema(events.schema).parquet(path)
+
+
+@query
+def stream_dedupe(spark, sf_dir):
+    out = scratch_path(spark, "stream-out")
+    kept = streams.stream_dedupe(_event_stream(spark, sf_dir))
+    streams.append_rows(kept, out, scratch_path(spark, "stream-state")).awaitTermination()
+    return spark.read.parquet(out).groupBy("file_id", "entry_type").agg(F.count("*").alias("n"))
+
+
+@query
+def stream_hourly(spark, sf_dir):
+    out = scratch_path(spark, "stream-out")
+    counts = streams.stream_hourly(_event_stream(spark, sf_dir))
+    streams.write_state(counts, out, scratch_path(spark, "stream-state")).awaitTermination()
+    return spark.read.parquet(out).select("file_id", _time("hour_start").alias("hour_start"), "events")
+
+
 @query
 def incident_totals(spark, sf_dir):
     """The flagship: lines to resolved incidents, counted by type and severity."""

@@ -95,12 +95,13 @@ def clear_scratch(spark: SparkSession) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan of fewer splits than cores over all cores by key.
+def spread(df: DataFrame, *keys: str, most: int = 64) -> DataFrame:
+    """Spread a scan of very few splits over the cores, by key.
 
-    Big inputs have more splits than cores and pass through unchanged.
+    Only small inputs have fewer splits than cores and than ``most``; others
+    pass through unchanged.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, most)
+    if df.rdd.getNumPartitions() >= wanted:
         return df
-    return df.repartition(cores, *keys)
+    return df.repartition(wanted, *keys)

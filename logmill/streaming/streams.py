@@ -56,3 +56,30 @@ def stream_hourly(events: DataFrame, delay: str = "1 hour") -> DataFrame:
         .agg(F.count("*").alias("events"))
         .select("file_id", F.col("w.start").alias("hour_start"), "events")
     )
+
+
+def write_state(result: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """The whole result of an aggregation, replaced batch by batch."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    return (
+        result.writeStream.outputMode("complete")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def append_rows(result: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """New rows of a stream as Parquet files, each row once."""
+    return (
+        result.writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
