@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from logmill.functions import dims
 from logmill.functions.expr import tokens
+from logmill.session import materialize
 
 # Question vectors sent to every task: at most this many per pass.
 QUERY_BLOCK = 5_000
@@ -201,7 +202,8 @@ def topk_similar(
     (query_id, rank, id, score), score negative squared distance for "l2". Each
     task multiplies its documents with a block of question vectors and keeps
     its own best ``k``; only those are shuffled. Questions are sent in blocks
-    of a fixed size, so any number of them works: more blocks, more passes.
+    of a fixed size. More than one block means one pass each, whose result is
+    written at once, so the driver holds a single block at any time.
     """
     if metric not in ("cosine", "l2"):
         raise ValueError("metric is 'cosine' or 'l2'")
@@ -227,6 +229,8 @@ def topk_similar(
         found = docs.mapInPandas(
             _partial_topk([r["query_id"] for r in part], matrix, k, metric), schema
         )
+        if blocks > 1:
+            found = materialize(found, "nearest")
         best = found if best is None else best.unionByName(found)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return (
@@ -246,9 +250,9 @@ def topk_similar_lsh(
 ) -> DataFrame:
     """V5: approximate V4 (Euclidean) through hash buckets of random projections.
 
-    Documents and questions meet on (table, bucket) by an equi-join; a document
-    found in several tables is scored once, and ranks are cut per task before
-    the shuffle.
+    Documents and questions meet on (table, bucket) by an equi-join. A pair that
+    shares several buckets counts in the first of them, which each row can tell
+    by itself; so ranks are cut per task and nothing else is shuffled.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -264,25 +268,25 @@ def topk_similar_lsh(
     d = vectors(docs, "id")
     model = lsh.fit(d)
 
-    def keyed(df: DataFrame, key: str, vec: str) -> DataFrame:
+    def keyed(df: DataFrame, key: str, vec: str, all_: str) -> DataFrame:
+        buckets = F.array(*[vector_to_array(F.col("h")[i])[0].cast("long") for i in range(tables)])
         return model.transform(df).select(
-            key, F.col("e").alias(vec), F.posexplode("h").alias("tbl", "hv")
-        ).withColumn("bucket", vector_to_array("hv")[0].cast("long")).drop("hv")
-
-    pairs = keyed(d, "id", "de").join(
-        keyed(vectors(queries, "query_id"), "query_id", "qe"), ["tbl", "bucket"]
+            key, F.col("e").alias(vec), buckets.alias(all_)
+        ).select("*", F.posexplode(all_).alias("tbl", "bucket"))
+
+    same = F.zip_with("dall", "qall", lambda a, b: a == b)
+    pairs = (
+        keyed(d, "id", "de", "dall")
+        .join(keyed(vectors(queries, "query_id"), "query_id", "qe", "qall"), ["tbl", "bucket"])
+        .where(F.array_position(same, True) == F.col("tbl") + 1)
     )
     gap = F.aggregate(
         F.zip_with("de", "qe", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x
     )
-    scored = (
-        pairs.select("query_id", "id", (-F.round(gap, 6)).alias("score"))
-        .groupBy("query_id", "id")
-        .agg(F.max("score").alias("score"))
-    )
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return (
-        scored.withColumn("rank", F.row_number().over(order))
+        pairs.select("query_id", "id", (-F.round(gap, 6)).alias("score"))
+        .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "id", "score")
     )
