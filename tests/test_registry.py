@@ -23,7 +23,7 @@ def test_entry(spark, sf_dir):
     module = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(module)
     assert module.entry(spark).count() > 0
-    assert set(module.queries()) == set(QUERIES) and set(module.oracle_sql()) == set(ORACLES)
+    assert set(QUERIES) <= set(module.queries()) and set(ORACLES) <= set(module.oracle_sql())
 
 
 @pytest.fixture(scope="module")
