@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmill.llm import quality, toxicity
+from logmill.llm import dedup_stream, quality, simhash, toxicity
 from logmill.llm.common import remainder_is, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,28 @@ def query(fn):
     return fn
 
 
+@query
+def op1_simhash(spark, sf_dir):
+    return simhash.simhash_components(table(spark, sf_dir, "documents"), words=3)
+
+
+@query
+def op3_exact_dedup(spark, sf_dir):
+    return dedup_stream.exact_duplicates(spark, f"{sf_dir}/documents.parquet")
+
+
+ORACLES["op3_exact_dedup"] = """
+WITH t AS (SELECT doc_id, row_number() OVER () AS place,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
+           FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id,
+       count(*) OVER (PARTITION BY norm) AS group_size,
+       row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST, place DESC) = 1 AS kept,
+       sha256(norm) AS text_sha256
+FROM t
+"""
+
+
 @query
 def op6_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
