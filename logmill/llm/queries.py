@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmill.llm import dedup_stream, quality, simhash, toxicity
+from logmill.llm import dedup_stream, fingerprint, quality, simhash, toxicity
 from logmill.llm.common import remainder_is, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,11 @@ FROM t
 """
 
 
+@query
+def op5_fingerprint(spark, sf_dir):
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
