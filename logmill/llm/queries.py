@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmill.llm import dedup_stream, fingerprint, quality, simhash, toxicity
+from logmill.llm import bpe, dedup_stream, fingerprint, quality, simhash, toxicity
 from logmill.llm.common import remainder_is, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def rank_path() -> str:
+    """The public rank file; its folder is not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -60,3 +67,8 @@ def op8_quality(spark, sf_dir):
     model = quality.fit_quality(docs, quality.training_labels(labels))
     scored = quality.score_quality(docs, model)
     return scored.withColumn("held_out", remainder_is("doc_id", 5, 0))
+
+
+@query
+def op9_byte_bpe(spark, sf_dir):
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), rank_path(), digests=True)
