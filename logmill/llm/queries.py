@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmill.llm import bpe, dedup_stream, fingerprint, quality, simhash, toxicity
+from logmill.llm import bpe, dedup_stream, fingerprint, ppm, quality, simhash, toxicity
 from logmill.llm.common import remainder_is, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,12 @@ def op6_toxicity(spark, sf_dir):
     return scored.withColumn("held_out", remainder_is("doc_id", 3, 1))
 
 
+@query
+def op7_ppm(spark, sf_dir):
+    scored = ppm.ppm_scores(table(spark, sf_dir, "documents"), remainder_is("doc_id", 7, 2))
+    return scored.withColumn("held_out", remainder_is("doc_id", 7, 2))
+
+
 @query
 def op8_quality(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
