@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmill.llm import bpe, dedup_stream, fingerprint, ppm, quality, simhash, toxicity
+from logmill.llm import bpe, dedup_stream, fingerprint, lines, ppm, quality, simhash, toxicity
 from logmill.llm.common import remainder_is, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,53 @@ def op1_simhash(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"), words=3)
 
 
+@query
+def op2_line_dedup(spark, sf_dir):
+    cleaned = lines.delete_repeated_lines(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return cleaned.select(
+        "doc_id",
+        F.coalesce(
+            F.aggregate("deleted_runs", F.lit(0), lambda n, run: n + run["last"] - run["first"] + 1), F.lit(0)
+        ).cast("long").alias("deleted_lines"),
+        F.size("deleted_runs").cast("long").alias("deleted_runs"),
+        F.length(text).cast("long").alias("kept_chars"),
+        F.sha2(text.cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
+ORACLES["op2_line_dedup"] = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents),
+numbered AS (
+  SELECT doc_id, text, all_lines, unnest(all_lines) AS line, unnest(range(len(all_lines))) AS i FROM docs),
+counted AS (
+  SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM numbered),
+summed AS (
+  SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS up_to FROM counted),
+wins AS (
+  SELECT a.doc_id, a.i AS first, min(b.i) AS last FROM summed a JOIN summed b
+    ON a.doc_id = b.doc_id AND b.i >= a.i AND b.up_to >= a.up_to - a.w + 50 GROUP BY ALL
+  UNION
+  SELECT b.doc_id, max(a.i), b.i FROM summed a JOIN summed b
+    ON a.doc_id = b.doc_id AND a.i <= b.i AND a.up_to - a.w <= b.up_to - 50 GROUP BY b.doc_id, b.i),
+held AS (
+  SELECT w.*, array_to_string(all_lines[first + 1:last + 1], chr(10)) AS content FROM wins w JOIN docs USING (doc_id)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, first) AS nth FROM held),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM ranked WHERE nth > 1),
+marked AS (
+  SELECT s.*, g.i IS NOT NULL AS dropped FROM summed s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.i = g.i),
+edges AS (
+  SELECT *, dropped AND NOT coalesce(lag(dropped) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM marked),
+kept AS (
+  SELECT doc_id, count(*) FILTER (dropped) AS deleted_lines, count(*) FILTER (starts) AS deleted_runs,
+         coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '') AS text
+  FROM edges GROUP BY doc_id)
+SELECT doc_id, deleted_lines, deleted_runs, length(text) AS kept_chars, sha256(text) AS kept_sha256 FROM kept
+"""
+
+
 @query
 def op3_exact_dedup(spark, sf_dir):
     return dedup_stream.exact_duplicates(spark, f"{sf_dir}/documents.parquet")
