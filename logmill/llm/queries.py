@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmill.llm import bpe, dedup_stream, fingerprint, lines, ppm, quality, simhash, toxicity
+from logmill.llm import bpe, dedup_stream, fingerprint, lines, mixing, ppm, quality, simhash, toxicity
 from logmill.llm.common import remainder_is, table
+from logmill.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +126,19 @@ def op8_quality(spark, sf_dir):
 @query
 def op9_byte_bpe(spark, sf_dir):
     return bpe.encode_texts(table(spark, sf_dir, "documents"), rank_path(), digests=True)
+
+
+@query
+def op10_mixing(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    features = materialize(mixing.featured(docs), "mix-features")
+    classifier = mixing.fit_classifier(features, mixing.labelled_domains(docs, labels))
+    # languages closer to each other, a quarter of the weight for poor texts
+    mixture = mixing.fit_rates(features, classifier, prefer=lambda domain: 1.0 if domain.endswith("-1") else 0.25)
+    result = mixing.mixed(features, mixture)
+    best = F.array_position("posterior", F.array_max("posterior")).cast("int") - 1
+    names = F.array(*[F.lit(d) for d in classifier.domains]) if classifier.domains else F.array().cast("array<string>")
+    return result.select(
+        "doc_id", "tokens", F.get(names, best).alias("domain"),
+        F.array_max("posterior").alias("probability"), "rate", "copies",
+    )
