@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmill.llm import bpe, dedup_stream, fingerprint, lines, mixing, ppm, quality, simhash, toxicity
+from logmill.llm import bpe, dedup_stream, fingerprint, html_text, lines, mixing, ppm, quality, simhash, toxicity
 from logmill.llm.common import remainder_is, table
 from logmill.session import materialize
 
@@ -96,6 +96,11 @@ FROM t
 """
 
 
+@query
+def op4_html_text(spark, sf_dir):
+    return html_text.visible_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op5_fingerprint(spark, sf_dir):
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
