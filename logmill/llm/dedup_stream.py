@@ -24,7 +24,13 @@ from pyspark.sql import functions as F
 from logmill.llm.common import lower_ascii
 from logmill.session import materialize, scratch_path
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    # many small stores: take disk as it is needed
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 PLACE = "struct(doc_id, file, row) as place"
 
 
@@ -48,8 +54,10 @@ def stream_digests(
     """Run the stream over the Parquet files at ``path`` that it has not seen yet,
     and log each batch's changed digests under ``folder``."""
     session = spark.newSession()
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    session.conf.set("spark.sql.session.timeZone", "UTC")
+    for key, value in STATE_STORE.items():
+        session.conf.set(key, value)
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):  # a new session has the defaults
+        session.conf.set(key, spark.conf.get(key))
     reader = session.readStream.schema(spark.read.parquet(path).select("doc_id", "text").schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
