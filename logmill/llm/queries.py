@@ -7,21 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from logmill.llm import bpe, dedup_stream, fingerprint, html_text, lines, mixing, ppm, quality, simhash, toxicity
-from logmill.llm.common import remainder_is, table
+from logmill.llm.common import rank_path, remainder_is, table
 from logmill.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def rank_path() -> str:
-    """The public rank file; its folder is not part of this repository."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
-
-
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -147,3 +141,8 @@ def op10_mixing(spark, sf_dir):
         "doc_id", "tokens", F.get(names, best).alias("domain"),
         F.array_max("posterior").alias("probability"), "rate", "copies",
     )
+
+
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
