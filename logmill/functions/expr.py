@@ -122,3 +122,7 @@ def safe_name(name: Column) -> Column:
 def extension(name: Column) -> Column:
     return F.lower(F.substring_index(name, ".", -1))
 
+
+def head(text: Column, chars: int | None) -> Column:
+    """The first characters of a text, or all of it."""
+    return text if chars is None else F.substring(text, 1, chars)

@@ -7,32 +7,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logmill.functions import dims
-from logmill.functions.expr import best_of, contains_any, extension, hits
+from logmill.functions.expr import best_of, contains_any, extension, head, hits
 
 
 def _confident(category: Column, confidence: Column) -> Column:
     return F.struct(category.alias("category"), confidence.alias("confidence"))
 
 
-def log_fast_path(name: Column, text: Column) -> Column:
-    """("log", 1.0) for .log/.txt files that show a level word early."""
-    head = F.upper(F.substring(text, 1, dims.FAST_PATH_CHARS))
+def log_fast_path(name: Column, text: Column, chars: int | None = None) -> Column:
+    """("log", 1.0) for .log/.txt files that show a level word, anywhere or in
+    their first ``chars``."""
+    seen = F.upper(head(text, chars))
     ends = F.lower(name).endswith(".log") | F.lower(name).endswith(".txt")
     return F.when(
-        ends & contains_any(head, dims.FAST_PATH_WORDS), _confident(F.lit("log"), F.lit(1.0))
+        ends & contains_any(seen, dims.FAST_PATH_WORDS), _confident(F.lit("log"), F.lit(1.0))
     )
 
 
-def keyword_file_class(files: DataFrame, unless: Column | None = None) -> DataFrame:
+def keyword_file_class(
+    files: DataFrame, unless: Column | None = None, chars: int | None = None
+) -> DataFrame:
     """Adds ``_class`` (category, confidence): the best keyword score of four
-    classes, or the extension's default.
+    classes over the text, or its first ``chars``; else the extension's default.
 
     The scores become columns before they are compared, so each keyword is
     looked for once. Rows where ``unless`` holds are not searched.
     """
-    head = F.lower(F.substring(F.coalesce(F.col("text"), F.lit("")), 1, dims.CLASSIFY_CHARS))
+    seen = F.lower(head(F.coalesce(F.col("text"), F.lit("")), chars))
     if unless is not None:
-        head = F.when(~unless, head)
+        seen = F.when(~unless, seen)
     scores = {c: hits(F.col("_head"), words) for c, words in dims.CLASS_KEYWORDS.items()}
     best = F.col("_best")
     plain = extension(F.col("name")).isin("log", "txt")
@@ -45,7 +48,7 @@ def keyword_file_class(files: DataFrame, unless: Column | None = None) -> DataFr
         )
     )
     return (
-        files.withColumn("_head", head)
+        files.withColumn("_head", seen)
         .withColumn("_best", best_of(scores))
         .withColumn("_class", found)
         .drop("_head", "_best")
@@ -66,7 +69,9 @@ def normalize_label(label: Column) -> Column:
     )
 
 
-def classify_files(files: DataFrame) -> DataFrame:
+def classify_files(
+    files: DataFrame, fast_chars: int | None = None, chars: int | None = None
+) -> DataFrame:
     """Fast path, else a supplied label, else the keyword class.
 
     Optional columns ``label`` and ``score`` hold a model's answer.
@@ -78,10 +83,10 @@ def classify_files(files: DataFrame) -> DataFrame:
             _confident(normalize_label(F.col("label")), F.col("score").cast("double")),
         )
     known = files.withColumn(
-        "_known", F.coalesce(log_fast_path(F.col("name"), F.col("text")), given)
+        "_known", F.coalesce(log_fast_path(F.col("name"), F.col("text"), fast_chars), given)
     )
     return (
-        keyword_file_class(known, unless=F.col("_known").isNotNull())
+        keyword_file_class(known, unless=F.col("_known").isNotNull(), chars=chars)
         .withColumn("_c", F.coalesce("_known", "_class"))
         .select(*files.columns, "_c.*")
     )

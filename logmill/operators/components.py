@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from logmill.session import round_tables
+from logmill.session import materialize, round_tables
 
 
 def _to_least_neighbour(edges: DataFrame, keep) -> DataFrame:
     """Link the neighbours ``v`` of each ``u`` to the least of them and ``u``.
 
-    The minimum is a grouped aggregate (copies of ``u`` collapse per task) and
-    goes back by a join that adaptive execution splits when ``u`` is hot; no
-    task ever holds all neighbours of a node.
+    The minimum is a grouped aggregate (copies of ``u`` collapse per task). It is
+    written before it goes back, so that both sides of the join have an exchange of
+    their own and adaptive execution can split a hot ``u``; no task has to hold all
+    neighbours of a node.
     """
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = materialize(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return edges.join(least, "u").where(keep)
 
 

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logmill.functions import dims
+from logmill.functions.expr import head
 from logmill.operators.metadata import first_per_key, insert_if_absent
 
 RESOLUTION = ["severity", "summary", "solution", "reference_url"]
 
 
-def dedupe_incidents(events: DataFrame) -> DataFrame:
-    """Per file the first event of each (type, first 200 characters).
+def dedupe_incidents(events: DataFrame, chars: int | None = None) -> DataFrame:
+    """Per file the first event of each type and message, or of each type and
+    first ``chars`` of the message.
 
     A plain grouping with a minimum: copies collapse before the shuffle, so a
     message that fills a third of a file costs one row per task.
@@ -20,7 +22,7 @@ def dedupe_incidents(events: DataFrame) -> DataFrame:
     rest = [c for c in events.columns if c not in ("file_id", "entry_type", "line_no", "category_no")]
     return (
         events.groupBy(
-            "file_id", "entry_type", F.substring("message", 1, dims.DEDUPE_CHARS).alias("_head")
+            "file_id", "entry_type", head(F.col("message"), chars).alias("_head")
         )
         .agg(F.min(F.struct("line_no", "category_no", *rest)).alias("first"))
         .select("file_id", "entry_type", "first.*")
@@ -28,15 +30,16 @@ def dedupe_incidents(events: DataFrame) -> DataFrame:
     )
 
 
-def incident_signature() -> Column:
-    """The cache key; attacks share one key per type."""
+def incident_signature(chars: int | None = None) -> Column:
+    """The cache key, of the whole message or its first ``chars``; attacks share
+    one key per type."""
     return F.when(F.col("entry_type") == "Vulnerability", F.col("vuln_type")).otherwise(
-        F.concat("entry_type", F.lit(":"), F.substring("message", 1, dims.SIGNATURE_CHARS))
+        F.concat("entry_type", F.lit(":"), head(F.col("message"), chars))
     )
 
 
-def with_signature(events: DataFrame) -> DataFrame:
-    return events.withColumn("signature", incident_signature())
+def with_signature(events: DataFrame, chars: int | None = None) -> DataFrame:
+    return events.withColumn("signature", incident_signature(chars))
 
 
 def _resolution_struct(values: tuple[str, str, str, str]) -> Column:

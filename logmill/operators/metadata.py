@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logmill.functions import dims
-from logmill.session import round_tables
+from logmill.session import materialize, round_tables
 
 
 def file_uuid(name: Column, at_start: bool = False) -> Column:
@@ -96,6 +96,8 @@ def update_by_name(master: DataFrame, updates: DataFrame) -> DataFrame:
     last = updates.groupBy("stored_filename").agg(
         F.max_by(F.struct(*fields), "update_no").alias("new")
     )
+    # written, so that the join has its own exchange on both sides and can split hot names
+    last = materialize(last, "updates")
     out = master.join(last, "stored_filename", "left")
     hit = F.col("new").isNotNull()
     changed = {f: F.when(hit, F.col(f"new.{f}")).otherwise(F.col(f)) for f in fields}

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from logmill.functions import dims
 from logmill.functions.expr import (
     contains_any,
+    head,
     line_level,
     line_timestamp,
     matches_attack,
@@ -66,8 +67,9 @@ def line_levels(lines: DataFrame) -> DataFrame:
     return low.select("file_id", "line_no", line_level(F.col("line"), F.col("_low")).alias("level"))
 
 
-def scan_signatures(lines: DataFrame) -> DataFrame:
-    """Findings, at most one per line and attack category."""
+def scan_signatures(lines: DataFrame, chars: int | None = None) -> DataFrame:
+    """Findings, at most one per line and attack category, with the line or its
+    first ``chars``."""
     return (
         _flagged(lines.select("file_id", "line_no", "line"), "line")
         .select("file_id", "line_no", "line", F.explode(F.array(*_hit_structs())).alias("hit"))
@@ -77,16 +79,17 @@ def scan_signatures(lines: DataFrame) -> DataFrame:
             "line_no",
             "hit.category_no",
             "hit.type",
-            F.substring(strip(F.col("line")), 1, dims.FINDING_CHARS).alias("content"),
+            head(strip(F.col("line")), chars).alias("content"),
         )
     )
 
 
-def extract_events(lines: DataFrame) -> DataFrame:
+def extract_events(lines: DataFrame, chars: int | None = None) -> DataFrame:
     """One Vulnerability event per category hit, else one level event.
 
     Gives ``file_id, line_no, category_no, entry_type, vuln_type, message,
-    logged_on, logged_ts``; ``category_no`` is 0 for level events.
+    logged_on, logged_ts``; ``category_no`` is 0 for level events. The message is the
+    line or its first ``chars``.
     """
     no_attack = ~reduce(lambda a, b: a | b, _flags())
     level = F.when(no_attack, line_level(F.col("text"), F.col("_low")))
@@ -103,7 +106,7 @@ def extract_events(lines: DataFrame) -> DataFrame:
         .select("file_id", "line_no", "text", F.explode(F.array(*_hit_structs(), level_hit)).alias("hit"))
         .where(F.col("hit").isNotNull())
     )
-    head = F.substring("text", 1, dims.MESSAGE_CHARS)
+    message = head(F.col("text"), chars)
     is_attack = F.col("hit.category_no") > 0
     return found.select(
         "file_id",
@@ -111,8 +114,8 @@ def extract_events(lines: DataFrame) -> DataFrame:
         F.col("hit.category_no").alias("category_no"),
         F.when(is_attack, F.lit("Vulnerability")).otherwise(F.col("hit.type")).alias("entry_type"),
         F.when(is_attack, F.col("hit.type")).alias("vuln_type"),
-        F.when(is_attack, F.concat(F.lit("["), F.col("hit.type"), F.lit("] "), head))
-        .otherwise(head)
+        F.when(is_attack, F.concat(F.lit("["), F.col("hit.type"), F.lit("] "), message))
+        .otherwise(message)
         .alias("message"),
         line_timestamp(F.col("text")).alias("logged_on"),
     ).withColumn("logged_ts", parse_line_timestamp(F.col("logged_on")))

@@ -26,18 +26,15 @@ def line_table(lines: DataFrame) -> DataFrame:
 
 
 def table_line_table(
-    rows: DataFrame, columns: list[str], order: str, n: int = dims.TABLE_ROWS
+    rows: DataFrame, columns: list[str], order: str, n: int | None = None
 ) -> DataFrame:
-    """T2 for tables: the first ``n`` rows of each, cells joined by " | "."""
+    """T2 for tables: the rows of each, or the first ``n``, cells joined by " | "."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in columns]
-    return (
-        rows.select(
-            "file_id", F.col(order).alias("_o"), F.concat_ws(" | ", *cells).alias("line")
-        )
-        .withColumn("line_no", F.row_number().over(Window.partitionBy("file_id").orderBy("_o")))
-        .where(F.col("line_no") <= n)
-        .select("file_id", "line_no", "line")
-    )
+    numbered = rows.select(
+        "file_id", F.col(order).alias("_o"), F.concat_ws(" | ", *cells).alias("line")
+    ).withColumn("line_no", F.row_number().over(Window.partitionBy("file_id").orderBy("_o")))
+    kept = numbered if n is None else numbered.where(F.col("line_no") <= n)
+    return kept.select("file_id", "line_no", "line")
 
 
 def _ranked_terms(grams: DataFrame, k: int) -> DataFrame:

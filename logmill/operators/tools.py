@@ -34,7 +34,7 @@ def line_duplicates(lines: DataFrame) -> DataFrame:
 
 
 def top_recurring_lines(lines: DataFrame, k: int = 5) -> DataFrame:
-    """A2: the most common repeated lines of each file, cut at 75 for display."""
+    """A2: the most common repeated lines of each file, whole and cut at 75 for display."""
     order = Window.partitionBy("file_id").orderBy(F.col("n").desc(), "first_line")
     return (
         _line_counts(lines)
@@ -48,6 +48,7 @@ def top_recurring_lines(lines: DataFrame, k: int = 5) -> DataFrame:
             F.when(
                 F.length("line") > 75, F.concat(F.substring("line", 1, 75), F.lit("..."))
             ).otherwise(F.col("line")).alias("display"),
+            "line",
         )
     )
 

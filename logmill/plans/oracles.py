@@ -136,9 +136,13 @@ def put(name: str, *ctes: str, select: str) -> None:
 # --- parsing ---------------------------------------------------------------------------
 
 
-def findings(source: str, name: str = "findings") -> str:
+def cut(text: str, chars: int | None) -> str:
+    return text if chars is None else f"left({text}, {chars})"
+
+
+def findings(source: str, name: str = "findings", chars: int | None = None) -> str:
     parts = [
-        f"""SELECT file_id, line_no, {no} AS category_no, {q(a)} AS type, left({strip('line')}, 200) AS content
+        f"""SELECT file_id, line_no, {no} AS category_no, {q(a)} AS type, {cut(strip('line'), chars)} AS content
   FROM {source} WHERE regexp_matches(line, {attack(a)})"""
         for no, a in enumerate(ATTACKS, start=1)
     ]
@@ -159,22 +163,22 @@ def first_match(text: str, pattern: str) -> str:
     return f"nullif(regexp_extract({text}, {q(pattern)}, 0), '')"
 
 
-def events(source: str, name: str = "ev") -> str:
+def events(source: str, name: str = "ev", chars: int | None = None) -> str:
     flags = ", ".join(f"regexp_matches(t, {attack(a)}) AS a{no}" for no, a in enumerate(ATTACKS, 1))
     attacks = " UNION ALL ".join(
         f"""SELECT file_id, line_no, {no} AS category_no, 'Vulnerability' AS entry_type, {q(a)} AS vuln_type,
-  '[' || {q(a)} || '] ' || left(t, 1000) AS message, t FROM {name}_f WHERE a{no}"""
+  '[' || {q(a)} || '] ' || {cut('t', chars)} AS message, t FROM {name}_f WHERE a{no}"""
         for no, a in enumerate(ATTACKS, 1)
     )
     clean = " AND ".join(f"NOT a{no}" for no in range(1, len(ATTACKS) + 1))
     return f"""{name}_f AS (SELECT *, {flags} FROM (SELECT file_id, line_no, {strip('line')} AS t FROM {source}) WHERE t <> ''),
 {name} AS (SELECT file_id, line_no, category_no, entry_type, vuln_type, message, {first_match('t', dims.LINE_TIME)} AS logged_on FROM (
   {attacks} UNION ALL
-  SELECT file_id, line_no, 0, {level('t')} AS entry_type, NULL, left(t, 1000), t FROM {name}_f WHERE {clean})
+  SELECT file_id, line_no, 0, {level('t')} AS entry_type, NULL, {cut('t', chars)}, t FROM {name}_f WHERE {clean})
   WHERE entry_type IS NOT NULL)"""
 
 
-SIGNATURE = "CASE WHEN entry_type = 'Vulnerability' THEN vuln_type ELSE entry_type || ':' || left(message, 100) END"
+SIGNATURE = "CASE WHEN entry_type = 'Vulnerability' THEN vuln_type ELSE entry_type || ':' || message END"
 
 put("line_timestamp", LOG, select=f"""SELECT file_id, line_no, {first_match('line', dims.LINE_TIME)} AS logged_on,
   strftime(strptime({first_match('line', dims.LINE_TIME)}, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS logged_ts FROM log_lines""")
@@ -182,6 +186,12 @@ put("line_level", LOG, select=f"SELECT file_id, line_no, coalesce({level('line')
 put("scan_signatures", LOG, findings("log_lines"), select="SELECT file_id, line_no, type, content FROM findings")
 put("scan_pages", PAGE_LINES, findings("page_lines"),
     select="SELECT file_id, type, count(*) AS n, sum(length(content))::BIGINT AS chars FROM findings GROUP BY ALL")
+put("scan_pages_of_heads", PAGE_LINES, findings("page_lines", chars=dims.FINDING_CHARS),
+    select="SELECT file_id, type, count(*) AS n, sum(length(content))::BIGINT AS chars FROM findings GROUP BY ALL")
+put("page_events", PAGE_LINES, events("page_lines"),
+    select="SELECT file_id, entry_type, count(*) AS n, sum(length(message))::BIGINT AS chars FROM ev GROUP BY ALL")
+put("page_events_of_heads", PAGE_LINES, events("page_lines", chars=dims.MESSAGE_CHARS),
+    select="SELECT file_id, entry_type, count(*) AS n, sum(length(message))::BIGINT AS chars FROM ev GROUP BY ALL")
 put("extract_events", LOG, events("log_lines"), select="""SELECT file_id, line_no, category_no, entry_type, message, logged_on,
   strftime(strptime(logged_on, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS logged_ts FROM ev""")
 put("split_vulns", LOG, events("log_lines"), select="""SELECT file_id, line_no,
@@ -232,7 +242,14 @@ put("dedupe_incidents",
     lines_of("documents", "'doc-' || doc_id", "text", "raw"),
     "tagged AS (SELECT file_id, line_no, 'Error: ' || line AS line FROM raw)", events("tagged"),
     select="""SELECT file_id, line_no, entry_type, message FROM ev WHERE entry_type IN ('ERROR', 'WARNING')
-  QUALIFY row_number() OVER (PARTITION BY file_id, entry_type, left(message, 200) ORDER BY line_no) = 1""")
+  QUALIFY row_number() OVER (PARTITION BY file_id, entry_type, message ORDER BY line_no) = 1""")
+put("dedupe_incidents_of_heads",
+    lines_of("documents", "'doc-' || doc_id", "text", "raw"),
+    "tagged AS (SELECT file_id, line_no, 'Error: ' || line AS line FROM raw)", events("tagged"),
+    select=f"""SELECT file_id, line_no, entry_type, message FROM ev WHERE entry_type IN ('ERROR', 'WARNING')
+  QUALIFY row_number() OVER (PARTITION BY file_id, entry_type, left(message, {dims.DEDUPE_CHARS}) ORDER BY line_no) = 1""")
+put("incident_signature_of_heads", LOG, events("log_lines"), select="SELECT file_id, line_no, " +
+    SIGNATURE.replace("|| message", f"|| left(message, {dims.SIGNATURE_CHARS})") + " AS signature FROM ev")
 put("incident_signature", LOG, events("log_lines"), select=f"SELECT file_id, line_no, {SIGNATURE} AS signature FROM ev")
 put("cached_resolution", LOG, events("log_lines"), CACHE, select=f"""SELECT file_id, line_no, s.signature,
   coalesce(severity, '-') AS severity, coalesce(solution, '-') AS solution
@@ -278,7 +295,7 @@ put("parse_resolution_json", ANSWERS, f"""read AS (SELECT *, CASE WHEN json_vali
 
 RESOLVED = f"""incidents AS (SELECT * FROM ev WHERE entry_type = 'Vulnerability' UNION ALL
   SELECT * FROM ev WHERE entry_type IN ('ERROR', 'WARNING')
-  QUALIFY row_number() OVER (PARTITION BY file_id, entry_type, left(message, 200) ORDER BY line_no) = 1),
+  QUALIFY row_number() OVER (PARTITION BY file_id, entry_type, message ORDER BY line_no) = 1),
 resolved AS (SELECT file_id, line_no, category_no, entry_type, s.vuln_type, message, logged_on, s.signature,
   coalesce(c.severity, CASE WHEN entry_type = 'Vulnerability' THEN {fixed('severity')} ELSE {MILD} END) AS severity,
   coalesce(c.summary, CASE WHEN entry_type = 'Vulnerability' THEN {fixed('summary')} ELSE '' END) AS summary,
@@ -311,14 +328,14 @@ put("incident_totals", *RES, select="SELECT entry_type, severity, count(*) AS n,
 put("stream_events", LOG, events("log_lines"),
     select="SELECT entry_type, coalesce(vuln_type, '-') AS vuln_type, count(*) AS n FROM ev GROUP BY ALL")
 
-put("stream_dedupe", LOG, events("log_lines"), select="""SELECT file_id, entry_type, count(DISTINCT left(message, 200)) AS n FROM ev GROUP BY ALL""")
+put("stream_dedupe", LOG, events("log_lines"), select="""SELECT file_id, entry_type, count(DISTINCT message) AS n FROM ev GROUP BY ALL""")
 put("stream_hourly", LOG, events("log_lines"), select="""SELECT file_id,
   strftime(date_trunc('hour', strptime(logged_on, '%Y-%m-%d %H:%M:%S')), '%Y-%m-%d %H:%M:%S') AS hour_start, count(*) AS events FROM ev GROUP BY ALL""")
 
 # --- sources and sinks ---------------------------------------------------------------------------
 
 put("read_log_lines", LOG, select="SELECT file_id, line_no, line FROM log_lines")
-put("read_csv_table", select="SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part")
+put("read_csv_table", select="""SELECT p_partkey, 'the "' || p_name || '", new' || chr(10) || 'and old' AS p_name, p_brand, p_type, p_size FROM part""")
 put("read_parquet_table", select="SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer")
 EXT = "lower(string_split(name, '.')[-1])"
 STATUS = f"""CASE WHEN {EXT} IN ({items(dims.STRUCTURED_EXTENSIONS)}) THEN 'structured'
@@ -344,9 +361,14 @@ put("write_by_category", LOG, select=f"SELECT {by_domain('line')} AS category, f
 
 # --- classification ---------------------------------------------------------------------------------
 
-FAST = f"""(regexp_matches(lower(name), '\\.(log|txt)$') AND ({' OR '.join(f"contains(upper(left(text, 1000)), {q(w)})" for w in dims.FAST_PATH_WORDS)}))"""
+def fast(chars: int | None = None) -> str:
+    found = " OR ".join(f"contains(upper({cut('text', chars)}), {q(w)})" for w in dims.FAST_PATH_WORDS)
+    return f"""(regexp_matches(lower(name), '\\.(log|txt)$') AND ({found}))"""
+
+
+FAST = fast()
 SCORES = ", ".join(f"{hits('head', w)} AS s_{c}" for c, w in dims.CLASS_KEYWORDS.items())
-SCORED = f"scored AS (SELECT *, {SCORES} FROM (SELECT *, lower(left(text, 2000)) AS head FROM files))"
+SCORED = f"scored AS (SELECT *, {SCORES} FROM (SELECT *, lower(text) AS head FROM files))"
 BEST = f"greatest({', '.join('s_' + c for c in dims.CLASS_KEYWORDS)})"
 KEY_CLASS = case(
     [(f"{BEST} = 0", f"CASE WHEN {EXT} IN ('log', 'txt') THEN 'log' ELSE 'other_document' END")]
@@ -372,6 +394,9 @@ TYPED = f"""typed AS (SELECT file_id, {STATUS} AS ingest_status, CASE WHEN {STAT
   FROM classified JOIN log_tables USING (file_id))"""
 put("log_fast_path", FILES, select=f"SELECT file_id, {FAST} AS is_log FROM files")
 put("keyword_file_class", FILES, SCORED, select=f"SELECT file_id, {KEY_CLASS} AS category, round({KEY_CONF}, 6) AS confidence FROM scored")
+put("log_fast_path_of_heads", FILES, select=f"SELECT file_id, {fast(dims.FAST_PATH_CHARS)} AS is_log FROM files")
+put("keyword_file_class_of_heads", FILES, SCORED.replace("lower(text)", f"lower(left(text, {dims.CLASSIFY_CHARS}))"),
+    select=f"SELECT file_id, {KEY_CLASS} AS category, round({KEY_CONF}, 6) AS confidence FROM scored")
 put("classify_file", FILES, SCORED, CLASSIFIED, select="SELECT file_id, category, round(confidence, 6) AS confidence FROM classified")
 put("normalize_label", FILES, select=f"SELECT file_id, label, {NORMAL} AS category FROM files WHERE label IS NOT NULL")
 put("log_like_columns", TABLE_COLUMNS, LOG_TABLES, select="SELECT * FROM log_tables")
@@ -386,7 +411,10 @@ put("table_sample_text", ORDER_TABLES, select=f"""SELECT file_id, 'Table Columns
   string_agg({CELLS.format(sep="' '")}, chr(10) ORDER BY o_orderkey) AS sample
   FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY o_orderkey) AS rn FROM order_tables) WHERE rn <= 10 GROUP BY file_id""")
 put("table_line_table", ORDER_TABLES, select=f"""SELECT file_id, line_no, {CELLS.format(sep="' | '")} AS line
-  FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY o_orderkey) AS line_no FROM order_tables) WHERE line_no <= 1000""")
+  FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY o_orderkey) AS line_no FROM order_tables)""")
+put("table_line_table_of_first_rows", ORDER_TABLES, select=f"""SELECT file_id, line_no, {CELLS.format(sep="' | '")} AS line
+  FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY o_orderkey) AS line_no FROM order_tables)
+  WHERE line_no <= {dims.TABLE_ROWS}""")
 
 # --- audit table -----------------------------------------------------------------------------------------
 
@@ -547,7 +575,7 @@ NONBLANK = f"nonblank AS (SELECT * FROM doc_lines WHERE {strip('line')} <> '')"
 COUNTED = "counted AS (SELECT file_id, line, count(*) AS n, min(line_no) AS first_line FROM nonblank GROUP BY file_id, line)"
 put("line_duplicates", DOC_LINES, NONBLANK, COUNTED, select="""SELECT file_id, sum(n)::BIGINT AS total_lines, count(*) AS unique_lines,
   sum(n - 1)::BIGINT AS redundant_lines FROM counted GROUP BY file_id""")
-put("top_recurring_lines", DOC_LINES, NONBLANK, COUNTED, select="""SELECT file_id, rank, n, CASE WHEN length(line) > 75 THEN left(line, 75) || '...' ELSE line END AS display
+put("top_recurring_lines", DOC_LINES, NONBLANK, COUNTED, select="""SELECT file_id, rank, n, CASE WHEN length(line) > 75 THEN left(line, 75) || '...' ELSE line END AS display, line
   FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY n DESC, first_line) AS rank FROM counted WHERE n > 1) WHERE rank <= 5""")
 put("row_duplicates", select="""SELECT sum(n)::BIGINT AS total_rows, count(*) AS unique_rows, sum(n - 1)::BIGINT AS duplicate_rows FROM (
   SELECT count(*) AS n FROM lineitem GROUP BY l_quantity, l_discount, l_returnflag)""")

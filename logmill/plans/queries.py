@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmill.functions import expr
+from logmill.functions import dims, expr
 from logmill.operators import classify, cluster, enrich, metadata, parse, retrieval, textfeat, tools
 from logmill.plans import inputs, runs
-from logmill.session import scratch_path
+from logmill.session import materialize, scratch_path
 from logmill.sources import readers, sinks
 from logmill.streaming import streams
 
@@ -61,10 +61,11 @@ def read_log_lines(spark, sf_dir):
 @query
 def read_csv_table(spark, sf_dir):
     path = scratch_path(spark, "csv")
+    name = F.concat(F.lit('the "'), "p_name", F.lit('", new\nand old'))
     inputs.load(spark, sf_dir, "part").select(
-        "p_partkey", "p_name", "p_brand", "p_type", "p_size"
-    ).write.csv(path, header=True)
-    return readers.read_csv_table(spark, path).select(
+        "p_partkey", name.alias("p_name"), "p_brand", "p_type", "p_size"
+    ).write.csv(path, header=True, escape='"')
+    return readers.read_csv_table(spark, path, multiline=True).select(
         F.col("p_partkey").cast("long").alias("p_partkey"), "p_name", "p_brand", "p_type",
         F.col("p_size").cast("int").alias("p_size"),
     )
@@ -126,7 +127,7 @@ def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines by template, with cluster and category."""
     rows = _clean_rows(spark, sf_dir)
     labels = cluster.template_clusters(rows.select("row_id", "cleaned"))
-    named = cluster.cluster_label(labels, _top_terms(rows, labels))
+    named = materialize(cluster.cluster_label(labels, _top_terms(rows, labels)), "named")
     return rows.join(labels.drop("cleaned"), "row_id").join(named, "cluster_id")
 
 
@@ -195,6 +196,19 @@ def keyword_file_class(spark, sf_dir):
     )
 
 
+@query
+def log_fast_path_of_heads(spark, sf_dir):
+    c = classify.log_fast_path(F.col("name"), F.col("text"), dims.FAST_PATH_CHARS)
+    return inputs.files(spark, sf_dir).select("file_id", c.isNotNull().alias("is_log"))
+
+
+@query
+def keyword_file_class_of_heads(spark, sf_dir):
+    return classify.keyword_file_class(inputs.files(spark, sf_dir), chars=dims.CLASSIFY_CHARS).select(
+        "file_id", "_class.category", F.round("_class.confidence", 6).alias("confidence")
+    )
+
+
 @query
 def classify_file(spark, sf_dir):
     return classify.classify_files(inputs.files(spark, sf_dir)).select(
@@ -369,6 +383,27 @@ def scan_pages(spark, sf_dir):
     )
 
 
+@query
+def scan_pages_of_heads(spark, sf_dir):
+    found = parse.scan_signatures(inputs.page_lines(spark, sf_dir), dims.FINDING_CHARS)
+    return found.groupBy("file_id", "type").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
+
+
+def _page_events(spark: SparkSession, sf_dir: str, chars: int | None = None) -> DataFrame:
+    found = parse.extract_events(inputs.page_lines(spark, sf_dir), chars)
+    return found.groupBy("file_id", "entry_type").agg(F.count("*").alias("n"), F.sum(F.length("message")).alias("chars"))
+
+
+@query
+def page_events(spark, sf_dir):
+    return _page_events(spark, sf_dir)
+
+
+@query
+def page_events_of_heads(spark, sf_dir):
+    return _page_events(spark, sf_dir, dims.MESSAGE_CHARS)
+
+
 @query
 def extract_events(spark, sf_dir):
     return _events(spark, sf_dir).select(
@@ -436,9 +471,23 @@ def _incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def dedupe_incidents(spark, sf_dir):
     """Over document lines that repeat, so that there are copies to drop."""
+    return _deduped(spark, sf_dir)
+
+
+def _deduped(spark: SparkSession, sf_dir: str, chars: int | None = None) -> DataFrame:
     lines = inputs.doc_lines(spark, sf_dir).withColumn("line", F.concat(F.lit("Error: "), "line"))
     events = parse.keep_error_warning(parse.extract_events(lines))
-    return enrich.dedupe_incidents(events).select("file_id", "line_no", "entry_type", "message")
+    return enrich.dedupe_incidents(events, chars).select("file_id", "line_no", "entry_type", "message")
+
+
+@query
+def dedupe_incidents_of_heads(spark, sf_dir):
+    return _deduped(spark, sf_dir, dims.DEDUPE_CHARS)
+
+
+@query
+def incident_signature_of_heads(spark, sf_dir):
+    return enrich.with_signature(_events(spark, sf_dir), dims.SIGNATURE_CHARS).select("file_id", "line_no", "signature")
 
 
 @query
@@ -553,6 +602,12 @@ def table_line_table(spark, sf_dir):
     return textfeat.table_line_table(inputs.order_tables(spark, sf_dir), columns, "o_orderkey")
 
 
+@query
+def table_line_table_of_first_rows(spark, sf_dir):
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    return textfeat.table_line_table(inputs.order_tables(spark, sf_dir), columns, "o_orderkey", dims.TABLE_ROWS)
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.documents(spark, sf_dir).select("doc_id", "text")
 
@@ -891,8 +946,8 @@ def stream_dedupe(spark, sf_dir):
 def stream_hourly(spark, sf_dir):
     out = scratch_path(spark, "stream-out")
     counts = streams.stream_hourly(_event_stream(spark, sf_dir))
-    streams.write_state(counts, out, scratch_path(spark, "stream-state")).awaitTermination()
-    return spark.read.parquet(out).select("file_id", _time("hour_start").alias("hour_start"), "events")
+    streams.write_updates(counts, out, scratch_path(spark, "stream-state")).awaitTermination()
+    return streams.hourly_totals(spark, out).select("file_id", _time("hour_start").alias("hour_start"), "events")
 
 
 @query

@@ -108,7 +108,8 @@ def clustered_lines(lines: DataFrame, eps: float = 0.7) -> DataFrame:
     texts = cluster.distinct_texts(table.select("row_id", F.col("cleaned").alias("text")))
     weights = materialize(textfeat.tfidf(texts), "weights")
     labels = materialize(cluster.text_clusters(texts, weights, eps), "labels")
-    named = cluster.cluster_label(labels, cluster.cluster_top_terms(weights, labels))
+    # written: noise is a hot key of the join, which needs two exchanges to be split
+    named = materialize(cluster.cluster_label(labels, cluster.cluster_top_terms(weights, labels)), "named")
     by_text = (
         texts.join(labels.select("row_id", "cluster_id"), "row_id")
         .join(named, "cluster_id")

@@ -7,29 +7,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from logmill.operators.metadata import file_uuid
 from logmill.session import materialize
 
-# Entries of the block table that are sent to every executor at most: 500,000
-# blocks of 128 MB are 64 TB of text. Beyond that the join goes by shuffle.
-BROADCAST_BLOCKS = 500_000
-
 
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def read_log_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``.txt``/``.log`` files as lines (path, file_id, line_no, line).
+def file_id(path: Column) -> Column:
+    """M7: the UUID in a file's name, else the hash of its whole path, so that files
+    of one name in two folders stay apart."""
+    return F.coalesce(
+        file_uuid(base_name(path)), F.concat(F.lit("AUDIT-"), F.substring(F.sha2(path, 256), 1, 16))
+    )
+
+
+def read_log_lines(
+    spark: SparkSession, path: str | list[str], pattern: str = "*.{txt,log,TXT,LOG}"
+) -> DataFrame:
+    """Files as lines (path, file_id, name, line_no, line). ``pattern`` says which
+    names are read, by default those of text files.
 
-    Bad bytes are replaced. See ``number_lines`` for the line numbers.
+    Bad bytes are replaced. See ``number_lines`` for the line numbers, ``file_id`` for
+    the ids. Spark's readers skip names that begin with ``_`` or ``.``.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").text(path).select(
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    raw = reader.text(path).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.make_valid_utf8("value").alias("line"),
     )
-    return number_lines(raw).withColumn("file_id", base_name(F.col("path"))).select(
-        "path", "file_id", "line_no", "line"
+    return number_lines(raw).select(
+        "path", file_id(F.col("path")).alias("file_id"), base_name(F.col("path")).alias("name"), "line_no", "line"
     )
 
 
@@ -52,23 +62,21 @@ def number_lines(raw: DataFrame) -> DataFrame:
         ),
         "blocks",
     )
-    small = offsets.count() <= BROADCAST_BLOCKS
-    joined = seq.join(F.broadcast(offsets) if small else offsets, ["path", "block"])
+    joined = seq.join(offsets, ["path", "block"])
     return joined.select(
         "path", (F.col("_before") + F.col("_seq") - F.col("_first") + 1).alias("line_no"), "line"
     )
 
 
 def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Whole small files, one row each: (path, file_id, text)."""
+    """Whole small files, one row each: (path, file_id, name, text)."""
     return (
         spark.read.option("recursiveFileLookup", "true")
         .text(path, wholetext=True)
         .select(
             F.col("_metadata.file_path").alias("path"), F.make_valid_utf8("value").alias("text")
         )
-        .withColumn("file_id", base_name(F.col("path")))
-        .select("path", "file_id", "text")
+        .select("path", file_id(F.col("path")).alias("file_id"), base_name(F.col("path")).alias("name"), "text")
     )
 
 
@@ -81,10 +89,11 @@ def lines_of_texts(texts: DataFrame, *keys: str, text: str = "text") -> DataFram
 
 
 def read_csv_table(
-    spark: SparkSession, path: str | list[str], schema: StructType | str | None = None
+    spark: SparkSession, path: str | list[str], schema: StructType | str | None = None, multiline: bool = False
 ) -> DataFrame:
-    """CSV with a header. Give a schema to spare the pass that infers one."""
-    reader = spark.read.option("header", "true").option("multiLine", "false")
+    """CSV with a header and doubled quotes. Give a schema to spare the pass that
+    infers one. With ``multiline``, cells may hold line ends; a file is then one task."""
+    reader = spark.read.option("header", "true").option("escape", '"').option("multiLine", str(multiline).lower())
     reader = reader.schema(schema) if schema else reader.option("inferSchema", "true")
     return reader.csv(path)
 
@@ -124,5 +133,5 @@ def load_master_csv(spark: SparkSession, path: str, master: DataFrame) -> DataFr
     """The audit table plus the rows of an old CSV report whose id it lacks."""
     from logmill.operators.metadata import insert_if_absent
 
-    old = read_csv_table(spark, path, master.schema).select(*master.columns)
+    old = read_csv_table(spark, path, master.schema, multiline=True).select(*master.columns)
     return insert_if_absent(master, old, "file_id")

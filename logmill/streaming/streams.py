@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from logmill.functions.expr import head
 from logmill.operators.parse import extract_events
-from logmill.sources.readers import base_name, number_lines
+from logmill.sources.readers import file_id, number_lines
 
 
 def log_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -27,7 +28,7 @@ def stream_events(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        lines = number_lines(batch).withColumn("file_id", base_name(F.col("path")))
+        lines = number_lines(batch).withColumn("file_id", file_id(F.col("path")))
         extract_events(lines).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
@@ -38,10 +39,10 @@ def stream_events(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     )
 
 
-def stream_dedupe(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+def stream_dedupe(events: DataFrame, delay: str = "1 hour", chars: int | None = None) -> DataFrame:
     """E1 on a stream of events; state is kept for ``delay`` of event time."""
     return (
-        events.withColumn("head", F.substring("message", 1, 200))
+        events.withColumn("head", head(F.col("message"), chars))
         .withWatermark("logged_ts", delay)
         .dropDuplicatesWithinWatermark(["file_id", "entry_type", "head"])
         .drop("head")
@@ -58,14 +59,15 @@ def stream_hourly(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def write_state(result: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """The whole result of an aggregation, replaced batch by batch."""
+def write_updates(result: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """The rows that each batch changed, in a folder per batch. State that the
+    watermark has passed is dropped, and rows that come later than that don't count."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return (
-        result.writeStream.outputMode("complete")
+        result.writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -83,3 +85,9 @@ def append_rows(result: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
         .trigger(availableNow=True)
         .start()
     )
+
+
+def hourly_totals(spark: SparkSession, out: str) -> DataFrame:
+    """X3's result from its updates: counts only grow, so the largest is the last."""
+    updates = spark.read.parquet(out)
+    return updates.groupBy("file_id", "hour_start").agg(F.max("events").alias("events"))

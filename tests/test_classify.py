@@ -28,9 +28,10 @@ def test_fast_path(spark):
     rows = [("a.log", "x info y"), ("a.TXT", "Warned"), ("a.csv", "ERROR"), ("b.log", "timestamp traceback"),
             ("c.log", " " * 1000 + "INFO"), ("d.log", "INFORMATION")]
     df = spark.createDataFrame([(str(i), *r) for i, r in enumerate(rows)], FILES)
-    hit = classify.log_fast_path(F.col("name"), F.col("text"))
-    got = [r["h"] for r in df.orderBy("file_id").select(hit.isNotNull().alias("h")).collect()]
-    assert got == [True, True, False, False, False, True]
+    for chars, far in ((None, True), (1000, False)):
+        hit = classify.log_fast_path(F.col("name"), F.col("text"), chars)
+        got = [r["h"] for r in df.orderBy("file_id").select(hit.isNotNull().alias("h")).collect()]
+        assert got == [True, True, False, False, far, True]
 
 
 @pytest.mark.parametrize(
@@ -42,7 +43,7 @@ def test_fast_path(spark):
         ("a.pdf", "invoice bill payment total tax amount due", ("invoice", 0.6)),
         ("a.log", "nothing", ("log", 0.6)),
         ("a.pdf", "nothing", ("other_document", 0.5)),
-        ("a.pdf", "x" * 2000 + " error", ("other_document", 0.5)),
+        ("a.pdf", "x" * 2000 + " error", ("log", 0.1)),
         ("a.pdf", " ".join(dims.CLASS_KEYWORDS["log"]), ("log", 0.9)),
     ],
 )

@@ -12,13 +12,17 @@ CACHE = "signature string, severity string, summary string, solution string, ref
 def test_dedupe_keeps_the_first_of_equal_heads(lines):
     head = "error " + "a" * 194
     df = lines(head + "1", head + "2", "error " + "a" * 100, "warn x", "warn x")
-    events = enrich.dedupe_incidents(parse.extract_events(df))
-    assert sorted(r["line_no"] for r in events.collect()) == [1, 3, 4]
+    found = parse.extract_events(df)
+    for chars, lines_left in ((200, [1, 3, 4]), (None, [1, 2, 3, 4])):
+        events = enrich.dedupe_incidents(found, chars)
+        assert sorted(r["line_no"] for r in events.collect()) == lines_left
 
 
 def test_signature_is_shorter_than_the_dedupe_key(lines):
     head = "error " + "a" * 94
-    rows = enrich.with_signature(parse.extract_events(lines(head + "b" * 50, head + "c" * 50, "x--y"))).collect()
+    rows = enrich.with_signature(
+        parse.extract_events(lines(head + "b" * 50, head + "c" * 50, "x--y")), 100
+    ).collect()
     by_line = {r["line_no"]: r["signature"] for r in rows}
     assert by_line[1] == by_line[2] == "ERROR:" + head
     assert by_line[3] == "SQL Injection (SQLi)"

@@ -32,22 +32,22 @@ def small_splits(spark):
         spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_line_numbers_across_blocks(spark, landing, small_splits, monkeypatch, broadcast):
-    if not broadcast:
-        monkeypatch.setattr(readers, "BROADCAST_BLOCKS", 0)
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_line_numbers_across_blocks(spark, landing, small_splits, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     df = readers.read_log_lines(spark, str(landing))
     for name in ("a", "b"):
-        rows = {r["line_no"]: r["line"] for r in df.where(F.col("file_id") == f"{name}.log").collect()}
+        rows = {r["line_no"]: r["line"] for r in df.where(F.col("name") == f"{name}.log").collect()}
         assert rows == {i: f"{name} line {i}" for i in range(1, 3001)}
-    rows = {r["line_no"]: r["line"] for r in df.where("file_id = 'c.txt'").collect()}
+    rows = {r["line_no"]: r["line"] for r in df.where("name = 'c.txt'").collect()}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert rows == {1: "x", 2: "ERROR bad � byte", 3: "", 4: "end"}
 
 
 def test_lines_of_texts_agree(spark, landing):
-    texts = readers.read_texts(spark, str(landing)).where("file_id <> 'c.txt'")
+    texts = readers.read_texts(spark, str(landing)).where("name <> 'c.txt'")
     lines = readers.lines_of_texts(texts, "file_id")
-    read = readers.read_log_lines(spark, str(landing)).where("file_id <> 'c.txt'")
+    read = readers.read_log_lines(spark, str(landing)).where("name <> 'c.txt'")
     assert lines.exceptAll(read.select("file_id", "line_no", "line")).count() == 0
     assert lines.count() == read.count() == 6000
 
@@ -63,6 +63,24 @@ def test_folder_listing_does_not_read(spark, landing):
     assert sorted(r["name"] for r in targets.collect()) == ["a.log", "b.log", "c.txt"]
 
 
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "app.log").write_text(f"ERROR in {folder}\nok\n")
+    (tmp_path / "x" / "table.csv").write_text("no,log\n")
+    lines = readers.read_log_lines(spark, str(tmp_path))
+    assert parse.scan_summary(lines).first()["files_scanned"] == 2
+    assert sorted((r["name"], r["line_no"]) for r in lines.collect()) == [("app.log", n) for n in (1, 1, 2, 2)]
+    found = enrich.dedupe_incidents(parse.extract_events(lines))
+    assert sorted(r["message"] for r in found.collect()) == ["ERROR in x", "ERROR in y"]
+
+
+def test_quotes_commas_and_line_ends(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,b\n1,"he said ""hi"", ok"\n2,"two\nlines"\n')
+    df = readers.read_csv_table(spark, str(tmp_path / "q.csv"), "a int, b string", multiline=True)
+    assert [tuple(r) for r in df.orderBy("a").collect()] == [(1, 'he said "hi", ok'), (2, "two\nlines")]
+
+
 def test_csv_and_parquet(spark, tmp_path):
     (tmp_path / "t.csv").write_text("Date first seen,Src IP,Packets\n2024-01-01 10:00:00,10.0.0.1,5\n")
     df = readers.read_csv_table(spark, str(tmp_path / "t.csv"))
@@ -150,8 +168,28 @@ def test_stream_state(spark, tmp_path):
         return spark.table(name).collect()
 
     assert len(run(streams.stream_dedupe, "append", "deduped")) == 3
-    hours = run(streams.stream_hourly, "complete", "hourly")
-    assert sorted((r["file_id"], r["hour_start"].hour, r["events"]) for r in hours) == [("f", 10, 2), ("f", 11, 1), ("g", 15, 1)]
+
+
+def test_hourly_counts_over_batches_a_restart_and_late_rows(spark, tmp_path):
+    folder, out, state = tmp_path / "ev", str(tmp_path / "out"), str(tmp_path / "state")
+    schema = "file_id string, logged_ts timestamp"
+
+    def add(*times):
+        rows = spark.createDataFrame([("f", t) for t in times], "file_id string, t string")
+        rows.select("file_id", F.to_timestamp("t").alias("logged_ts")).coalesce(1).write.mode("append").parquet(str(folder))
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        streams.write_updates(streams.stream_hourly(stream), out, state).awaitTermination()
+        return {r["hour_start"].hour: r["events"] for r in streams.hourly_totals(spark, out).collect()}
+
+    add("2024-01-01 10:00:00", "2024-01-01 10:05:00")
+    add("2024-01-01 11:00:00")
+    assert run() == {10: 2, 11: 1}
+    add("2024-01-01 10:59:00", "2024-01-01 15:00:00")  # an hour late at most
+    assert run() == {10: 3, 11: 1, 15: 1}
+    add("2024-01-01 10:30:00", "2024-01-01 15:30:00")  # the first is four hours late
+    assert run() == {10: 3, 11: 1, 15: 2}
 
 
 def test_scratch_is_under_the_shared_folder(spark):

@@ -45,8 +45,9 @@ def test_near_misses(lines):
 
 def test_finding_text_is_stripped_and_cut(lines):
     text = "  \t-- " + "x" * 300
-    (row,) = parse.scan_signatures(lines(text)).collect()
-    assert row["content"] == text.strip()[:200]
+    for chars in (None, 200):
+        (row,) = parse.scan_signatures(lines(text), chars).collect()
+        assert row["content"] == text.strip()[:chars]
 
 
 def test_levels_are_whole_words(lines):
@@ -76,9 +77,10 @@ def test_events_of_a_mixed_log(lines):
 
 def test_event_messages_are_cut_after_the_type(lines):
     long = "-- " + "y" * 2000
-    (row,) = parse.extract_events(lines(long)).collect()
-    assert row["message"] == f"[{SQLI}] {long[:1000]}"
-    (row,) = parse.extract_events(lines("error " + "z" * 2000)).collect()
+    for chars in (None, 1000):
+        (row,) = parse.extract_events(lines(long), chars).collect()
+        assert row["message"] == f"[{SQLI}] {long[:chars]}"
+    (row,) = parse.extract_events(lines("error " + "z" * 2000), 1000).collect()
     assert len(row["message"]) == 1000
 
 
