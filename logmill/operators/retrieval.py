@@ -16,6 +16,7 @@ from logmill.session import materialize
 
 # Question vectors sent to every task: at most this many per pass.
 QUERY_BLOCK = 5_000
+SLICE = 4_000_000
 
 DOC_FIELDS = [
     "collection", "id", "file_id", "text", "level", "vuln_type", "severity", "category",
@@ -164,27 +165,28 @@ def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _partial_topk(query_ids: list, q: np.ndarray, k: int, metric: str):
+    """The best ``k`` of a task's documents for each question, ties by id. Documents
+    are scored a slice at a time, so that a slice has about ``SLICE`` scores."""
+    names = np.array(query_ids, dtype=object)
+    step = max(1, SLICE // max(1, len(q)))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = np.empty((len(query_ids), 0), dtype=object)
-        scores = np.empty((len(query_ids), 0))
+        question, ids, scores = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
         for batch in batches:
-            if batch.empty:
-                continue
-            new = _scores(np.stack(batch["embedding"].to_numpy()).astype(float), q, metric)
-            ids = np.hstack([ids, np.broadcast_to(batch["id"].to_numpy(dtype=object), new.shape)])
-            scores = np.hstack([scores, new])
-            if scores.shape[1] > k:
-                keep = [np.lexsort((ids[i], -scores[i]))[:k] for i in range(len(query_ids))]
-                ids = np.stack([ids[i][o] for i, o in enumerate(keep)])
-                scores = np.stack([scores[i][o] for i, o in enumerate(keep)])
-        n = scores.shape[1]
-        yield pd.DataFrame(
-            {
-                "query_id": np.repeat(np.array(query_ids, dtype=object), n),
-                "id": ids.ravel(),
-                "score": scores.ravel(),
-            }
-        )
+            every, vectors = batch["id"].to_numpy(dtype=object), batch["embedding"].to_numpy()
+            for start in range(0, len(every), step):
+                part = slice(start, start + step)
+                new = _scores(np.stack(vectors[part]).astype(float), q, metric)
+                n = new.shape[1]
+                least = np.partition(new, n - k, axis=1)[:, n - k, None] if n > k else -np.inf
+                who, what = np.nonzero(new >= least)
+                question, ids = np.append(question, who), np.append(ids, every[part][what])
+                scores = np.append(scores, new[who, what])
+                order = np.lexsort((ids, -scores, question))
+                question, ids, scores = question[order], ids[order], scores[order]
+                rank = np.arange(len(question)) - np.searchsorted(question, question)
+                question, ids, scores = question[rank < k], ids[rank < k], scores[rank < k]
+        yield pd.DataFrame({"query_id": names[question], "id": ids, "score": scores})
 
     return run
 

@@ -532,25 +532,18 @@ put("write_lines_by_category", *CLUSTERED, select="""SELECT line AS original_log
 
 
 def line_clusters(rows: str) -> str:
-    """labels(row_id, cluster_id) from weights: rows that share a shortened form."""
-    budget = 1 - (1 - LINE_EPS * LINE_EPS / 8) ** 2
-    return f"""vec AS (SELECT row_id, list({{'w': round(weight, 9), 't': term, 'n': n}} ORDER BY round(weight, 9), term, n) AS v FROM weights GROUP BY row_id),
-shaped AS (SELECT r.row_id, coalesce(list_transform(v, lambda x: x.t || ':' || x.n), []) AS words,
-  coalesce(list_transform(v, lambda x: x.w * x.w), []) AS sq FROM {rows} r LEFT JOIN vec USING (row_id)),
-pts AS (SELECT array_to_string(list_sort(words), ' ') AS key, min(row_id) AS point, count(*) AS weight,
-  arg_min(words, row_id) AS words, arg_min(sq, row_id) AS sq FROM shaped GROUP BY 1),
-forms AS (
-  SELECT point, array_to_string(list_sort(words[:i - 1] || words[i + 1:]), ' ') AS form
-  FROM (SELECT point, words, unnest(range(1, len(list_filter(sq, lambda x: x <= {budget!r})) + 1)) AS i FROM pts)
-  UNION SELECT point, array_to_string(list_sort(words[j + 1:]), ' ') FROM (SELECT point, words,
-    unnest(list_filter(range(0, len(sq) + 1), lambda j: j = 0 OR list_sum(sq[1:j]) <= {budget!r})) AS j FROM pts WHERE len(words) > 0)),
-hubs AS (SELECT form, min(point) AS hub FROM forms GROUP BY form HAVING count(*) > 1),
-half AS (SELECT DISTINCT point AS a, hub AS b FROM forms JOIN hubs USING (form) WHERE point <> hub),
-edges AS (SELECT a, b FROM half UNION SELECT b, a FROM half),
-reach(node, root) AS (SELECT point, point FROM pts UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node),
+    """labels(row_id, cluster_id) from weights: connected by distances up to LINE_EPS."""
+    return f"""vec AS (SELECT row_id, list({{'t': term, 'w': round(weight, 9)}} ORDER BY term) AS v FROM weights GROUP BY row_id),
+shaped AS (SELECT r.row_id, coalesce(v::VARCHAR, '') AS key, v FROM {rows} r LEFT JOIN vec USING (row_id)),
+pts AS (SELECT key, min(row_id) AS point, count(*) AS weight, any_value(v) AS v FROM shaped GROUP BY key),
+flat AS (SELECT point, t.t AS term, t.w AS w FROM (SELECT point, unnest(v) AS t FROM pts)),
+half AS (SELECT x.point AS a, y.point AS b FROM flat x JOIN flat y ON x.term = y.term AND x.point < y.point
+  GROUP BY 1, 2 HAVING sqrt(2 - 2 * least(sum(x.w * y.w), 1)) <= {LINE_EPS} + 1e-9),
+edges AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach(node, root) AS (SELECT point, point FROM pts UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node AND e.b > r.root),
 comps AS (SELECT node AS point, min(root) AS root FROM reach GROUP BY node),
 point_labels AS (SELECT key, CASE WHEN sum(weight) OVER (PARTITION BY root) >= 5 THEN root ELSE -1 END AS cluster_id FROM pts JOIN comps USING (point)),
-labels AS (SELECT row_id, cluster_id FROM shaped JOIN point_labels ON key = array_to_string(list_sort(words), ' '))"""
+labels AS (SELECT row_id, cluster_id FROM shaped JOIN point_labels USING (key))"""
 
 
 put("density_clusters_lines", DOC_ROWS, tfidf("doc_rows", "row_id", LINE_STOPS), line_clusters("doc_rows"),

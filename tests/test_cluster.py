@@ -60,40 +60,30 @@ TEXTS = (
 )
 
 
-def short_forms(vectors, eps):
-    """All the shortened forms of each row, restated plainly."""
-    budget = 1 - (1 - eps * eps / 8) ** 2
-    out = []
-    for terms in vectors:
-        light = sorted(terms, key=lambda t: (t[2], t[0], t[1]))
-        keep = [light]
-        keep += [[u for u in light if u != t] for t in light if t[2] ** 2 <= budget]
-        for j in range(1, len(light) + 1):
-            if sum(t[2] ** 2 for t in light[:j]) <= budget:
-                keep.append(light[j:])
-        out.append({tuple(sorted((t, n) for t, n, _ in k)) for k in keep})
-    return out
-
-
-@pytest.mark.parametrize("eps", [0.0, 0.7, 1.1])
-def test_lines_against_brute_force(spark, eps):
+@pytest.mark.parametrize("eps, tile", [(0.0, 1024), (0.7, 1024), (0.7, 3), (1.1, 7)])
+def test_lines_against_all_pairs(spark, monkeypatch, eps, tile):
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(9)] + ["zz"] * 4
     texts = TEXTS + [" ".join(rng.choice(words, size=rng.integers(1, 8))) for _ in range(60)] + ["", ""]
     rows = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string").repartition(3)
-    by_row = {}
-    for r in textfeat.tfidf(rows).collect():
-        by_row.setdefault(r["row_id"], []).append((r["term"], r["n"], round(r["weight"], 9)))
-    forms = short_forms([by_row.get(i, []) for i in range(len(texts))], eps)
-    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if forms[i] & forms[j]]
-    assert labels(cluster.density_clusters_lines(rows, eps)) == sized(union(len(texts), pairs), 5)
-    # Linked rows are within eps of each other.
-    terms = sorted({t for v in by_row.values() for t, _, _ in v})
+    plain = cluster.line_links
+    monkeypatch.setattr(cluster, "line_links", lambda points, e: plain(points, e, tile))
+    found = [(r["row_id"], r["term"], round(r["weight"], 9)) for r in textfeat.tfidf(rows).collect()]
+    terms = sorted({t for _, t, _ in found})
     x = np.zeros((len(texts), len(terms)))
-    for i, v in by_row.items():
-        for t, _, w in v:
-            x[i, terms.index(t)] = w
-    assert all(np.linalg.norm(x[i] - x[j]) <= eps + 1e-6 for i, j in pairs)
+    for i, t, w in found:
+        x[i, terms.index(t)] = w
+    near = np.linalg.norm(x[:, None] - x[None], axis=2) <= eps + 1e-6
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if near[i, j]]
+    assert labels(cluster.density_clusters_lines(rows, eps)) == sized(union(len(texts), pairs), 5)
+
+
+def test_lines_that_share_most_words(spark):
+    common = " ".join(f"common{i}" for i in range(16))
+    texts = [f"{common} one{k} two{k}" for k in range(2) for _ in range(3)]
+    texts = [f"{t} " for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
+    assert set(labels(cluster.density_clusters_lines(rows)).values()) == {0}
 
 
 def test_near_equal_lines_form_two_clusters(spark):
