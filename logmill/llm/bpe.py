@@ -1,13 +1,14 @@
 """Byte-level BPE encoding and decoding.
 
 Words are what the public splitting pattern matches. Each task reads its texts in
-blocks of about ``BLOCK`` bytes; a block gives its distinct words, numbered, and its
-texts as word numbers. The distinct words of all blocks meet once, by word: Spark
-higher-order functions fold the ranked merges over the bytes of each (``fold_merges``,
-with the ranks as a literal), and the ids go back to the blocks. A task then puts a
+blocks of about ``BLOCK`` bytes; a block gives its distinct words, numbered and packed
+by their hash, and its texts as word numbers. The packs of all blocks meet by hash, and
+Spark higher-order functions fold the ranked merges over the bytes of each distinct
+word once (``fold_merges``, with the ranks as a literal); the ids go back to the blocks. A task then puts a
 block's numbers and ids together and decodes by concatenating the binary pieces of
 the ids. So merges are worked out once for each distinct word of the corpus, texts
-move only as compressed word numbers, and a task holds one block.
+move only as compressed word numbers, and a task holds one block, or the distinct words
+of its hashes (four to each of spark.sql.shuffle.partitions).
 
 Blocks are made twice from the same partitions, so ``docs`` must give the same rows
 when it is read again, as a table does; a difference is noticed and raises an error.
@@ -34,11 +35,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
-BUCKETS = 1 << 16
-BLOCK = 32 << 20
-PART = 4 << 20
+from logmill.llm.packs import by_bucket, pack, pack_words, tidy, unpack, unpack_words
+
+BUCKETS = 1 << 17
+FIRST_SIGN = 0x10000
+NO_MERGE = chr(0x10FFFF)
+BYTES = "".join(map(chr, range(256)))
+BLOCK = 12 << 20
+PART = 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,19 +51,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one literal: an array of small maps, the place of a piece given by
-    its hash, so that a look-up compares one or two keys. Bytes are written as the
-    characters of the same number."""
-    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        name = piece.decode("latin-1")
-        maps[xxhash.xxh64_intdigest(name.encode(), 42) % BUCKETS][name] = rank
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
+def _sign(number: int) -> str:
+    """An id as one character; characters compare as the ids do."""
+    return chr(FIRST_SIGN + number)
 
 
-def _rank(maps: Column, piece: Column) -> Column:
-    return maps[F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int")][piece]
+def rank_literal(ranks: dict[bytes, int]) -> Column:
+    """The ranks as one literal: which id, as a sign, two adjacent ids merge into. It is
+    an array of small maps, the place of a pair given by its hash, so that a look-up
+    compares one or two keys."""
+    maps: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+    for piece, rank in ranks.items():
+        for cut in range(1, len(piece)):
+            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if left is not None and right is not None:
+                pair = _sign(left) + _sign(right)
+                maps[xxhash.xxh64_intdigest(pair.encode(), 42) % BUCKETS][pair] = _sign(rank)
+    text = json.dumps(maps, separators=(",", ":"), ensure_ascii=False)
+    return F.from_json(F.lit(text), "array<map<string,string>>")
 
 
 def _let(value: Column, use) -> Column:
@@ -66,49 +76,76 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def fold_merges(word: Column, ranks: Column) -> Column:
+def fold_merges(word: Column, ranks: dict[bytes, int], literal: Column) -> Column:
     """The ids of a word: its bytes, with the adjacent pair of least rank merged (the
-    leftmost of equals) until no pair has a rank. A word with a rank is its own id."""
-    none = F.array().cast("array<int>")
-
-    def start(maps: Column, single: Column) -> Column:
-        """The bytes as pieces ``p`` and the ranks ``r`` of their adjacent pairs."""
-        pairs = F.transform(F.slice(single, 1, F.size(single) - 1), lambda x, i: _rank(maps, F.concat(x, single[i + 1])))
-        return F.struct(single.alias("p"), pairs.alias("r"), F.array_min(pairs).alias("least"))
-
-    def merge(maps: Column, state: Column) -> Column:
-        p, r = state["p"], state["r"]
-
-        def at(k: Column) -> Column:  # 1 for the first pair
-            def joined(piece: Column) -> Column:
-                left = F.when(k > 1, F.array(_rank(maps, F.concat(p[k - 2], piece)))).otherwise(none)
-                right = F.when(k < F.size(r), F.array(_rank(maps, F.concat(piece, p[k + 1])))).otherwise(none)
-                ranks_now = F.concat(
-                    F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, F.size(r))
-                )
-                pieces_now = F.concat(F.slice(p, F.lit(1), k - 1), F.array(piece), F.slice(p, k + 2, F.size(p)))
-                return _let(
-                    ranks_now,
-                    lambda x: F.struct(pieces_now.alias("p"), x.alias("r"), F.array_min(x).alias("least")),
-                )
-
-            return _let(F.concat(p[k - 1], p[k]), joined)
-
-        return F.when(state["least"].isNull(), state).otherwise(
-            _let(F.array_position(r, state["least"]).cast("int"), at)
-        )
-
-    def ids(maps: Column, name: Column, own: Column) -> Column:
-        single = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, i, F.lit(1)))
-        folded = F.aggregate(
-            F.sequence(F.lit(1), F.length(name) - 1),
-            _let(single, lambda x: start(maps, x)),
-            lambda state, _: merge(maps, state),
-        )
-        return F.when(own.isNotNull(), F.array(own)).otherwise(F.transform(folded["p"], lambda x: _rank(maps, x)))
+    leftmost of equals) until no pair has a rank.
+
+    The fold's state is the ids as signs and, as signs too, what each adjacent pair
+    merges into; a merge changes one id and the two pairs beside it. Where a word with
+    a rank of its own would not be merged into that id, it takes it all the same."""
+    empty = F.lit("")
+
+    def merged(maps: Column, pair: Column) -> Column:
+        place = F.pmod(F.xxhash64(pair), F.lit(BUCKETS)).cast("int")
+        return F.coalesce(F.get(maps, place)[pair], F.lit(NO_MERGE))
+
+    def state(ids: Column, pairs: Column) -> Column:
+        return F.struct(ids.alias("ids"), pairs.alias("pairs"))
+
+    def fold(maps: Column) -> Column:
+        def start(ids: Column) -> Column:
+            pairs = F.transform(
+                F.sequence(F.lit(1), F.length(ids) - 1), lambda i: merged(maps, F.substring(ids, i, F.lit(2)))
+            )
+            return state(ids, F.when(F.length(ids) < 2, empty).otherwise(F.array_join(pairs, "")))
+
+        def step(now: Column, _: Column) -> Column:
+            ids, pairs = now["ids"], now["pairs"]
+
+            def merge(least: Column) -> Column:
+                def at(k: Column) -> Column:  # 1 for the first pair
+                    left = F.when(k > 1, merged(maps, F.concat(F.substring(ids, k - 1, F.lit(1)), least)))
+                    right = F.when(k < F.length(pairs), merged(maps, F.concat(least, F.substring(ids, k + 2, F.lit(1)))))
+                    before = F.when(k > 2, F.substring(pairs, F.lit(1), k - 2)).otherwise(empty)
+                    return state(
+                        F.concat(F.substring(ids, F.lit(1), k - 1), least, F.substring(ids, k + 2, F.length(ids))),
+                        F.concat(
+                            before, F.coalesce(left, empty), F.coalesce(right, empty),
+                            F.substring(pairs, k + 2, F.length(pairs)),
+                        ),
+                    )
+
+                place = F.call_function("instr", pairs, least)
+                return F.when(least == NO_MERGE, state(ids, empty)).otherwise(_let(place, at))
+
+            return F.when(F.length(pairs) == 0, now).otherwise(_let(F.array_min(F.split(pairs, "")), merge))
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(name)), _let(F.translate(name, BYTES, signs), start), step)["ids"]
 
     name = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-    return _let(ranks, lambda maps: _let(name, lambda n: _let(_rank(maps, n), lambda own: ids(maps, n, own))))
+    signs = "".join(_sign(ranks[bytes([b])]) for b in range(256))
+    folded = F.transform(F.split(_let(literal, fold), ""), lambda sign: F.ascii(sign) - FIRST_SIGN)
+    return F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(folded)
+
+
+def own_ids(ranks: dict[bytes, int]) -> dict[str, int]:
+    """Words with a rank whose merges end elsewhere. Few, as a rule none."""
+    found = {}
+    for piece, rank in ranks.items():
+        parts = [ranks[bytes([b])] for b in piece]
+        names = [bytes([b]) for b in piece]
+        while len(parts) > 1:
+            options = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(names, names[1:], strict=False)) if a + b in ranks]
+            if not options:
+                break
+            best, i = min(options)
+            parts[i : i + 2], names[i : i + 2] = [best], [names[i] + names[i + 1]]
+        if parts != [rank]:
+            try:
+                found[piece.decode()] = rank
+            except UnicodeDecodeError:  # not a word of any text
+                continue
+    return found
 
 
 # --- words ---------------------------------------------------------------------
@@ -225,35 +262,77 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Ar
         yield (partition << 24) + number, ids, pa.chunked_array(words).dictionary_encode(), counts
 
 
-def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each block's distinct words, numbered as they first come."""
-    for block, _, words, _ in _blocks(batches):
-        dictionary = words.chunk(0).dictionary if words.num_chunks else pa.array([], pa.string())
-        for start in range(0, len(dictionary), 50_000):
-            part = dictionary.slice(start, 50_000)
-            numbers = np.arange(start, start + len(part), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(part), block)), pa.array(numbers), part], ["block", "number", "word"]
-            )
+def _batch(schema: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema)
 
 
-def _block_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each part of a block as the numbers of its words, one byte of all numbers after
-    the other and compressed."""
-    for block, ids, words, counts in _blocks(batches):
-        for part, (doc_ids, chunk, sizes) in enumerate(zip(ids, words.chunks, counts, strict=True)):
-            numbers = chunk.indices.to_numpy().astype("<u4")
-            packed = zlib.compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block]),
-                    pa.array([part], pa.int32()),
-                    pa.array([doc_ids.to_pylist()], pa.list_(doc_ids.type)),
-                    pa.array([sizes.astype(np.int32)], pa.list_(pa.int32())),
-                    pa.array([packed], pa.binary()),
-                ],
-                ["block", "part", "doc_ids", "sizes", "numbers"],
-            )
+def _word_packs(schema: pa.Schema, buckets: int):
+    """Each block's distinct words, numbered as they first come and packed by a hash."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, words, _ in _blocks(batches):
+            dictionary = words.chunk(0).dictionary if words.num_chunks else pa.array([], pa.string())
+            names = [w.encode() for w in dictionary.to_pylist()]
+            bucket = np.array([zlib.crc32(w) for w in names], np.int64) % buckets
+            for number, places in by_bucket(bucket, buckets):
+                own = sorted(places.tolist(), key=names.__getitem__)
+                sizes, data = pack_words([names[i] for i in own])
+                row = {"bucket": number, "block": block, "numbers": pack(np.array(own)), "sizes": sizes, "words": data}
+                yield _batch(schema, [row])
+
+    return make
+
+
+def _text_packs(schema: pa.Schema):
+    """Each block's texts, part by part, as the numbers of their words."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, words, counts in _blocks(batches):
+            for doc_ids, chunk, per_text in zip(ids, words.chunks, counts, strict=True):
+                row = {"block": block, "doc_ids": doc_ids.to_pylist(), "counts": per_text.tolist()}
+                yield _batch(schema, [row | {"numbers": pack(chunk.indices.to_numpy())}])
+
+    return make
+
+
+def _distinct_words(schema: pa.Schema):
+    """The distinct words of a partition's packs as rows; after the words of a pack, a
+    row that says which of all words so far the pack holds."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                before, words = len(known), unpack_words(row["sizes"], row["words"])
+                picks = np.array([known.setdefault(w, len(known)) for w in words])
+                fresh = [{"word": w} for w, i in zip(words, picks, strict=True) if i >= before]
+                yield _batch(schema, [*fresh, {"block": row["block"], "numbers": row["numbers"], "picks": pack(picks)}])
+
+    return make
+
+
+def _id_packs(schema: pa.Schema, special: dict[str, int]):
+    """For each pack of words, in the order of its numbers, the ids."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            is_word = batch.column("block").is_null()
+            lists = batch.column("ids").filter(is_word)
+            if special:
+                words = batch.column("word").filter(is_word).to_pylist()
+                found = [[special[w]] if w in special else i for w, i in zip(words, lists.to_pylist(), strict=True)]
+                lists = pa.array(found, pa.list_(pa.int32()))
+            if len(lists):
+                sizes = np.concatenate([sizes, lists.value_lengths().to_numpy()])
+                ids = np.concatenate([ids, lists.flatten().to_numpy()])
+                starts = _starts(sizes)
+            for row in batch.filter(batch.column("block").is_valid()).drop_columns(["word", "ids"]).to_pylist():
+                chosen = unpack(row.pop("picks"))
+                row |= {"sizes": pack(sizes[chosen]), "ids": pack(_gather(ids, starts, sizes, chosen)[0])}
+                yield _batch(schema, [row])
+
+    return make
 
 
 def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,35 +361,38 @@ def encode_texts(docs: DataFrame, rank_path: str, digests: bool = False) -> Data
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.spark_partition_id().alias("partition"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    words = rows.mapInArrow(_block_words, "block long, number int, word string")
-    # one fold for each distinct word, at its first block; the others take it over
-    by_word = Window.partitionBy("word").orderBy("block")
-    folded = (
-        words.withColumn("nth", F.row_number().over(by_word))
-        .withColumn("ids", F.when(F.col("nth") == 1, fold_merges(F.col("word"), rank_literal(ranks))))
-        .withColumn("ids", F.first("ids", ignorenulls=True).over(by_word))
-        .select("block", "number", "ids")
+    # words meet by hash; the folded ids of a distinct word serve all packs of a task
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def step(frame: DataFrame, make, columns: str, *more) -> DataFrame:
+        return frame.mapInArrow(tidy(make(to_arrow_schema(StructType.fromDDL(columns)), *more)), columns)
+
+    texts = step(rows, _text_packs, f"block long, doc_ids array<{kind}>, counts array<int>, numbers binary")
+    packs = step(rows, _word_packs, "bucket int, block long, numbers binary, sizes binary, words binary", 4 * tasks)
+    distinct = step(
+        packs.repartition(tasks, "bucket"), _distinct_words, "word string, block long, numbers binary, picks binary"
     )
-    texts = rows.mapInArrow(
-        _block_texts, f"block long, part int, doc_ids array<{kind}>, sizes array<int>, numbers binary"
+    folded = distinct.withColumn(
+        "ids", F.when(F.col("word").isNotNull(), fold_merges(F.col("word"), ranks, rank_literal(ranks)))
     )
+    words = step(folded, _id_packs, "block long, numbers binary, sizes binary, ids binary", own_ids(ranks))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        numbers, lists = right.column("number").to_numpy(), right.column("ids").combine_chunks()
-        lengths, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy().astype("<u4")
+        held = [[unpack(x) for x in right.column(c).to_pylist()] for c in ("numbers", "sizes", "ids")]
+        numbers, lengths, flat = (np.concatenate([np.zeros(0, "<u4"), *x]) for x in held)
         order = np.argsort(numbers)
         if not np.array_equal(numbers[order], np.arange(len(numbers))):
             raise ValueError("the input gave other rows when it was read again; write it as a table first")
+        lengths = lengths.astype(np.int64)
         starts, lengths = _starts(lengths)[order], lengths[order]
         known, names = pieces.value
         piece_sizes, piece_flat = np.zeros(int(known.max()) + 1, np.int64), np.frombuffer(b"".join(names), np.uint8)
         piece_sizes[known] = [len(p) for p in names]
         piece_starts = _starts(piece_sizes)
         out = {name: [] for name in schema.names}
-        for doc_ids, sizes, packed in zip(*(left.column(c).to_pylist() for c in ("doc_ids", "sizes", "numbers")), strict=True):
-            chosen = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
-            ids, ends = _gather(flat, starts, lengths, chosen)
-            cuts = _bounds(ends, np.array(sizes, np.int64))
+        for doc_ids, counts, packed in zip(*(left.column(c).to_pylist() for c in ("doc_ids", "counts", "numbers")), strict=True):
+            ids, ends = _gather(flat, starts, lengths, unpack(packed))
+            cuts = _bounds(ends, np.array(counts, np.int64))
             text, piece_ends = _gather(piece_flat, piece_starts, piece_sizes, ids)
             byte_cuts = _bounds(piece_ends, np.diff(cuts))
             for k, doc_id in enumerate(doc_ids):
@@ -330,4 +412,4 @@ def encode_texts(docs: DataFrame, rank_path: str, digests: bool = False) -> Data
     else:
         result = f"doc_id {kind}, ids array<int>, decoded binary"
     schema = to_arrow_schema(StructType.fromDDL(result))
-    return texts.groupBy("block").cogroup(folded.groupBy("block")).applyInArrow(finish, result)
+    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(finish, result)
