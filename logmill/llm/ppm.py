@@ -10,10 +10,11 @@ score of a text is the log10 probability of its bytes and its end: the code leng
 
 Nothing of the size of the corpus is broadcast. Each task reads texts in blocks of
 about ``BLOCK`` bytes; a block gives its distinct words and its distinct strings of
-``ORDER`` + 1 bytes with their training counts. These meet by word and by string:
-counts are summed, and contexts that agree in their last two bytes are worked out
-together (orders 0 and 1, at most 65,792 counts, go to every task). Counts and log
-probabilities return to the blocks, where the texts are scored whole.
+``ORDER`` + 1 bytes with their training counts, packed by hashes of the words and the
+strings. Packs meet by hash and counts are summed; the distinct strings of contexts that
+agree in their last two bytes are then worked out together (orders 0 and 1, at most
+65,792 counts, go to every task). Counts and log probabilities return to the blocks,
+where the texts are scored whole.
 
 Blocks are made twice from the same partitions, so ``docs`` must give the same rows
 when it is read again, as a table does; a difference is noticed and raises an error.
@@ -25,6 +26,7 @@ often as they come; null ids are not held out; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +35,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 from logmill.llm.common import lower_ascii
+from logmill.llm.packs import (
+    by_bucket, pack, pack_floats, pack_sorted, pack_words, tidy, unpack, unpack_floats, unpack_sorted, unpack_words,
+)
 from logmill.session import materialize
 
 ORDER = 5
 END = 0xFF
-BLOCK = 24 << 20
-PART = 2 << 20
-GROUPS = 512
+BLOCK = 10 << 20
+PART = 1 << 19
 BLANKS = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 
 
@@ -127,39 +130,94 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch]):
         yield now, held
 
 
-GATHERED = "block long, number int, word string, code long, n long"
-
-
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each block's distinct words and byte strings with their training counts."""
-    for block, parts in _whole_blocks(batches):
-        encoded = pa.chunked_array([p[0] for p in parts]).dictionary_encode()
-        dictionary = encoded.chunk(0).dictionary
-        counts = np.zeros(len(dictionary), np.int64)
-        for chunk, part in zip(encoded.chunks, parts, strict=True):
-            counts += np.bincount(chunk.indices.to_numpy()[part[1]], minlength=len(dictionary))
-        every = np.concatenate([x for p in parts for x in (p[2][0], p[3])])
-        times = np.concatenate([x for p in parts for x in (p[2][1], np.zeros(len(p[3]), np.int64))])
-        codes, place = np.unique(every, return_inverse=True)
-        sums = np.zeros(len(codes), np.int64)
-        np.add.at(sums, place, times)
-        for start in range(0, max(len(dictionary), len(codes)), 50_000):
-            for words, code, n in (
-                (dictionary.slice(start, 50_000), None, counts[start : start + 50_000]),
-                (None, codes[start : start + 50_000], sums[start : start + 50_000]),
-            ):
-                size = len(n)
-                numbers = np.arange(start, start + size, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(size, block)),
-                        pa.array(numbers),
-                        pa.nulls(size, pa.string()) if words is None else words,
-                        pa.nulls(size, pa.int64()) if code is None else pa.array(code),
-                        pa.array(n),
-                    ],
-                    ["block", "number", "word", "code", "n"],
-                )
+GATHERED = (
+    "kind string, bucket int, block long, keys binary, sizes binary, counts binary, pairs array<int>, times array<long>"
+)
+SPREAD = 1000003
+
+
+def _gather(schema: pa.Schema, buckets: int):
+    """Each block's distinct words and byte strings with their training counts, packed
+    by a hash, and the training counts of pairs of bytes."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, parts in _whole_blocks(batches):
+            encoded = pa.chunked_array([p[0] for p in parts]).dictionary_encode()
+            words = [w.encode() for w in encoded.chunk(0).dictionary.to_pylist()]
+            counts = np.zeros(len(words), np.int64)
+            for chunk, part in zip(encoded.chunks, parts, strict=True):
+                counts += np.bincount(chunk.indices.to_numpy()[part[1]], minlength=len(words))
+            for bucket, own in by_bucket(np.array([zlib.crc32(w) for w in words], np.int64) % buckets, buckets):
+                names = sorted(own.tolist(), key=words.__getitem__)
+                sizes, data = pack_words([words[i] for i in names])
+                row = {"kind": "word", "bucket": bucket, "block": block, "keys": data, "sizes": sizes}
+                yield pa.RecordBatch.from_pylist([row | {"counts": pack(np.array([names, counts[names]]).ravel())}], schema)
+            every = np.concatenate([x for p in parts for x in (p[2][0], p[3])])
+            times = np.concatenate([x for p in parts for x in (p[2][1], np.zeros(len(p[3]), np.int64))])
+            codes, sums = _sums(every, times)
+            for bucket, own in by_bucket(codes % SPREAD % buckets, buckets):
+                row = {"kind": "string", "bucket": bucket, "block": block, "keys": pack_sorted(codes[own])}
+                yield pa.RecordBatch.from_pylist([row | {"counts": pack(sums[own])}], schema)
+            pairs = np.bincount(codes & 0xFFFF, sums, 1 << 16)
+            seen = np.flatnonzero(pairs)
+            row = {"kind": "pair", "bucket": 0, "block": block, "pairs": seen.tolist(), "times": pairs[seen].astype(int).tolist()}
+            yield pa.RecordBatch.from_pylist([row], schema)
+
+    return make
+
+
+def _sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The corpus counts of the words of each pack, once all packs of a partition were
+    seen, and how many words and tokens of training texts the partition has."""
+    packs, totals = [], {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            packs.append(row)
+            names, counts = unpack_words(row["sizes"], row["keys"]), unpack(row["counts"]).reshape(2, -1)[1].tolist()
+            for name, count in zip(names, counts, strict=True):
+                totals[name] = totals.get(name, 0) + count
+    for row in packs:
+        sums = np.array([totals[w] for w in unpack_words(row["sizes"], row["keys"])], np.int64)
+        numbers = unpack(row["counts"]).reshape(2, -1)[0]
+        yield _numbers_row(row["block"], pack(numbers), zlib.compress(sums.astype("<i8").tobytes(), 1), None, None)
+    if totals:
+        yield _numbers_row(None, None, None, sum(totals.values()), sum(1 for n in totals.values() if n))
+
+
+COUNTED = "block long, numbers binary, counts binary, tokens long, words long"
+
+
+def _numbers_row(block, numbers, counts, tokens, words) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    values = (block, numbers, counts, tokens, words)
+    names = [c.split()[0] for c in COUNTED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
+
+
+def _sum_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct byte strings of a partition's packs and their training counts."""
+    codes, sums, held, size = np.zeros(0, np.int64), np.zeros(0), [], 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            held.append((unpack_sorted(row["keys"]), unpack(row["counts"]).astype(float)))
+            size += len(held[-1][0])
+            if size > 1_000_000 + len(codes):
+                codes, sums = _sums(np.concatenate([codes, *(c for c, _ in held)]), np.concatenate([sums, *(n for _, n in held)]))
+                held, size = [], 0
+    if held:
+        codes, sums = _sums(np.concatenate([codes, *(c for c, _ in held)]), np.concatenate([sums, *(n for _, n in held)]))
+    for start in range(0, len(codes), 50_000):
+        part = slice(start, start + 50_000)
+        yield pa.RecordBatch.from_arrays([pa.array(codes[part]), pa.array(sums[part].astype(np.int64))], ["code", "n"])
+
+
+def _value_packs(packs: pa.Table, values: pa.Table) -> pa.Table:
+    """The values of the strings of each pack of a bucket."""
+    code, value = values.column("code").to_numpy(), values.column("value").to_numpy()
+    order = np.argsort(code)
+    code, value = code[order], value[order]
+    out = [pack_floats(value[np.searchsorted(code, unpack_sorted(k))]) for k in packs.column("keys").to_pylist()]
+    return pa.table({"block": packs.column("block"), "keys": packs.column("keys"), "values": pa.array(out, pa.binary())})
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,19 +343,22 @@ def ppm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
         F.spark_partition_id().alias("partition"),
     )
     kind = docs.schema["doc_id"].dataType.simpleString()
-    gathered = materialize(rows.mapInArrow(_gather, GATHERED), "ppm-counts")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = to_arrow_schema(StructType.fromDDL(GATHERED))
+    gathered = materialize(rows.mapInArrow(tidy(_gather(schema, 4 * tasks)), GATHERED), "ppm-packs")
 
-    words, strings = gathered.where("word IS NOT NULL"), gathered.where("code IS NOT NULL")
+    words, strings = gathered.where("kind = 'word'"), gathered.where("kind = 'string'")
     texts = rows.agg(F.count_if("train").alias("n")).first()["n"]
-    sizes = words.groupBy("word").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+    counted = materialize(words.repartition(tasks, "bucket").mapInArrow(tidy(_sum_words), COUNTED), "ppm-words")
+    sizes = counted.agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).first()
     n_all, v_all = int(sizes["n"] or 0) + texts, int(sizes["v"] or 0) + (texts > 0)
-    counted = words.select("block", "number", F.sum("n").over(Window.partitionBy("word")).alias("count"))
 
-    trie = materialize(strings.groupBy("code").agg(F.sum("n").alias("n")), "ppm-trie")
-    pairs = trie.where("n > 0").groupBy(F.col("code").bitwiseAND(0xFFFF).alias("code")).agg(F.sum("n").alias("n")).toPandas()
+    pairs = gathered.where("kind = 'pair'").select(F.explode(F.arrays_zip("pairs", "times")).alias("p"))
+    pairs = pairs.groupBy("p.pairs").agg(F.sum("p.times").alias("n")).toPandas()
     low = spark.sparkContext.broadcast(
-        levels(pairs["code"].to_numpy(np.int64), pairs["n"].to_numpy(np.float64), [], range(2))
+        levels(pairs["pairs"].to_numpy(np.int64), pairs["n"].to_numpy(np.float64), [], range(2))
     )
+    trie = strings.repartition(tasks, "bucket").mapInArrow(tidy(_sum_strings), "code long, n long")
 
     def predict(group: pa.Table) -> pa.Table:
         codes, counts = group.column("code").to_numpy(), group.column("n").to_numpy().astype(np.float64)
@@ -307,13 +368,18 @@ def ppm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
 
     family = F.expr("shiftright(code, 8) & 65535")
     predicted = (
-        trie.withColumn("family", F.pmod(F.xxhash64(family), F.lit(GROUPS)))
+        trie.withColumn("family", F.pmod(F.xxhash64(family), F.lit(4 * tasks)))
         .groupBy("family")
         .applyInArrow(predict, "code long, value double")
     )
-    valued = strings.select("block", "code").join(materialize(predicted, "ppm-model"), "code")
-    known = counted.select("block", "number", "count", F.lit(None).cast("long").alias("code"), F.lit(None).cast("double").alias("value")).unionByName(
-        valued.select("block", F.lit(None).cast("int").alias("number"), F.lit(None).cast("long").alias("count"), "code", "value")
+    values = predicted.withColumn("bucket", (F.col("code") % SPREAD % (4 * tasks)).cast("int"))
+    valued = strings.select("bucket", "block", "keys").groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(
+        _value_packs, "block long, keys binary, `values` binary"
+    )
+    known = (
+        counted.where("block IS NOT NULL")
+        .select("block", "numbers", "counts")
+        .unionByName(valued, allowMissingColumns=True)
     )
     parts = rows.select("doc_id", "text", "partition").mapInArrow(
         _parts, f"block long, part int, doc_ids array<{kind}>, texts array<string>"
@@ -323,14 +389,17 @@ def ppm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     below = np.log10(n_all + v_all + 1.0)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        is_word = right.column("number").is_valid()
-        numbered, coded = right.filter(is_word), right.filter(right.column("code").is_valid())
-        numbers = numbered.column("number").to_numpy()
+        numbered, coded = right.filter(right.column("numbers").is_valid()), right.filter(right.column("keys").is_valid())
+        numbers = np.concatenate([np.zeros(0, np.int64), *map(unpack, numbered.column("numbers").to_pylist())]).astype(np.int64)
+        sums = [np.frombuffer(zlib.decompress(c), "<i8") for c in numbered.column("counts").to_pylist()]
         counts = np.zeros(len(numbers), np.int64)
         if len(numbers) and int(numbers.max()) + 1 != len(numbers):
             raise ValueError(CHANGED)
-        counts[numbers] = numbered.column("count").to_numpy()
-        table = _Table(coded.column("code").to_numpy(), coded.column("value").to_numpy())
+        counts[numbers] = np.concatenate([np.zeros(0, np.int64), *sums])
+        table = _Table(
+            np.concatenate([np.zeros(0, np.int64), *map(unpack_sorted, coded.column("keys").to_pylist())]),
+            np.concatenate([np.zeros(0), *map(unpack_floats, coded.column("values").to_pylist())]),
+        )
         left = left.sort_by("part")
         parts_ = [[t.encode() for t in row] for row in left.column("texts").to_pylist()]
         split = [words_of(p) for p in parts_]
