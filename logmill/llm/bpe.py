@@ -38,7 +38,7 @@ from pyspark.sql.types import StructType
 
 from logmill.llm.packs import by_bucket, pack, pack_words, tidy, unpack, unpack_words
 
-BUCKETS = 1 << 17
+BUCKETS = 1 << 15
 FIRST_SIGN = 0x10000
 NO_MERGE = chr(0x10FFFF)
 BYTES = "".join(map(chr, range(256)))
@@ -351,9 +351,25 @@ def _bounds(ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
 
 
-def encode_texts(docs: DataFrame, rank_path: str, digests: bool = False) -> DataFrame:
-    """doc_id, ids (array<int>) and decoded (binary) of each row's whole text; with
-    ``digests``, n_tokens and the sha256 of both instead."""
+#: What ``encode_texts`` can give for each row.
+COLUMNS = {
+    "n_tokens": "long", "ids": "array<int>", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string",
+}
+
+
+def _lists(kind: pa.DataType, parts: list[np.ndarray], sizes: np.ndarray) -> pa.Array:
+    """Lists or binary values of the given sizes from values one after the other."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    if pa.types.is_binary(kind):
+        flat = np.concatenate([np.zeros(0, np.uint8), *parts])
+        return pa.BinaryArray.from_buffers(kind, len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+    flat = np.concatenate([np.zeros(0, np.int32), *(p.view(np.int32) for p in parts)])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), type=kind)
+
+
+def encode_texts(docs: DataFrame, rank_path: str, columns: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """doc_id and the asked ``COLUMNS`` of each row's whole text: its ids, the bytes
+    decoded from them, their number and digests (ids as little-endian 32-bit numbers)."""
     ranks = read_ranks(rank_path)
     spark = docs.sparkSession
     by_rank = sorted(ranks.items(), key=lambda item: item[1])
@@ -390,26 +406,31 @@ def encode_texts(docs: DataFrame, rank_path: str, digests: bool = False) -> Data
         piece_sizes[known] = [len(p) for p in names]
         piece_starts = _starts(piece_sizes)
         out = {name: [] for name in schema.names}
+        sizes = {"ids": [np.zeros(0, np.int64)], "decoded": [np.zeros(0, np.int64)]}
         for doc_ids, counts, packed in zip(*(left.column(c).to_pylist() for c in ("doc_ids", "counts", "numbers")), strict=True):
             ids, ends = _gather(flat, starts, lengths, unpack(packed))
             cuts = _bounds(ends, np.array(counts, np.int64))
             text, piece_ends = _gather(piece_flat, piece_starts, piece_sizes, ids)
             byte_cuts = _bounds(piece_ends, np.diff(cuts))
-            for k, doc_id in enumerate(doc_ids):
-                own, decoded = ids[cuts[k] : cuts[k + 1]], text[byte_cuts[k] : byte_cuts[k + 1]].tobytes()
-                out["doc_id"].append(doc_id)
-                if digests:
-                    out["n_tokens"].append(len(own))
-                    out["ids_sha256"].append(hashlib.sha256(own.tobytes()).hexdigest())
-                    out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
-                else:
-                    out["ids"].append(own.astype(np.int32))
-                    out["decoded"].append(decoded)
-        return pa.table({name: pa.array(out[name], schema.field(name).type) for name in schema.names}, schema)
-
-    if digests:
-        result = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    else:
-        result = f"doc_id {kind}, ids array<int>, decoded binary"
+            out["doc_id"] += doc_ids
+            for name, values, places in (("ids", ids, cuts), ("decoded", text, byte_cuts)):
+                sizes[name].append(np.diff(places))
+                if name in out:
+                    out[name].append(values)
+                if f"{name}_sha256" in out:
+                    out[f"{name}_sha256"] += [
+                        hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(places, places[1:], strict=False)
+                    ]
+            if "n_tokens" in out:
+                out["n_tokens"] += np.diff(cuts).tolist()
+        arrays = [
+            _lists(field.type, out[field.name], np.concatenate(sizes[field.name]))
+            if field.name in sizes
+            else pa.array(out[field.name], field.type)
+            for field in schema
+        ]
+        return pa.Table.from_arrays(arrays, schema=schema)
+
+    result = ", ".join([f"doc_id {kind}", *(f"{c} {COLUMNS[c]}" for c in columns)])
     schema = to_arrow_schema(StructType.fromDDL(result))
     return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(finish, result)

@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logmill.llm.packs import tidy
 from logmill.session import materialize
 
 LEAST_WORDS = 50
@@ -84,7 +85,7 @@ def repeated_windows(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFra
     """(doc_id, text_hash, first, last) of the windows whose content came before."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    found = materialize(keyed.mapInArrow(_window_rows(least_words), WINDOWS), "line-windows")
+    found = materialize(keyed.mapInArrow(tidy(_window_rows(least_words)), WINDOWS), "line-windows")
     marks = (
         found.groupBy("mark")
         .agg(F.min("place").alias("least"), F.max("place").alias("most"))
@@ -144,5 +145,5 @@ def delete_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> Da
 
     result = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return joined.drop("__own", "__hash", "__id").mapInArrow(
-        clean, f"{result}, deleted_runs array<struct<first:int,last:int>>"
+        tidy(clean), f"{result}, deleted_runs array<struct<first:int,last:int>>"
     )

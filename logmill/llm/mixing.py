@@ -148,8 +148,8 @@ def fit_rates(
     prefer: Callable[[str], float] = lambda domain: 1.0,
     lower: float = 0.0,
     pull: float = 1e-3,
-    steps: int = 40,
-    close: float = 1e-4,
+    steps: int = 25,
+    close: float = 2e-3,
 ) -> Mixture:
     """Fit to ``targets`` (weights by domain; present shares to the power ``exponent``
     where none are given), each times what ``prefer`` says of the domain. The budget is all present tokens, or with ``lower`` above 0

@@ -124,7 +124,7 @@ def op8_quality(spark, sf_dir):
 
 @query
 def op9_byte_bpe(spark, sf_dir):
-    return bpe.encode_texts(table(spark, sf_dir, "documents"), rank_path(), digests=True)
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), rank_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 @query

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logmill.llm.common import labelled_rows, remainder_is, texts_of
+from logmill.llm.packs import tidy
 
 ORDERS = (4, 6, 8)
 BUCKET_BITS = 21
@@ -222,4 +223,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHO
             clean = [shared.value._score(t or "", known) < threshold for t in texts]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)

@@ -43,13 +43,13 @@ def test_ids_and_decoded_text(spark, encoding, monkeypatch):
 
 
 def test_digests(spark, encoding):
-    found = bpe.encode_texts(documents(spark, ROWS), rank_path(), digests=True).collect()
+    found = bpe.encode_texts(documents(spark, ROWS), rank_path(), ("n_tokens", "ids_sha256", "decoded_sha256")).collect()
     expected = []
     for i, t in ROWS:
         ids = np.array(encoding.encode_ordinary(t or ""), "<u4")
         expected.append((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert sorted((tuple(r) for r in found), key=str) == sorted(expected, key=str)
-    assert bpe.encode_texts(documents(spark, []), rank_path(), digests=True).count() == 0
+    assert bpe.encode_texts(documents(spark, []), rank_path()).count() == 0
 
 
 def test_packing():
