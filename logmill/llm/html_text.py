@@ -7,9 +7,12 @@ start are dropped, elements left open end with their parent. ``render`` walks th
 with a stack, so depth doesn't matter, and writes all text that is visible: blocks on
 lines of their own with one blank line around paragraphs, headings, lists and tables,
 list items with markers and indentation, preformatted text as it is, the cells of table
-columns aligned. Invisible are the head, scripts, styles, templates, comments, elements
-with ``hidden`` or a style of ``display:none`` or ``visibility:hidden``, closed options
-and the content of media that is shown in its place.
+columns aligned. Formulas are read inline, the text of drawings line by line.
+Invisible are the head, scripts, styles, templates, comments, elements with an attribute
+``hidden`` or a style that declares ``display:none`` or ``visibility:hidden``, the content
+of media that is shown in its place, and of a closed list of options those not marked as
+selected. Not shown, though a browser would: the content of ``textarea``, and the first
+option where none is marked.
 
 Cells longer than ``WIDEST`` characters are written whole but don't widen their column,
 so a table's text stays in proportion to the page.
@@ -35,9 +38,13 @@ MOST_SPAN = 100
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 UNSEEN = frozenset(
-    "head script style title template noscript iframe noembed noframes object audio video canvas svg math datalist "
-    "select textarea".split()
+    "head script style title template noscript iframe noembed noframes object audio video canvas datalist textarea "
+    "annotation annotation-xml".split()
 )
+#: Elements whose text shows only inside some of their descendants.
+PARTLY = frozenset(("svg", "select"))
+SVG_SHOWN = frozenset(("text", "foreignobject"))
+SVG_UNSEEN = frozenset("defs symbol clippath mask pattern marker desc metadata".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul caption".split()
@@ -55,6 +62,8 @@ ENDS = {
     "th": (frozenset(("td", "th", "caption")), frozenset(("table", "tr"))),
     "tr": (frozenset(("tr", "td", "th", "caption")), frozenset(("table",))),
     **{part: (TABLE_PARTS | {"tr", "td", "th", "caption"}, frozenset(("table",))) for part in TABLE_PARTS},
+    "option": (frozenset(("option",)), frozenset(("select", "optgroup", "datalist")) | SCOPES),
+    "optgroup": (frozenset(("option", "optgroup")), frozenset(("select",)) | SCOPES),
     "body": (frozenset(("head",)), frozenset()),
 }
 IN_PARAGRAPH = frozenset(("p",))
@@ -65,7 +74,9 @@ TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)""",
     re.S,
 )
-HIDING = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|\Z)|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/=]++)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|(\S*+)))?""")
+MAY_HIDE = re.compile(r"hidden|style", re.I)
+STYLE_VALUES = re.compile(r"""/\*.*?(?:\*/|\Z)|"[^"]*+"|'[^']*+'|\([^()]*+\)""", re.S)
 SPAN = re.compile(r"""(col|row)span\s*=\s*["']?\s*(\d{1,6})""", re.I)
 FIRST_NUMBER = re.compile(r"""(?:^|\s)start\s*=\s*["']?\s*(-?\d{1,9})""", re.I)
 BLANK = re.compile(r"[ \t\n\r\f]+")
@@ -138,6 +149,57 @@ def tree_events(page: str) -> Iterator[tuple[str, str, str]]:
     yield from close_to(0)
 
 
+def _attributes(more: str) -> dict[str, str]:
+    """Values by name; of equal names the first counts."""
+    found: dict[str, str] = {}
+    for name, double, single, bare in ATTRIBUTE.findall(more):
+        found.setdefault(name.lower(), html.unescape(double or single or bare))
+    return found
+
+
+def _declared(style: str) -> dict[str, str]:
+    """Values by property; the last counts, important ones before others."""
+    found: dict[str, tuple[bool, str]] = {}
+    for declaration in STYLE_VALUES.sub(" ", style).lower().split(";"):
+        name, _, value = declaration.partition(":")
+        value, important, _ = value.partition("!")
+        name = name.strip()
+        if value.strip() and (important or not found.get(name, ("", ""))[0]):
+            found[name] = (bool(important), value.strip())
+    return {name: value for name, (_, value) in found.items()}
+
+
+def _hides(more: str) -> bool:
+    """Whether the attributes of an element hide it."""
+    if not MAY_HIDE.search(more):
+        return False
+    attributes = _attributes(more)
+    if "hidden" in attributes:
+        return True
+    style = _declared(attributes.get("style", ""))
+    return style.get("display") == "none" or style.get("visibility") in ("hidden", "collapse")
+
+
+SHOWN, HIDDEN = "", "hidden"
+
+
+def _state(within: str, tag: str, more: str) -> str:
+    """``SHOWN``, ``HIDDEN``, or the name of the partly shown element that the tag is in."""
+    if within == HIDDEN or tag in UNSEEN or more and _hides(more):
+        return HIDDEN
+    if tag == "select":
+        listed = _attributes(more)
+        size = listed.get("size", "").strip()
+        return SHOWN if "multiple" in listed or size.isdecimal() and int(size[:9]) > 1 else tag
+    if tag in PARTLY:
+        return tag
+    if within == "svg":
+        return SHOWN if tag in SVG_SHOWN else HIDDEN if tag in SVG_UNSEEN else within
+    if within == "select":
+        return SHOWN if tag == "option" and "selected" in _attributes(more) else within
+    return SHOWN
+
+
 class _Flow:
     """Lines of text: collapsed blanks, breaks and gaps between blocks."""
 
@@ -248,11 +310,11 @@ def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
 def render(page: str | None) -> str:
     """The visible text of a page."""
     flow, flows, tables, lists = _Flow(), [], [], []
-    hidden, pre = 0, 0
-    hides: list[bool] = []
+    pre = 0
+    states = [SHOWN]
     for kind, tag, more in tree_events(page or ""):
         if kind == "text":
-            if hidden:
+            if states[-1] != SHOWN:
                 continue
             if tables and len(tables) > len(flows):  # between the cells of a table
                 if not tag.isspace():
@@ -262,10 +324,12 @@ def render(page: str | None) -> str:
             else:
                 flow.text(tag)
         elif kind == "open":
-            hides.append(tag in UNSEEN or bool(more and HIDING.search(more)))
-            hidden += hides[-1]
-            if hidden:
+            within = states[-1]
+            states.append(_state(within, tag, more))
+            if states[-1] != SHOWN:
                 continue
+            if within == "svg" or tag == "option" and within == SHOWN:
+                flow.end()
             if tag == "br":
                 flow.end(keep=True)
             elif tag == "table":
@@ -304,10 +368,10 @@ def render(page: str | None) -> str:
             elif tag in BLOCKS:
                 flow.end()
         else:
-            shown = not hidden
-            hidden -= hides.pop()
-            if not shown:
+            if states.pop() != SHOWN:
                 continue
+            if states[-1] == "svg" or tag == "option" and states[-1] == SHOWN:
+                flow.end()
             if tag == "table" and tables:
                 rows, outer = tables.pop()
                 flow = outer

@@ -67,3 +67,25 @@ def test_rows(spark):
     found = visible_text(pages).collect()
     assert sorted(((r["page_id"], r["text"]) for r in found), key=str) == [(1, "a"), (1, "a"), (2, ""), (None, "")]
     assert visible_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<p title="The hidden costs of x">a', "a"),
+        ('<p class="nav hidden md:flex">a', "a"),
+        ('<p style="overflow: hidden !important">a', "a"),
+        ('<p data-css="display:none" data-hidden=1>a', "a"),
+        ("<p style=\"background:url('display:none;visibility:hidden')\">a", "a"),
+        ("<p style='display:none;display:block'>a", "a"),
+        ("<p style='display:none!important;display:block'>a</p>b", "b"),
+        ("<p STYLE='color:red; Display : NONE'>a</p><p HIDDEN=''>b</p><p style=visibility:hidden>c</p>d", "d"),
+        ("so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>TeX</annotation></math> holds", "so x=1 holds"),
+        ("a<svg><title>no</title><defs><text>no</text></defs>no<g><text x=1>Q1</text><text>Q<tspan>2</tspan></text></g></svg>b", "a\nQ1\nQ2\nb"),
+        ("<select><option>no<option selected>yes<option>no</select>", "yes"),
+        ("<p>Pick <select><option>no<option selected>yes</select> now <svg><text>Q</text></svg><text>r</text> s", "Pick yes now\nQ\nr s"),
+        ("<select multiple><option>one<option>two</select>", "one\ntwo"),
+    ],
+)
+def test_only_what_is_hidden_is_left_out(page, text):
+    assert render(page) == text
