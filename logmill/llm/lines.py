@@ -15,7 +15,8 @@ first of equal windows stays; the lines of the others go. As the windows around
 fingerprint reach to both sides, what goes is the match extended both ways to all of
 its lines. No pairs of positions are made: each position meets only the first one.
 
-Lines end at ``\\n`` and are compared byte by byte. In text of period shorter than a
+Lines end at ``\\n`` and are compared byte by byte, whole: a repeated passage that begins
+or ends inside a line is found only as far as its whole lines hold enough words. In text of period shorter than a
 passage the first period stays.
 
 Edge cases: null and empty texts have one empty line and stay as they are; a null id
