@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from logmill.llm.common import unused_name
 from logmill.operators.components import connected_components
 from logmill.session import materialize
 
@@ -193,3 +194,17 @@ def simhash_components(docs: DataFrame, words: int = 3, crowd: int = CROWD) -> D
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 3, crowd: int = CROWD) -> DataFrame:
+    """``docs``, columns unchanged, with one row of each component of linked
+    fingerprints: that of the least id, and of repeated ids the first in the table.
+    Only if there is no other does a row with a null id stay. ``docs`` must be a table
+    (its rows are numbered by their place, in two scans).
+    """
+    row = unused_name(docs, "row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    named = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(f"`{row}`").alias("row"))
+    found = simhash_components(numbered.select(named.alias("doc_id"), "text"), words, crowd)
+    gone = materialize(found.where("doc_id != component_id").select(F.col("doc_id.row").alias(row)), "simhash-gone")
+    return numbered.join(gone, row, "left_anti").drop(row)

@@ -53,7 +53,7 @@ def test_pipeline_stages(spark, tmp_path):
     insults = [(1000 + i, " ".join(f"t{i}w{k}" for k in range(30)) + " utterscumbag fool") for i in range(60)]
     passage = " ".join(f"pass{k}" for k in range(70))
     shared = [(2000 + i, f"own start {i} alpha\n{passage}\nown end {i} omega") for i in range(4)]
-    base = [f"n{k}" for k in range(300)]
+    base = [f"n{k}" for k in range(3000)]
     near = [(3000 + i, " ".join(["changed" if k == 40 + i else w for k, w in enumerate(base)])) for i in range(5)]
     rows = [*clean, *insults, *shared, *near, (4000, clean[0][1]), (4001, None), (4002, "")]
     docs = documents(spark, rows)

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from logmill.llm import simhash
-from tests.llm.helpers import ODD, documents
+from tests.llm.helpers import ODD, documents, table_of
 
 
 def plain_simhash(text, words=3):
@@ -77,3 +77,20 @@ def test_texts(spark):
             least[group] = min(least.get(group, i), i)
     assert {(r["doc_id"], r["component_id"]) for r in found} == {(i, least.get(root[plain_simhash(t)])) for i, t in rows}
     assert simhash.simhash_components(documents(spark, [])).count() == 0
+
+
+def test_one_of_each_stays(spark, tmp_path):
+    """The rows kept are those of brute force: the least id of each component, once."""
+    base = [f"w{k}" for k in range(1200)]
+    near = [(100 + i, " ".join("other" if k == 7 * i else w for k, w in enumerate(base))) for i in range(30)]
+    rows = [*ODD, *near, (8, ODD[0][1])]
+    docs = documents(spark, rows).selectExpr("*", "'x' AS row", "'y' AS Row_", "doc_id AS component_id", "1 AS fp", "text AS fingerprint")
+    out = simhash.keep_one_of_each(table_of(spark, docs, tmp_path))
+    assert out.columns == docs.columns
+    of = components([plain_simhash(t) for _, t in rows])
+    least = {}
+    for i, t in rows:
+        key = of[plain_simhash(t)]
+        least[key] = min(least.get(key, (True, None)), (i is None, i), key=lambda x: (x[0], x[1] or 0))
+    assert sorted(map(str, least.values())) == sorted(str((r["doc_id"] is None, r["doc_id"])) for r in out.collect())
+    assert simhash.keep_one_of_each(table_of(spark, documents(spark, []), tmp_path, "none")).count() == 0
