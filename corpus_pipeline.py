@@ -2,7 +2,7 @@
 
 1. Toxicity: documents that the classifier rejects go.
 2. Line dedup: passages of 50 words or more that came before are cut out of the text.
-3. SimHash near-dedup: one document of each group stays (five words, similarity 0.8).
+3. SimHash near-dedup: one document of each group stays (three words, at most three bits apart).
 4. Mixing: documents are repeated so that the tokens of each domain come closer to its
    target weight; no rate is below 1, so no document is lost.
 5. Byte-level BPE: token ids, and the digest of the text decoded from them.
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmill.llm import bpe, lines, mixing, near_copies, toxicity
+from logmill.llm import bpe, lines, mixing, simhash, toxicity
 from logmill.llm.common import rank_path, table
 from logmill.session import materialize
 
@@ -32,7 +32,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.drop_near_duplicates(docs, words=5, similarity=0.8)
+    return simhash.keep_one_of_each(docs, words=3)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ STAGES = [
     ("byte bpe", encode),
 ]
 
-#: Trained models and shingle similarity have no form in SQL.
+#: Trained models have no form in SQL.
 ORACLE_SQL = None
 
 
