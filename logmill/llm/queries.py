@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logmill.llm import bpe, dedup_stream, fingerprint, html_text, lines, mixing, ppm, quality, simhash, toxicity
+from logmill.llm import bpe, conversations, dedup_stream, fingerprint, html_text, lines, mixing, ppm, quality, simhash, toxicity
 from logmill.llm.common import rank_path, remainder_is, table
 from logmill.session import materialize
 
@@ -143,6 +143,71 @@ def op10_mixing(spark, sf_dir):
     )
 
 
+@query
+def op13_repair(spark, sf_dir):
+    return conversations.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_repair"] = r"""
+WITH RECURSIVE keyed AS (
+  SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+hashed AS (
+  SELECT *, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(key, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 20 AS kind
+  FROM keyed),
+hurt AS (
+  SELECT conv_id, turn, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy,
+         CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text
+  FROM hashed WHERE kind != 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM hurt),
+judged AS (
+  SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS cut,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair
+  FROM placed),
+turns AS (
+  SELECT *, blank OR again AS gone, NOT blank AND NOT again AND cut AS truncated FROM judged),
+added(a, b, letters, price, lines) AS (VALUES
+  (0, 0, '', 0, []::VARCHAR[]), (1, 1, '', 0, []), (2, 2, '', 0, []), (3, 3, '', 0, []), (0, 2, 'I', 3, ['user:']),
+  (1, 2, 'I', 3, ['user:']), (2, 3, 'I', 3, ['assistant:']), (3, 2, 'I', 3, ['user:']),
+  (0, 3, 'II', 6, ['user:', 'assistant:']), (1, 3, 'II', 6, ['user:', 'assistant:'])),
+edits(a, initial, letter, b, price, as_role) AS (VALUES
+  (0, NULL, 'D', 0, 4, NULL), (1, NULL, 'D', 1, 4, NULL), (2, NULL, 'D', 2, 4, NULL), (3, NULL, 'D', 3, 4, NULL),
+  (0, 's', 'K', 1, 0, NULL), (0, 'u', 'K', 2, 0, NULL), (1, 'u', 'K', 2, 0, NULL), (2, 'a', 'K', 3, 0, NULL), (3, 'u', 'K', 2, 0, NULL),
+  (0, NULL, 'R', 2, 3, 'user'), (1, NULL, 'R', 2, 3, 'user'), (2, NULL, 'R', 3, 3, 'assistant'), (3, NULL, 'R', 2, 3, 'user')),
+steps AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS state, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} AS best FROM turns
+  UNION ALL
+  SELECT t.conv_id, t.i, e.b, min({
+    'cost': s.best.cost + n.price + e.price + CASE WHEN t.truncated AND e.letter != 'D' THEN 3 ELSE 0 END,
+    'audit': s.best.audit || n.letters || e.letter,
+    'lines': s.best.lines || n.lines || CASE WHEN e.letter = 'D' THEN [] ELSE [coalesce(e.as_role, t.role) || ':' || t.text] END})
+  FROM steps s JOIN turns t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.i = s.i + 1
+  JOIN added n ON n.a = s.state
+  JOIN edits e ON e.a = n.b AND (e.letter = 'D' OR NOT t.gone) AND (e.initial IS NULL OR e.initial = t.initial)
+  GROUP BY t.conv_id, t.i, e.b),
+counted AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+         count(*) FILTER (truncated) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM turns GROUP BY conv_id),
+ends AS (
+  SELECT s.conv_id, min({'cost': s.best.cost + n.price, 'audit': s.best.audit || n.letters, 'lines': s.best.lines || n.lines}) AS best
+  FROM steps s JOIN counted c ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.n = s.i
+  JOIN added n ON n.a = s.state WHERE n.b IN (0, 3) GROUP BY s.conv_id)
+SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+       coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, coalesce(e.best.cost, 0) AS cost,
+       coalesce(e.best.audit, '') AS audit, sha256(coalesce(array_to_string(e.best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
