@@ -27,6 +27,13 @@ def rank_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def word_tokenizer_path() -> str:
+    """The public tokenizer of words; its folder is not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def remainder_is(doc_id: str, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id, as text, leaves ``remainder``. False for a null id."""
     rest = F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logmill.llm import bpe, conversations, dedup_stream, fingerprint, html_text, lines, mixing, ppm, quality, simhash, toxicity
-from logmill.llm.common import rank_path, remainder_is, table
+from logmill.llm import bpe, conversations, dedup_stream, divergence, fingerprint, html_text, lines, mixing, packing, ppm, quality, simhash, toxicity
+from logmill.llm.common import rank_path, remainder_is, table, word_tokenizer_path
 from logmill.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,6 +143,51 @@ def op10_mixing(spark, sf_dir):
     )
 
 
+@query
+def op11_divergence(spark, sf_dir):
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+words AS (
+  SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (
+  SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+langs AS (
+  SELECT lang, count(*) AS v, sum(total)::HUGEINT AS all_n FROM kept GROUP BY lang),
+sources AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words GROUP BY lang, source, term),
+cells AS (
+  SELECT s.lang, s.source, k.term, k.total, coalesce(c.n, 0) AS n, l.v, l.all_n
+  FROM sources s JOIN kept k ON k.lang = s.lang JOIN langs l ON l.lang = s.lang
+  LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+shares AS (
+  SELECT *, 1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER (PARTITION BY lang, source) + v) AS p,
+         1 + 1000000000::HUGEINT * (total + 1) // (all_n + v) AS q FROM cells),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source != b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query
+def op12_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer_path())
+
+
 @query
 def op13_repair(spark, sf_dir):
     return conversations.damage_and_repair(table(spark, sf_dir, "conversations"))

@@ -17,7 +17,11 @@ COLUMNS = {
     "op8_quality": "doc_id held_out predicted score",
     "op9_byte_bpe": "decoded_sha256 doc_id ids_sha256 n_tokens",
     "op10_mixing": "copies doc_id domain probability rate tokens",
+    "op11_divergence": "item lang part rank source value",
+    "op12_packing": "doc_id ids_crc32 length offset piece sequence_id start",
+    "op13_repair": "audit blank conv_id cost duplicate gaps illegal repaired_sha256 truncated",
 }
+ONE_ROW_EACH = [name for name in sorted(COLUMNS) if name[:4] not in ("op11", "op12", "op13")]
 
 
 def test_all_are_registered():
@@ -25,7 +29,7 @@ def test_all_are_registered():
     assert len(corpus_pipeline.STAGES) == 5
 
 
-@pytest.mark.parametrize("name", sorted(COLUMNS))
+@pytest.mark.parametrize("name", ONE_ROW_EACH)
 def test_rows_and_columns(spark, sf_dir, name):
     found = QUERIES[name](spark, sf_dir)
     table = "pages" if name.startswith("op4") else "documents"
@@ -37,7 +41,8 @@ def test_rows_and_columns(spark, sf_dir, name):
 def test_same_rows_as_sql(spark, sf_dir, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for name_ in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {name_} AS SELECT * FROM '{sf_dir}/{name_}.parquet'")
     found = QUERIES[name](spark, sf_dir)
     columns = sorted(found.columns)
     result = con.execute(ORACLES[name])
