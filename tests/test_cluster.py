@@ -121,6 +121,42 @@ def test_crowded_cells_are_cut_into_bounded_tiles(spark):
     assert len({tuple(sorted((r["a"], r["b"]))) for r in links}) == len(links)
 
 
+def compared(spark, clusters, tile_rows=16):
+    """(tiles, pairs in them) of vectors in as many clusters, 12 points each."""
+    rng = np.random.default_rng(clusters)
+    centres = rng.normal(size=(clusters, 12))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    x = (centres[:, None, :] + rng.normal(0, 0.01, size=(clusters, 12, 12))).reshape(-1, 12)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point long, embedding array<double>")
+    tiles, _ = cluster.vector_tiles(df, 0.1, tile_rows)
+    sizes = [r["n"] for r in tiles.groupBy("cell", "lo", "hi").count().withColumnRenamed("count", "n").collect()]
+    return len(sizes), sum(n * n for n in sizes)
+
+
+def test_compared_pairs_grow_with_the_points_not_with_their_square(spark):
+    few, many = compared(spark, 40), compared(spark, 160)
+    assert many[1] < 4 * 1.6 * few[1]  # four times the points over four times the clusters
+    assert many[1] < (160 * 12) ** 2 / 8
+
+
+@pytest.mark.parametrize("fan", [2, 5])
+def test_split_cells_against_brute_force(spark, fan):
+    """Unit vectors, a dense ball, a chain across cells and far outliers, split over levels."""
+    rng = np.random.default_rng(fan)
+    unit = rng.normal(size=(150, 6))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    ball = unit[0] + rng.normal(0, 0.002, size=(90, 6))
+    chain = np.array([[0.19 * i, 0, 0, 0, 0, 3] for i in range(60)])
+    ring = unit[1] + 0.2 * unit[rng.permutation(150)[:40]]
+    x = np.vstack([unit, ball, chain, ring, 1e4 * unit[:5]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, embedding array<double>").repartition(4)
+    square = (x * x).sum(axis=1)
+    near = square[:, None] + square[None, :] - 2 * (x @ x.T) <= 0.2 * 0.2
+    pairs = [(int(a), int(b)) for a, b in zip(*np.where(near))]
+    links = cluster.vector_links(df.withColumnRenamed("row_id", "point"), 0.2, tile_rows=6, fan=fan).collect()
+    assert union(len(x), [(r["a"], r["b"]) for r in links]) == union(len(x), pairs)
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "row_id long, embedding array<double>")
     assert cluster.density_clusters_vectors(df, 0.5).count() == 0
