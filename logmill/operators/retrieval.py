@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,9 +14,7 @@ from logmill.functions import dims
 from logmill.functions.expr import tokens
 from logmill.session import materialize
 
-# Question vectors sent to every task: at most this many per pass.
-QUERY_BLOCK = 5_000
-SLICE = 4_000_000
+SLICE = 4_000_000  # scores held at once
 
 DOC_FIELDS = [
     "collection", "id", "file_id", "text", "level", "vuln_type", "severity", "category",
@@ -164,31 +162,45 @@ def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return np.round(s, 6) + 0.0
 
 
-def _partial_topk(query_ids: list, q: np.ndarray, k: int, metric: str):
-    """The best ``k`` of a task's documents for each question, ties by id. Documents
-    are scored a slice at a time, so that a slice has about ``SLICE`` scores."""
-    names = np.array(query_ids, dtype=object)
-    step = max(1, SLICE // max(1, len(q)))
+def _tile_topk(k: int, metric: str):
+    """The best ``k`` of a tile's documents for each of its questions, ties by id."""
+
+    def make(docs: pa.Table, questions: pa.Table) -> pa.Table:
+        kinds = [questions.schema.field("query_id").type, docs.schema.field("id").type, pa.float64()]
+        names = ["query_id", "id", "score"]
+        if not docs.num_rows or not questions.num_rows:
+            return pa.table([pa.array([], kind) for kind in kinds], names)
+        x, q = (np.stack(t.column("embedding").to_numpy()).astype(float) for t in (docs, questions))
+        ids = docs.column("id").to_numpy(zero_copy_only=False)
+        n, who, what, scores = len(x), [], [], []
+        step = max(1, SLICE // n)
+        for start in range(0, len(q), step):
+            found = _scores(x, q[start : start + step], metric)
+            least = np.partition(found, n - k, axis=1)[:, n - k, None] if n > k else -np.inf
+            a, b = np.nonzero(found >= least)
+            order = np.lexsort((ids[b], -found[a, b], a))
+            a, b = a[order], b[order]
+            rank = np.arange(len(a)) - np.searchsorted(a, a)
+            a, b = a[rank < k], b[rank < k]
+            who.append(a + start)
+            what.append(b)
+            scores.append(found[a, b])
+        columns = [questions.column("query_id").take(np.concatenate(who)), docs.column("id").take(np.concatenate(what))]
+        return pa.table([*columns, pa.array(np.concatenate(scores))], names)
+
+    return make
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "id", "score")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        question, ids, scores = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
-        for batch in batches:
-            every, vectors = batch["id"].to_numpy(dtype=object), batch["embedding"].to_numpy()
-            for start in range(0, len(every), step):
-                part = slice(start, start + step)
-                new = _scores(np.stack(vectors[part]).astype(float), q, metric)
-                n = new.shape[1]
-                least = np.partition(new, n - k, axis=1)[:, n - k, None] if n > k else -np.inf
-                who, what = np.nonzero(new >= least)
-                question, ids = np.append(question, who), np.append(ids, every[part][what])
-                scores = np.append(scores, new[who, what])
-                order = np.lexsort((ids, -scores, question))
-                question, ids, scores = question[order], ids[order], scores[order]
-                rank = np.arange(len(question)) - np.searchsorted(question, question)
-                question, ids, scores = question[rank < k], ids[rank < k], scores[rank < k]
-        yield pd.DataFrame({"query_id": names[question], "id": ids, "score": scores})
-
-    return run
+
+def _tiles_of(df: DataFrame, key: str, rows: int) -> tuple[Column, Column]:
+    """The tile of a row, and how many there are: a count of ``df`` that runs with the query."""
+    tiles = df.agg(F.greatest(F.ceil(F.count("*") / F.lit(rows)), F.lit(1)).cast("int").alias("n")).scalar()
+    return F.pmod(F.xxhash64(key), tiles).cast("int"), tiles
 
 
 def topk_similar(
@@ -197,101 +209,107 @@ def topk_similar(
     k: int = 5,
     metric: str = "cosine",
     where: dict[str, object] | None = None,
+    doc_rows: int = 1 << 16,
+    query_rows: int = 1 << 14,
 ) -> DataFrame:
     """V4: the exact ``k`` nearest documents of each question.
 
     ``docs(id, embedding, ...)``, ``queries(query_id, embedding)``; result
-    (query_id, rank, id, score), score negative squared distance for "l2". Each
-    task multiplies its documents with a block of question vectors and keeps
-    its own best ``k``; only those are shuffled. Questions are sent in blocks
-    of a fixed size. More than one block means one pass each, whose result is
-    written at once, so the driver holds a single block at any time.
+    (query_id, rank, id, score), score negative squared distance for "l2". One pass for
+    any number of questions: a task gets a tile of about ``doc_rows`` documents and one of
+    about ``query_rows`` questions and keeps the best ``k`` of its documents; these are
+    ranked per task, then by question. Documents are shuffled once for each tile of
+    questions. Nothing passes through the driver, and nothing runs before the result is
+    asked for.
     """
     if metric not in ("cosine", "l2"):
         raise ValueError("metric is 'cosine' or 'l2'")
     for column, value in (where or {}).items():
         docs = docs.where(F.col(column) == value)
-    docs = docs.select("id", "embedding")
-    queries = queries.select("query_id", "embedding")
+    docs, queries = docs.select("id", "embedding"), queries.select("query_id", "embedding")
+    doc_tile, doc_tiles = _tiles_of(docs, "id", doc_rows)
+    query_tile, query_tiles = _tiles_of(queries, "query_id", query_rows)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = docs.withColumn("doc_tile", doc_tile).withColumn("query_tile", every(query_tiles))
+    right = queries.withColumn("query_tile", query_tile).withColumn("doc_tile", every(doc_tiles))
+    tile = ["doc_tile", "query_tile"]
     id_type, query_type = dict(docs.dtypes)["id"], dict(queries.dtypes)["query_id"]
-    schema = f"query_id {query_type}, id {id_type}, score double"
-
-    total = queries.count()
-    if total == 0:
-        empty = docs.sparkSession.createDataFrame([], schema)
-        return empty.select("query_id", F.lit(1).alias("rank"), "id", "score")
-    blocks = -(-total // QUERY_BLOCK)
-    best = None
-    for block in range(blocks):
-        # Hashed blocks vary a little in size around QUERY_BLOCK.
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
-        if not part:
-            continue
-        matrix = np.array([r["embedding"] for r in part], dtype=float)
-        found = docs.mapInPandas(
-            _partial_topk([r["query_id"] for r in part], matrix, k, metric), schema
-        )
-        if blocks > 1:
-            found = materialize(found, "nearest")
-        best = found if best is None else best.unionByName(found)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return (
-        best.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "id", "score")
+    found = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(
+        _tile_topk(k, metric), f"query_id {query_type}, id {id_type}, score double"
     )
+    return _best(found, k)
 
 
-def topk_similar_lsh(
-    docs: DataFrame,
-    queries: DataFrame,
-    k: int = 5,
-    tables: int = 8,
-    width: float = 0.5,
-    seed: int = 7,
-) -> DataFrame:
-    """V5: approximate V4 (Euclidean) through hash buckets of random projections.
+#: Directions of the hash tables, by a formula that any engine can repeat: the
+#: coordinate ``pos`` of the direction for ``bit`` of ``table``.
+DIRECTION = "((({table} + 1) * 7919 + ({bit} + 1) * 104729 + (({pos} + 1) * ({pos} + 3 * {bit} + 5 * {table} + 7)) * 1299709) % 2003) / 1001.0 - 1"
 
-    Documents and questions meet on (table, bucket) by an equi-join. A pair that
-    shares several buckets counts in the first of them, which each row can tell
-    by itself; so ranks are cut per task and nothing else is shuffled.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    def vectors(df: DataFrame, key: str) -> DataFrame:
-        return df.select(
-            F.col(key), F.col("embedding").cast("array<double>").alias("e")
-        ).withColumn("v", array_to_vector("e"))
+def directions(dim: int, tables: int, bits: int) -> np.ndarray:
+    t, b, p = np.ogrid[:tables, :bits, :dim]
+    return ((t + 1) * 7919 + (b + 1) * 104729 + ((p + 1) * (p + 3 * b + 5 * t + 7)) * 1299709) % 2003 / 1001.0 - 1
 
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed
-    )
-    d = vectors(docs, "id")
-    model = lsh.fit(d)
-
-    def keyed(df: DataFrame, key: str, vec: str, all_: str) -> DataFrame:
-        buckets = F.array(*[vector_to_array(F.col("h")[i])[0].cast("long") for i in range(tables)])
-        return model.transform(df).select(
-            key, F.col("e").alias(vec), buckets.alias(all_)
-        ).select("*", F.posexplode(all_).alias("tbl", "bucket"))
-
-    same = F.zip_with("dall", "qall", lambda a, b: a == b)
-    pairs = (
-        keyed(d, "id", "de", "dall")
-        .join(keyed(vectors(queries, "query_id"), "query_id", "qe", "qall"), ["tbl", "bucket"])
-        .where(F.array_position(same, True) == F.col("tbl") + 1)
-    )
-    gap = F.aggregate(
-        F.zip_with("de", "qe", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x
-    )
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return (
-        pairs.select("query_id", "id", (-F.round(gap, 6)).alias("score"))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "id", "score")
-    )
+
+def _signatures(df: DataFrame, key: str, dim: int, tables: int, bits: int, probes: bool) -> DataFrame:
+    """(key, table, code) of each vector: one bit for each direction's sign; with
+    ``probes`` also the codes that differ in one bit."""
+    rays = directions(dim, tables, bits).reshape(tables * bits, dim).T
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack(batch.column("embedding").to_numpy(zero_copy_only=False)).astype(float)
+            signs = (np.round(x @ rays, 9) > 0).reshape(len(x), tables, bits)
+            codes = (signs << np.arange(bits)).sum(axis=2).astype(np.int64)[:, :, None]
+            if probes:
+                codes = np.concatenate([codes, codes ^ (1 << np.arange(bits))], axis=2)
+            each = codes.shape[1] * codes.shape[2]
+            table = np.broadcast_to(np.arange(tables)[None, :, None], codes.shape)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key).take(np.repeat(np.arange(len(x)), each)), pa.array(table.ravel()), pa.array(codes.ravel())],
+                [key, "table", "code"],
+            )
+
+    return df.select(key, "embedding").mapInArrow(make, f"{key} {dict(df.dtypes)[key]}, table long, code long")
+
+
+def hash_bits(rows: int, bucket_rows: int = 64) -> int:
+    """Bits of a code, so that a bucket has about ``bucket_rows`` of the rows."""
+    return max(1, min(48, (max(rows, 1) // bucket_rows).bit_length()))
+
+
+def topk_similar_lsh(
+    docs: DataFrame, queries: DataFrame, k: int = 5, tables: int = 12, bucket_rows: int = 64
+) -> DataFrame:
+    """V5: approximate V4 (Euclidean) by signs of projections, (query_id, rank, id, score).
+
+    Each table has a code of concatenated sign bits, as many as the documents need for
+    buckets of about ``bucket_rows``; a question also looks into the buckets that differ in
+    one bit. Only ids are shuffled to meet; each candidate pair is kept once, and vectors
+    are fetched for the candidates. Crowded buckets are split by adaptive execution, as
+    both sides of the join have an exchange of their own. Vectors are meant to be of about
+    equal length, since a sign does not depend on it.
+    """
+    first = docs.select(F.size("embedding").alias("n")).first()
+    if first is None:
+        none = F.lit(None).cast(dict(queries.dtypes)["query_id"])
+        return _best(docs.select(none.alias("query_id"), "id", F.lit(0.0).alias("score")), k)
+    bits = hash_bits(docs.count(), bucket_rows)
+    lists = _signatures(docs, "id", first["n"], tables, bits, False)
+    looks = _signatures(queries, "query_id", first["n"], tables, bits, True)
+    pairs = materialize(lists.join(looks, ["table", "code"]).select("query_id", "id").distinct(), "candidates")
+    wide = lambda df, key, name: df.select(key, F.col("embedding").cast("array<double>").alias(name))
+    held = pairs.join(wide(docs, "id", "de"), "id").join(wide(queries, "query_id", "qe"), "query_id")
+    gap = F.aggregate(F.zip_with("de", "qe", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return _best(held.select("query_id", "id", (-F.round(gap, 6)).alias("score")), k)
+
+
+def with_recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """``found`` of V5 with the share of each question's exact neighbours that it has."""
+    hit = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    recall = hit.groupBy("query_id").agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+    return found.join(recall, "query_id")
 
 
 def _context_part(docs: DataFrame, hits: DataFrame, title: str, label: str) -> DataFrame:

@@ -637,6 +637,20 @@ COSINE = "list_cosine_similarity(qe, embedding::DOUBLE[])"
 put("topk_similar", QUESTIONS, nearest(COSINE, 5), select="SELECT * FROM hits")
 put("topk_similar_l2", QUESTIONS, nearest("-(list_distance(qe, embedding::DOUBLE[]) ** 2)", 10), select="SELECT * FROM hits")
 put("topk_similar_where", QUESTIONS, nearest(COSINE, 5, "label = 3"), select="SELECT * FROM hits")
+put("topk_similar_lsh", QUESTIONS, """size AS (SELECT greatest(1, least(48, CASE WHEN count(*) < 64 THEN 0 ELSE floor(log2(count(*) // 64))::INT + 1 END)) AS bits FROM embeddings)""",
+    """rays AS (SELECT t, b, p, (((t + 1) * 7919 + (b + 1) * 104729 + ((p + 1) * (p + 3 * b + 5 * t + 7)) * 1299709) % 2003) / 1001.0::DOUBLE - 1 AS r
+  FROM range(12) AS ts(t), range(48) AS bs(b), range((SELECT max(len(embedding)) FROM embeddings)) AS ps(p) WHERE b < (SELECT bits FROM size))""",
+    """every AS (SELECT 0 AS kind, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings UNION ALL SELECT 1, query_id, qe FROM questions)""",
+    """cells AS (SELECT kind, id, unnest(v) AS x, unnest(range(len(v))) AS p FROM every)""",
+    """signs AS (SELECT kind, id, t, b, round(sum(x * r), 9) > 0 AS s FROM cells JOIN rays USING (p) GROUP BY kind, id, t, b)""",
+    """codes AS (SELECT kind, id, t, sum(CASE WHEN s THEN 1::BIGINT << b ELSE 0 END) AS code FROM signs GROUP BY kind, id, t)""",
+    """looks AS (SELECT id, t, code FROM codes WHERE kind = 1 UNION ALL SELECT id, t, xor(code::BIGINT, 1::BIGINT << b) FROM codes, range(48) AS bs(b) WHERE kind = 1 AND b < (SELECT bits FROM size))""",
+    """met AS (SELECT DISTINCT q.id AS query_id, d.id FROM looks q JOIN codes d ON d.kind = 0 AND d.t = q.t AND d.code = q.code)""",
+    """near AS (SELECT query_id, id, round(-(list_distance(qe, embedding::DOUBLE[]) ** 2), 6) AS score FROM met JOIN questions USING (query_id) JOIN embeddings ON vec_id = id)""",
+    """found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM near QUALIFY rank <= 5)""",
+    nearest("-(list_distance(qe, embedding::DOUBLE[]) ** 2)", 5),
+    """shares AS (SELECT h.query_id, round(count(f.id) / count(*), 6) AS recall FROM hits h LEFT JOIN found f ON f.query_id = h.query_id AND f.id = h.id GROUP BY h.query_id)""",
+    select="SELECT query_id, rank, id, score, recall FROM found JOIN shares USING (query_id)")
 JOINED = nearest(COSINE, 3, "vec_id IN (SELECT doc_id FROM documents)")
 put("retrieval_context", QUESTIONS, JOINED, select="""SELECT query_id, md5('=== Log File Summaries ===' || chr(10) || chr(10) ||
     string_agg('File: doc-' || doc_id || chr(10) || 'Summary: ' || source || ' ' || lang, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) ||

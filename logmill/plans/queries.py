@@ -863,7 +863,10 @@ def topk_similar_where(spark, sf_dir):
 
 @query
 def topk_similar_lsh(spark, sf_dir):
-    return retrieval.topk_similar_lsh(inputs.vectors(spark, sf_dir), inputs.questions(spark, sf_dir))
+    """With the share of the exact neighbours found."""
+    vectors, questions = inputs.vectors(spark, sf_dir), inputs.questions(spark, sf_dir)
+    exact = retrieval.topk_similar(vectors, questions, metric="l2")
+    return retrieval.with_recall(retrieval.topk_similar_lsh(vectors, questions), exact)
 
 
 def _search_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

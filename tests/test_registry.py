@@ -9,7 +9,7 @@ from logmill.plans.oracles import ORACLES
 from logmill.plans.queries import QUERIES
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-ROWS_ONLY = {"mmr_keywords", "large_run", "topk_similar_lsh", "embed_column"}
+ROWS_ONLY = {"mmr_keywords", "large_run", "embed_column"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
 

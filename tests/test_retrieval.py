@@ -54,10 +54,27 @@ def test_nearest_against_brute_force(space, metric):
     assert got(retrieval.topk_similar(d, q, 7, metric)) == expected(docs, queries, 7, metric)
 
 
-def test_where_and_blocks_of_questions(space, monkeypatch):
+@pytest.mark.parametrize("doc_rows, query_rows", [(1 << 16, 1 << 14), (30, 1), (7, 2)])
+def test_where_and_tiles(space, doc_rows, query_rows):
     docs, queries, d, q = space
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 1)
-    assert got(retrieval.topk_similar(d, q, 3, where={"label": 2})) == expected(docs, queries, 3, "cosine", lambda i: i % 4 == 2)
+    found = retrieval.topk_similar(d, q, 3, where={"label": 2}, doc_rows=doc_rows, query_rows=query_rows)
+    assert got(found) == expected(docs, queries, 3, "cosine", lambda i: i % 4 == 2)
+
+
+def test_many_questions_in_one_pass(spark, space):
+    """20,000 questions: nothing runs before the result is asked for, nothing is collected."""
+    docs, _, d, _ = space
+    rng = np.random.default_rng(8)
+    queries = unit(rng, 20_000)
+    flat = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id long, embedding array<double>")
+    spark.sparkContext.setJobGroup("lazy", "no job yet")
+    found = retrieval.topk_similar(d, flat, 3)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")
+    some = found.where("query_id % 4001 = 0").orderBy("query_id", "rank").collect()
+    picked = list(range(0, 20_000, 4001))
+    exact = expected(docs, queries[picked], 3, "cosine")
+    assert [(r["id"], r["score"]) for r in some] == [x for j in range(len(picked)) for x in exact[j]]
+    assert found.count() == 60_000
 
 
 def test_fewer_documents_than_asked_for_and_no_questions(space):
@@ -69,14 +86,35 @@ def test_fewer_documents_than_asked_for_and_no_questions(space):
         retrieval.topk_similar(d, q, metric="dot")
 
 
-def test_hash_buckets_recall(space):
-    docs, queries, d, q = space
+def test_hash_buckets_recall(spark):
+    """Nine in ten of the exact neighbours of vectors in clusters; scores are exact."""
+    rng = np.random.default_rng(4)
+    centres = unit(rng, 60, 24)
+    docs = (centres[:, None, :] + rng.normal(0, 0.05, size=(60, 50, 24))).reshape(-1, 24)
+    docs /= np.linalg.norm(docs, axis=1, keepdims=True)
+    queries = centres[:40] + rng.normal(0, 0.05, size=(40, 24))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(docs)], "id long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id long, embedding array<double>")
     exact = expected(docs, queries, 5, "l2")
-    found = got(retrieval.topk_similar_lsh(d, q, 5, tables=12, width=1.0))
-    hits = sum(len({i for i, _ in exact[j]} & {i for i, _ in found[j]}) for j in exact)
-    assert hits >= 12
-    scores = {(j, i): v for j in found for i, v in found[j]}
+    found = retrieval.topk_similar_lsh(d, q, 5)
+    held = got(found)
+    hits = [len({i for i, _ in exact[j]} & {i for i, _ in held.get(j, [])}) / 5 for j in exact]
+    assert np.mean(hits) >= 0.9
+    scores = {(j, i): v for j in held for i, v in held[j]}
     assert all(abs(scores[(j, i)] - v) < 1e-5 for j in exact for i, v in exact[j] if (j, i) in scores)
+    recall = {r["query_id"]: r["recall"] for r in retrieval.with_recall(found, retrieval.topk_similar(d, q, 5, "l2")).collect()}
+    assert all(recall[j] == pytest.approx(hits[j], abs=1e-6) for j in recall)
+
+
+def test_hash_buckets_hold_a_bounded_share(spark):
+    """Few of the documents are compared: ids meet only in buckets near a question's."""
+    assert [retrieval.hash_bits(n) for n in (0, 63, 64, 128, 6400, 64 << 20)] == [1, 1, 1, 2, 7, 21]
+    rays = retrieval.directions(16, 12, 8).reshape(-1, 16)
+    unit_rays = rays / np.linalg.norm(rays, axis=1, keepdims=True)
+    assert np.abs(np.corrcoef(unit_rays) - np.eye(96)).mean() < 0.3
+    none = spark.createDataFrame([], "id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<double>")
+    assert retrieval.topk_similar_lsh(none, q).count() == 0
 
 
 def test_documents_of_five_collections(spark):
