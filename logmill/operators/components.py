@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from logmill.session import materialize, round_tables
 
+PIECE = 1 << 20  # edges that a task contracts at once
+
 
 def _to_least_neighbour(edges: DataFrame, keep) -> DataFrame:
     """Link the neighbours ``v`` of each ``u`` to the least of them and ``u``.
@@ -26,10 +32,37 @@ def _pairs(df: DataFrame, *ends: tuple[str, str]) -> DataFrame:
     return df.select(F.explode(F.array(*each)).alias("p")).select("p.u", "p.v")
 
 
+def least_connected(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
+    """For each of ``nodes`` places, the least place that links (a, b) connect it with."""
+    root = np.arange(nodes)
+    while True:
+        least, low = np.minimum(root[a], root[b]), root.copy()
+        for ends in (a, b, root[a], root[b]):
+            np.minimum.at(low, ends, least)
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task as stars around the least node of each connected set."""
+    held = list(batches)
+    if not held:
+        return
+    u, v = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("u", "v"))
+    names, places = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = least_connected(places[: len(u)], places[len(u) :], len(names))
+    moved = root != np.arange(len(names))
+    yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[root[moved]])], ["u", "v"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of ``edges(a, b)``; the component is its
-    least node. Alternates large-star and small-star steps until nothing moves;
-    the number of rounds grows with the logarithm of the longest path.
+    """(node, component) for the nodes of ``edges(a, b)``, longs; the component is its
+    least node. Pieces of about ``PIECE`` edges, dealt by a hash of both ends, are
+    contracted to stars; where there is more than one piece, large-star and small-star
+    steps alternate until nothing moves. The number of rounds grows with the logarithm
+    of the longest path.
     """
     write = round_tables(edges.sparkSession, "components")
 
@@ -42,10 +75,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     pairs, before = settle(
         edges.where(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        .select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
         .distinct()
     )
-    while True:
+    pieces = -(-before["n"] // PIECE)
+    if before["n"]:
+        pairs, before = settle(pairs.repartition(pieces, "u", "v").mapInArrow(_contract, "u long, v long").distinct())
+    while pieces > 1:
         both = _pairs(pairs, ("u", "v"), ("v", "u"))
         large = (
             _to_least_neighbour(both, F.col("v") > F.col("u"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from logmill.functions import dims
@@ -92,26 +97,55 @@ def vocabulary(
     )
 
 
-def tfidf(
+TERMS = "array<struct<term:string,n:bigint,weight:double>>"
+
+
+def _weigh(known: list[str], idf: list[float]):
+    """Counts and weights of the words of each row, for a batch of rows at once."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, by = pa.array(known, pa.string()), np.array(idf)
+        for batch in batches:
+            words, n = batch.column("_words"), batch.num_rows
+            sizes = pc.fill_null(words.value_lengths(), 0).to_numpy()
+            term = pc.fill_null(pc.index_in(words.flatten(), terms), -1).to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(n), sizes)[term >= 0]
+            cells, counts = np.unique(row * len(known) + term[term >= 0], return_counts=True)
+            row, term = cells // max(1, len(known)), cells % max(1, len(known))
+            weight = counts * by[term]
+            weight = weight / np.sqrt(np.bincount(row, weight * weight, n))[row]
+            values = pa.StructArray.from_arrays(
+                [terms.take(pa.array(term)), pa.array(counts.astype(np.int64)), pa.array(weight)], ["term", "n", "weight"]
+            )
+            lists = pa.ListArray.from_arrays(np.searchsorted(row, np.arange(n + 1)).astype(np.int32), values)
+            kept = [c for c in batch.schema.names if c != "_words"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists], [*kept, "terms"])
+
+    return make
+
+
+def tfidf_vectors(
     rows: DataFrame, max_terms: int = dims.MAX_TERMS, stop_words: list[str] = LINE_STOPS
 ) -> DataFrame:
-    """T4: (row_id, term, n, weight), rows of unit length.
+    """T4 as a column: ``rows`` with ``terms``, the (term, n, weight) of each row by term,
+    weights of unit length.
 
-    The words meet the vocabulary in a broadcast join (at most ``max_terms``
-    rows) and are then shuffled once, by row: the counts and the lengths both
-    use that partitioning.
+    The vocabulary comes first (``max_terms`` words, sent to every task); counts, weights
+    and lengths are then made within the row, a batch of rows at a time, so nothing is
+    shuffled but the vocabulary's counts.
     """
-    terms = vocabulary(rows, max_terms, stop_words).select("term", "idf")
-    counts = (
-        rows.select("row_id", F.explode(tokens(F.col("text"), stop_words)).alias("term"))
-        .join(F.broadcast(terms), "term")
-        .repartition("row_id")
-        .groupBy("row_id", "term", "idf")
-        .agg(F.count("*").alias("n"))
-        .withColumn("w", F.col("n") * F.col("idf"))
-    )
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("row_id")))
-    return counts.select("row_id", "term", "n", (F.col("w") / length).alias("weight"))
+    found = sorted(vocabulary(rows, max_terms, stop_words).select("term", "idf").collect())
+    schema = StructType([*rows.schema.fields, StructField("terms", StructType.fromDDL(f"t {TERMS}")["t"].dataType)])
+    words = rows.withColumn("_words", tokens(F.col("text"), stop_words))
+    return words.mapInArrow(_weigh([r["term"] for r in found], [r["idf"] for r in found]), schema)
+
+
+def tfidf(
+    rows: DataFrame, max_terms: int = dims.MAX_TERMS, stop_words: list[str] = LINE_STOPS
+) -> DataFrame:
+    """T4: (row_id, term, n, weight), rows of unit length."""
+    vectors = tfidf_vectors(rows.select("row_id", "text", *(["copies"] if "copies" in rows.columns else [])), max_terms, stop_words)
+    return vectors.select("row_id", F.explode("terms").alias("t")).select("row_id", "t.*")
 
 
 def keyword_candidates(docs: DataFrame) -> DataFrame:

@@ -106,15 +106,12 @@ def clustered_lines(lines: DataFrame, eps: float = 0.7) -> DataFrame:
     """
     table = textfeat.line_table(lines).withColumn("cleaned", clean_line(F.col("line")))
     texts = cluster.distinct_texts(table.select("row_id", F.col("cleaned").alias("text")))
-    weights = materialize(textfeat.tfidf(texts), "weights")
-    labels = materialize(cluster.text_clusters(texts, weights, eps), "labels")
+    vectors = materialize(textfeat.tfidf_vectors(texts), "vectors")
+    labels = materialize(cluster.text_clusters(vectors, eps), "labels")
+    weights = vectors.select("row_id", F.explode("terms").alias("t")).select("row_id", "t.*")
     # written: noise is a hot key of the join, which needs two exchanges to be split
     named = materialize(cluster.cluster_label(labels, cluster.cluster_top_terms(weights, labels)), "named")
-    by_text = (
-        texts.join(labels.select("row_id", "cluster_id"), "row_id")
-        .join(named, "cluster_id")
-        .select(F.col("text").alias("cleaned"), "cluster_id", "category")
-    )
+    by_text = labels.join(named, "cluster_id").select(F.col("text").alias("cleaned"), "cluster_id", "category")
     return table.join(by_text, "cleaned").select(
         "row_id",
         F.col("line").alias("original_log"),

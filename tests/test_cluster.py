@@ -33,8 +33,9 @@ def sized(roots, size):
     return {i: r if count[r] >= size else -1 for i, r in enumerate(roots)}
 
 
-@pytest.mark.parametrize("partitions", [1, 5])
-def test_components(spark, partitions):
+@pytest.mark.parametrize("partitions, piece", [(1, 1 << 20), (5, 40)])
+def test_components(spark, monkeypatch, partitions, piece):
+    monkeypatch.setattr(components, "PIECE", piece)
     rng = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, size=(220, 2))] + [(i, i + 1) for i in range(300, 360)]
     df = spark.createDataFrame(pairs, "a long, b long").repartition(partitions)
@@ -78,6 +79,28 @@ def test_lines_against_all_pairs(spark, monkeypatch, eps, tile):
     assert labels(cluster.density_clusters_lines(rows, eps)) == sized(union(len(texts), pairs), 5)
 
 
+def test_tiles_hold_only_rests_long_enough(spark):
+    """Rests shorter than the cosine are in no list, and blocks of short ones never meet."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i:02d}" for i in range(40)]
+    texts = [" ".join(rng.choice(words, size=rng.integers(2, 9), replace=False)) for _ in range(900)]
+    vectors = textfeat.tfidf_vectors(spark.createDataFrame(list(enumerate(texts)), "row_id long, text string"))
+    points = vectors.select(F.col("row_id").alias("point"), "terms")
+    least = 0.755
+    rows = cluster.line_tiles(points, least, tile_rows=20).collect()
+    assert all(r["norm"] >= least and abs(sum(w * w for w in r["weights"]) - r["norm"] ** 2) < 1e-9 for r in rows)
+    tiles = {}
+    for r in rows:
+        tiles.setdefault((r["key"], r["lo"], r["hi"]), []).append(r["norm"])
+    assert all(max(norms) ** 2 >= least for norms in tiles.values())
+    shared = {}
+    for r in points.collect():
+        for t in r["terms"]:
+            shared[t["term"]] = shared.get(t["term"], 0) + 1
+    every = sum(n * n for n in shared.values())  # all lists of all terms
+    assert sum(len(n) ** 2 for n in tiles.values()) < 0.7 * every
+
+
 def test_lines_that_share_most_words(spark):
     common = " ".join(f"common{i}" for i in range(16))
     texts = [f"{common} one{k} two{k}" for k in range(2) for _ in range(3)]
