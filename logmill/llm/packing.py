@@ -18,8 +18,8 @@ place: entries of the plan cover ranges of numbers of a length. Only the counts
 and the plan (some entries a length) pass through the driver.
 
 Tokens: a text is split at blanks, line ends and tabs, which no token crosses, and each
-chunk is encoded once a task (a bounded cache, long chunks outside it), as the tokenizer
-itself would.
+chunk is encoded once a task (a bounded cache, long chunks outside it) by the tokenizer
+itself; a closing mark after letters is a word of its own, so it is encoded by itself.
 
 Edge cases: null text is empty and still has its end id; null or repeated ids are rows of
 their own; other columns are ignored; an empty table gives no rows.
@@ -44,31 +44,82 @@ from logmill.session import materialize
 
 MOST = 4096
 END = 1
-CACHED = 1 << 18  # chunks that a task remembers
+CACHED = 1 << 19  # chunks that a task remembers
 LONG = 64  # characters of a chunk that is not remembered
+TEXTS = 256  # whose new chunks are encoded together
+TOGETHER = 2048  # new words that are encoded at once
+MARKS = ".,;:!?"
+WORD_END = "</w>"
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
-class Encoder(dict):
-    """Ids of chunks without blanks, as little-endian unsigned 32-bit integers."""
+class Encoder:
+    """Ids of texts as little-endian unsigned 32-bit integers, with the chunks seen so far.
+
+    New chunks of letters, in small ASCII letters and without a closing mark, are encoded
+    many at once, a blank between them; as each is one word to the tokenizer, its ids end
+    with an id that ends a word. Where the numbers don't agree (letters that the tokenizer
+    takes apart), the list is halved. Other chunks are encoded one by one.
+    """
 
     def __init__(self, data: str) -> None:
-        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_str(data)
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= LONG:
-            if len(self) >= CACHED:
-                self.clear()
-                self[""] = b""
-            self[chunk] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        for blank in "\n\t\r":
-            text = text.replace(blank, " ")
-        return b"".join(map(self.__getitem__, text.split(" ")))
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _ids(self, text: str) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.array(found.ids, "<u4")
+
+    def _learn_words(self, words: list[str]) -> None:
+        ids = self._ids(" ".join(words))
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(words) == 1:
+            self.known[words[0]] = ids.tobytes()
+        elif len(cuts) == len(words) and cuts[-1] == len(ids):
+            flat, places = ids.tobytes(), (4 * cuts).tolist()
+            self.known.update(zip(words, [flat[a:b] for a, b in zip([0, *places], places, strict=False)], strict=True))
+        else:
+            half = len(words) // 2
+            self._learn_words(words[:half])
+            self._learn_words(words[half:])
+
+    def _learn(self, chunks: set[str]) -> None:
+        parts, words = {}, set()
+        for chunk in chunks:
+            core, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in MARKS else (chunk, "")
+            if not core.isalpha():
+                core, mark = chunk, ""
+            elif core.isascii():
+                core = core.lower()
+            parts[chunk] = core, mark
+            words.update((core, mark))
+        new = [w for w in words if w not in self.known]
+        letters = [w for w in new if w.isalpha()]
+        for start in range(0, len(letters), TOGETHER):
+            self._learn_words(letters[start : start + TOGETHER])
+        for word in new:
+            if not word.isalpha():
+                self.known[word] = self._ids(word).tobytes()
+        for chunk, (core, mark) in parts.items():
+            self.known[chunk] = self.known[core] + self.known[mark]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = []
+        for text in texts:
+            for blank in "\n\t\r":
+                text = text.replace(blank, " ")
+            split.append(text.split(" "))
+        if len(self.known) > CACHED:
+            self.known = {"": b""}
+        known = self.known
+        self._learn({c for chunks in split for c in chunks if c not in known})
+        found = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        for chunk in [c for chunks in split for c in chunks if len(c) > LONG]:
+            known.pop(chunk, None)
+        return found
 
 
 def _pieces(data: str, most: int, end: int, ids: bool):
@@ -79,8 +130,10 @@ def _pieces(data: str, most: int, end: int, ids: bool):
         encoder, seen, part = Encoder(data), Counter(), TaskContext.get().partitionId()
         for batch in batches:
             own, rows = [], []
-            for place, text in enumerate(batch.column("text").to_pylist()):
-                found = encoder.encode(text or "") + closing
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            encoded = (e for k in range(0, len(texts), TEXTS) for e in encoder.encode(texts[k : k + TEXTS]))
+            for place, found in enumerate(encoded):
+                found += closing
                 for piece, start in enumerate(range(0, len(found) // 4, most)):
                     some = found[4 * start : 4 * (start + most)]
                     length = len(some) // 4

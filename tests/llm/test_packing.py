@@ -29,9 +29,11 @@ def test_ids_against_whole_texts():
     with open(word_tokenizer_path(), encoding="utf-8") as file:
         encoder = packing.Encoder(file.read())
     rng = random.Random(7)
-    alphabet = "ab'ts .<|endoftext|>\n\t́Éß漢1\x85 "
-    for text in [*TEXTS, *("".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(400))]:
-        assert [*np.frombuffer(encoder.encode(text), "<u4").tolist(), 1] == plain_ids(text)
+    alphabet = "ab'tsAÉ .<|endoftext|>\n\t\u0301Éß漢1\x85,!? "
+    texts = [*TEXTS, *("".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(600))]
+    texts += ["İ क़ ok. ΣΑΣ, ΟΔΟΣ. The THE the. x.! a.\u0301 ½. ²a, ǅ", "İ"] * 2
+    for found in (encoder.encode(texts), encoder.encode(texts), [encoder.encode([t])[0] for t in texts]):
+        assert [[*np.frombuffer(f, "<u4").tolist(), 1] for f in found] == [plain_ids(t) for t in texts]
 
 
 def fullest_by_hand(lengths, most):
