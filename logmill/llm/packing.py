@@ -18,8 +18,7 @@ place: entries of the plan cover ranges of numbers of a length. Only the counts
 and the plan (some entries a length) pass through the driver.
 
 Tokens: a text is split at blanks, line ends and tabs, which no token crosses, and each
-chunk is encoded once a task (a bounded cache, long chunks outside it) by the tokenizer
-itself; a closing mark after letters is a word of its own, so it is encoded by itself.
+chunk is encoded once a task (a bounded cache, long chunks outside it) by the tokenizer.
 
 Edge cases: null text is empty and still has its end id; null or repeated ids are rows of
 their own; other columns are ignored; an empty table gives no rows.
@@ -27,6 +26,7 @@ their own; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from logmill.llm.packs import tidy
 from logmill.session import materialize
@@ -47,64 +48,50 @@ END = 1
 CACHED = 1 << 19  # chunks that a task remembers
 LONG = 64  # characters of a chunk that is not remembered
 TEXTS = 256  # whose new chunks are encoded together
-TOGETHER = 2048  # new words that are encoded at once
 MARKS = ".,;:!?"
-WORD_END = "</w>"
+LATIN = re.compile("[a-zß-öø-ÿ]+")
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
+def byte_signs() -> dict[int, str]:
+    """The sign that the tokenizer's byte level writes for each byte, from what it writes for letters."""
+    level, signs = ByteLevel(add_prefix_space=False, use_regex=False), {}
+    for code in (*range(0x21, 0x800), *range(0x800, 0x110000, 0x1000)):
+        if not 0xD800 <= code < 0xE000:
+            signs.update(zip(chr(code).encode(), level.pre_tokenize_str(chr(code))[0][0], strict=True))
+    return signs
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, with the chunks seen so far.
 
-    New chunks of letters, in small ASCII letters and without a closing mark, are encoded
-    many at once, a blank between them; as each is one word to the tokenizer, its ids end
-    with an id that ends a word. Where the numbers don't agree (letters that the tokenizer
-    takes apart), the list is halved. Other chunks are encoded one by one.
+    A chunk of Latin letters is one word to the tokenizer, in small letters, and a closing
+    mark after it another: the word goes to the tokenizer's model as it is. All other
+    chunks go through the whole tokenizer.
     """
 
     def __init__(self, data: str) -> None:
         self.tokenizer = Tokenizer.from_str(data)
-        names = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(names.values()) + 1, bool)
-        self.ends[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
+        self.model, self.signs = self.tokenizer.model, byte_signs()
         self.known: dict[str, bytes] = {"": b""}
 
-    def _ids(self, text: str) -> np.ndarray:
-        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
-        return np.array(found.ids, "<u4")
-
-    def _learn_words(self, words: list[str]) -> None:
-        ids = self._ids(" ".join(words))
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(words) == 1:
-            self.known[words[0]] = ids.tobytes()
-        elif len(cuts) == len(words) and cuts[-1] == len(ids):
-            flat, places = ids.tobytes(), (4 * cuts).tolist()
-            self.known.update(zip(words, [flat[a:b] for a, b in zip([0, *places], places, strict=False)], strict=True))
+    def _learn(self, chunk: str) -> bytes:
+        found = self.known.get(chunk)
+        if found is not None:
+            return found
+        if chunk[-1] in MARKS and len(chunk) > 1 and LATIN.fullmatch(chunk[:-1].lower()):
+            found = self._learn(chunk[:-1]) + self._learn(chunk[-1])
+        elif LATIN.fullmatch(word := chunk.lower()):
+            if word != chunk:
+                found = self._learn(word)
+            else:
+                word = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
+                found = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
         else:
-            half = len(words) // 2
-            self._learn_words(words[:half])
-            self._learn_words(words[half:])
-
-    def _learn(self, chunks: set[str]) -> None:
-        parts, words = {}, set()
-        for chunk in chunks:
-            core, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in MARKS else (chunk, "")
-            if not core.isalpha():
-                core, mark = chunk, ""
-            elif core.isascii():
-                core = core.lower()
-            parts[chunk] = core, mark
-            words.update((core, mark))
-        new = [w for w in words if w not in self.known]
-        letters = [w for w in new if w.isalpha()]
-        for start in range(0, len(letters), TOGETHER):
-            self._learn_words(letters[start : start + TOGETHER])
-        for word in new:
-            if not word.isalpha():
-                self.known[word] = self._ids(word).tobytes()
-        for chunk, (core, mark) in parts.items():
-            self.known[chunk] = self.known[core] + self.known[mark]
+            ids = self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids
+            found = np.array(ids, "<u4").tobytes()
+        self.known[chunk] = found
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = []
@@ -114,11 +101,13 @@ class Encoder:
             split.append(text.split(" "))
         if len(self.known) > CACHED:
             self.known = {"": b""}
-        known = self.known
-        self._learn({c for chunks in split for c in chunks if c not in known})
-        found = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-        for chunk in [c for chunks in split for c in chunks if len(c) > LONG]:
-            known.pop(chunk, None)
+        new = set().union(*split).difference(self.known)
+        for chunk in new:
+            self._learn(chunk)
+        found = [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+        for chunk in new:
+            if len(chunk) > LONG:
+                del self.known[chunk]
         return found
 
 
