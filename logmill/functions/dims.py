@@ -192,5 +192,7 @@ MAX_TERMS = 500
 TOP_KEYWORDS = 30
 CHUNK_CHARS = 1000
 CHUNK_STEP = 900
+HEAD_CHARS = 200
+LISTING_ROWS = 100
 SAMPLE_CHARS = 50_000
 TABLE_ROWS = 1000

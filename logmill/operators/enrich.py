@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logmill.functions import dims
 from logmill.functions.expr import head
-from logmill.operators.metadata import first_per_key, insert_if_absent
+from logmill.operators.metadata import first_per_key, first_rows, insert_if_absent
 
 RESOLUTION = ["severity", "summary", "solution", "reference_url"]
 
@@ -190,18 +190,15 @@ def unified_events(resolved_events: DataFrame, resolved_vulns: DataFrame) -> Dat
 
 
 def list_events(
-    events: DataFrame, file_id: str | None = None, entry_type: str | None = None, limit: int = 100
+    events: DataFrame, file_id: str | None = None, entry_type: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Newest first, with Priority = severity. A distributed top-k."""
+    """Newest first, with Priority = severity: all, or the first ``limit``."""
     if file_id is not None:
         events = events.where(F.col("file_id") == file_id)
     if entry_type is not None:
         events = events.where(F.col("entry_type") == entry_type)
-    return (
-        events.withColumn("priority", F.coalesce("severity", F.lit("Medium")))
-        .orderBy(F.col("created_on").desc(), "file_id", "line_no", "category_no")
-        .limit(limit)
-    )
+    marked = events.withColumn("priority", F.coalesce("severity", F.lit("Medium")))
+    return first_rows(marked.orderBy(F.col("created_on").desc(), "file_id", "line_no", "category_no"), limit)
 
 
 def list_vulns(
@@ -209,13 +206,13 @@ def list_vulns(
     file_id: str | None = None,
     vuln_type: str | None = None,
     severity: str | None = None,
-    limit: int = 100,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Newest analysis first."""
+    """Newest analysis first: all, or the first ``limit``."""
     for name, value in (("file_id", file_id), ("vuln_type", vuln_type), ("severity", severity)):
         if value is not None:
             vulns = vulns.where(F.col(name) == value)
-    return vulns.orderBy(F.col("analyzed_on").desc(), "file_id", "line_no", "category_no").limit(limit)
+    return first_rows(vulns.orderBy(F.col("analyzed_on").desc(), "file_id", "line_no", "category_no"), limit)
 
 
 def resolution_requests(events: DataFrame, cache: DataFrame) -> DataFrame:

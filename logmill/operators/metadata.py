@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,17 +107,20 @@ def update_by_name(master: DataFrame, updates: DataFrame) -> DataFrame:
     return out.withColumns(changed).select(*master.columns)
 
 
+def first_rows(ordered: DataFrame, limit: int | None) -> DataFrame:
+    return ordered if limit is None else ordered.limit(limit)
+
+
 def list_files(
-    master: DataFrame, file_id: str | None = None, status: str | None = None, limit: int = 100
+    master: DataFrame, file_id: str | None = None, status: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """M4: newest first, five columns. A distributed top-k."""
+    """M4: newest first, five columns: all files, or the first ``limit`` (a distributed top-k)."""
     if file_id is not None:
         master = master.where(F.col("file_id") == file_id)
     if status is not None:
         master = master.where(F.col("status") == status)
     return (
-        master.orderBy(F.col("created_on").desc(), "file_id")
-        .limit(limit)
+        first_rows(master.orderBy(F.col("created_on").desc(), "file_id"), limit)
         .select("file_id", "original_filename", "category", "status", "created_on")
     )
 
@@ -179,6 +184,32 @@ def resolve_paths(master: DataFrame) -> DataFrame:
     return ends.join(target, "end_id").select("original_filename", "end_id", "path")
 
 
+def follow_names(master: DataFrame, starts: DataFrame) -> DataFrame:
+    """M5 from given rows, ``starts(name, id)``: (name, end_id).
+
+    A frontier search: each round joins only the rows reached so far with the names on
+    record, and a chain that ends leaves the frontier. Ids grow along a chain, so no row
+    is reached twice. One round for each rename; ``chain_ends`` is the form for all rows.
+    """
+    rows = master.select("id", "stored_filename", "original_filename")
+    named = (F.col("stored_filename") != "N/A") & (F.col("stored_filename") != F.col("original_filename"))
+    later = rows.select(F.col("original_filename").alias("stored_filename"), F.col("id").alias("next_id"))
+    write = round_tables(master.sparkSession, "frontier")
+    frontier, ends = write(starts.select("name", "id")), []
+    while True:
+        onward = (
+            frontier.join(rows.where(named), "id")
+            .join(later, "stored_filename")
+            .where(F.col("next_id") > F.col("id"))
+            .groupBy("name").agg(F.max("next_id").alias("next_id"))
+        )
+        reached = materialize(frontier.join(onward, "name", "left"), "reached")
+        ends.append(reached.where("next_id IS NULL").select("name", F.col("id").alias("end_id")))
+        frontier = write(reached.where("next_id IS NOT NULL").select("name", F.col("next_id").alias("id")))
+        if frontier.isEmpty():
+            return reduce(DataFrame.unionByName, ends)
+
+
 def resolve_path(master: DataFrame, name: str) -> DataFrame:
     """M5 for one name: exact match, else the newest name that contains it."""
     low = F.lower(F.col("original_filename"))
@@ -189,7 +220,7 @@ def resolve_path(master: DataFrame, name: str) -> DataFrame:
         .where(F.col("m").isNotNull())
         .select(F.lit(name).alias("name"), F.col("m.id").alias("id"))
     )
-    ends = start.join(chain_ends(master), "id").select("name", "end_id")
+    ends = follow_names(master, start)
     return ends.join(_path(master).select(F.col("id").alias("end_id"), "path"), "end_id").select(
         "name", "end_id", "path"
     )

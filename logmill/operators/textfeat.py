@@ -14,7 +14,7 @@ from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from logmill.functions import dims
-from logmill.functions.expr import best_of, clean_line, hits, strip, tokens, with_bigrams
+from logmill.functions.expr import best_of, clean_line, head, hits, strip, tokens, with_bigrams
 
 ENGLISH = dims.ENGLISH_STOP_WORDS
 LINE_STOPS = dims.ENGLISH_STOP_WORDS + dims.LINE_STOP_WORDS
@@ -42,20 +42,17 @@ def table_line_table(
     return kept.select("file_id", "line_no", "line")
 
 
-def _ranked_terms(grams: DataFrame, k: int) -> DataFrame:
-    """Counts of (doc_id, fallback, term), the ``k`` most frequent of each document.
+def _ranked_terms(grams: DataFrame, k: int | None) -> DataFrame:
+    """Counts of (doc_id, fallback, term), of each document all or the ``k`` most frequent.
 
     Counts are partially summed per task, and the rank limit is applied before
     the per-document shuffle, so one huge document stays bounded.
     """
+    counts = grams.groupBy("doc_id", "fallback", "term").agg(F.count("*").alias("n"))
+    if k is None:
+        return counts
     order = Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "term")
-    return (
-        grams.groupBy("doc_id", "fallback", "term")
-        .agg(F.count("*").alias("n"))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .drop("rank")
-    )
+    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
 
 def term_counts(
@@ -148,10 +145,11 @@ def tfidf(
     return vectors.select("row_id", F.explode("terms").alias("t")).select("row_id", "t.*")
 
 
-def keyword_candidates(docs: DataFrame) -> DataFrame:
-    """T5: T3 without the summary stop words, as (doc_id, term, n, fallback).
+def keyword_candidates(docs: DataFrame, k: int | None = None, chars: int | None = None) -> DataFrame:
+    """T5: T3 without the summary stop words, as (doc_id, term, n, fallback): all terms, or
+    those among the ``k`` most frequent of a document.
 
-    A document without any candidate gives its first 200 characters instead.
+    A document without any candidate gives its text, or the first ``chars`` characters, instead.
     No candidate is left exactly when it has no pair of words and its only word,
     if any, is a stop word, which one look at the row decides.
     """
@@ -163,7 +161,7 @@ def keyword_candidates(docs: DataFrame) -> DataFrame:
         docs.where(strip(F.col("text")) != "")
         .select(
             "doc_id",
-            text_head(F.col("text"), 200).alias("_head"),
+            text_head(F.col("text"), chars).alias("_head"),
             tokens(F.col("text"), ENGLISH).alias("_words"),
         )
         .withColumn("fallback", none)
@@ -176,14 +174,14 @@ def keyword_candidates(docs: DataFrame) -> DataFrame:
         )
     )
     return (
-        _ranked_terms(grams, dims.MAX_TERMS)
+        _ranked_terms(grams, k)
         .where(F.col("fallback") | ~F.col("term").isin(dims.SUMMARY_STOP_WORDS))
         .select("doc_id", "term", F.when(F.col("fallback"), 0).otherwise(F.col("n")).alias("n"), "fallback")
     )
 
 
-def text_head(text: Column, chars: int) -> Column:
-    return F.replace(F.substring(text, 1, chars), F.lit("\n"), F.lit(" "))
+def text_head(text: Column, chars: int | None) -> Column:
+    return F.replace(head(text, chars), F.lit("\n"), F.lit(" "))
 
 
 def _pick(doc: np.ndarray, cand: np.ndarray, top_n: int, diversity: float) -> list[int]:
@@ -247,9 +245,12 @@ def mmr_keywords(
     )
 
 
-def doc_sample(docs: DataFrame, chars: int = dims.SAMPLE_CHARS) -> DataFrame:
-    """The part of a text that a vector model is given."""
+def doc_sample(docs: DataFrame, chars: int | None = None) -> DataFrame:
+    """The part of a text that a vector model is given: all of it, or its first and
+    last ``chars`` characters."""
     text = F.col("text")
+    if chars is None:
+        return docs.withColumn("sample", text)
     return docs.withColumn(
         "sample",
         F.when(
@@ -278,10 +279,11 @@ def top_weighted_terms(weights: DataFrame, k: int = dims.TOP_KEYWORDS) -> DataFr
     )
 
 
-def file_summary(docs: DataFrame, keywords: DataFrame) -> DataFrame:
+def file_summary(docs: DataFrame, keywords: DataFrame, chars: int | None = None) -> DataFrame:
     """T8: "Total Entries: N. Keywords: a, b, ..." from ranked keywords
     (doc_id, rank, term); at most 30 per document are gathered. A document
-    without keywords keeps its first 200 characters, a blank one is left out."""
+    without keywords keeps its text, or the first ``chars`` characters; a blank one is
+    left out."""
     joined = keywords.groupBy("doc_id").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda t: t["term"]),
@@ -292,7 +294,7 @@ def file_summary(docs: DataFrame, keywords: DataFrame) -> DataFrame:
     short = docs.where(strip(F.col("text")) != "").select(
         "doc_id",
         entry_count(F.col("text")).alias("entries"),
-        text_head(F.col("text"), 200).alias("head"),
+        text_head(F.col("text"), chars).alias("head"),
     )
     line = F.concat(
         F.lit("Total Entries: "), F.col("entries"), F.lit(". Keywords: "), F.col("keywords")

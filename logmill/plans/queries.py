@@ -288,7 +288,7 @@ def update_by_name(spark, sf_dir):
 
 @query
 def list_files(spark, sf_dir):
-    return metadata.list_files(inputs.file_master(spark, sf_dir), status="Processed")
+    return metadata.list_files(inputs.file_master(spark, sf_dir), status="Processed", limit=dims.LISTING_ROWS)
 
 
 @query
@@ -561,7 +561,7 @@ def unified_events(spark, sf_dir):
 @query
 def list_events(spark, sf_dir):
     events = enrich.unified_events(*_resolved(spark, sf_dir)).withColumn("created_on", F.col("logged_on"))
-    return enrich.list_events(events, entry_type="ERROR").select(
+    return enrich.list_events(events, entry_type="ERROR", limit=dims.LISTING_ROWS).select(
         "file_id", "line_no", "entry_type", "priority", "message", "created_on"
     )
 
@@ -570,7 +570,7 @@ def list_events(spark, sf_dir):
 def list_vulns(spark, sf_dir):
     _, vulns = _resolved(spark, sf_dir)
     return enrich.list_vulns(
-        vulns.withColumn("analyzed_on", F.col("logged_on")), severity="High"
+        vulns.withColumn("analyzed_on", F.col("logged_on")), severity="High", limit=dims.LISTING_ROWS
     ).select("file_id", "line_no", "vuln_type", "severity", "solution", "analyzed_on")
 
 
@@ -625,13 +625,13 @@ def tfidf(spark, sf_dir):
 
 @query
 def keyword_candidates(spark, sf_dir):
-    return textfeat.keyword_candidates(_docs(spark, sf_dir))
+    return textfeat.keyword_candidates(_docs(spark, sf_dir), dims.MAX_TERMS, dims.HEAD_CHARS)
 
 
 @query
 def mmr_keywords(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    candidates = textfeat.keyword_candidates(docs).where(~F.col("fallback"))
+    candidates = textfeat.keyword_candidates(docs, dims.MAX_TERMS).where(~F.col("fallback"))
     return textfeat.mmr_keywords(
         retrieval.embed_column(candidates, "term"), retrieval.embed_column(docs, "text")
     )
@@ -647,7 +647,7 @@ def doc_sample(spark, sf_dir):
 
 @query
 def file_summary(spark, sf_dir):
-    return runs.summaries_by_weight(_docs(spark, sf_dir))
+    return runs.summaries_by_weight(_docs(spark, sf_dir), dims.HEAD_CHARS)
 
 
 @query
@@ -722,7 +722,7 @@ def large_run(spark, sf_dir):
     docs = files.select(
         F.substring_index("file_id", "-", -1).cast("long").alias("doc_id"), "name", "text"
     )
-    return runs.large_run(docs)
+    return runs.large_run(docs, chars=dims.HEAD_CHARS)
 
 
 @query

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logmill.functions import dims
 from logmill.functions.expr import clean_line
 from logmill.operators import classify, cluster, enrich, metadata, parse, retrieval, textfeat
 from logmill.session import materialize
@@ -43,31 +44,36 @@ def ingest(files: DataFrame, table_columns: DataFrame | None = None) -> DataFram
     return classify.route_files(classify.final_file_type(files, table_columns))
 
 
-def summaries_by_weight(docs: DataFrame) -> DataFrame:
-    """Summaries from the heaviest terms (no vector model)."""
+def summaries_by_weight(docs: DataFrame, chars: int | None = None) -> DataFrame:
+    """Summaries from the heaviest terms (no vector model); ``chars`` as in T8."""
     weights = textfeat.tfidf(
         docs.select(F.col("doc_id").alias("row_id"), "text"), stop_words=textfeat.ENGLISH
     ).withColumnRenamed("row_id", "doc_id")
-    return textfeat.file_summary(docs, textfeat.top_weighted_terms(weights))
+    return textfeat.file_summary(docs, textfeat.top_weighted_terms(weights), chars)
 
 
-def summaries_by_vectors(docs: DataFrame, dim: int = 64, model=None) -> DataFrame:
-    """Summaries from relevant and diverse keywords (vectors of texts and terms)."""
-    candidates = textfeat.keyword_candidates(docs).where(~F.col("fallback"))
-    sampled = textfeat.doc_sample(docs).select("doc_id", F.col("sample").alias("text"))
+def summaries_by_vectors(
+    docs: DataFrame, dim: int = 64, model=None, sample: int | None = None, k: int = dims.MAX_TERMS, chars: int | None = None
+) -> DataFrame:
+    """Summaries from relevant and diverse keywords (vectors of texts and terms). The choice
+    is made among the ``k`` most frequent terms of a document; ``sample`` and ``chars`` as in T7, T8."""
+    candidates = textfeat.keyword_candidates(docs, k).where(~F.col("fallback"))
+    sampled = textfeat.doc_sample(docs, sample).select("doc_id", F.col("sample").alias("text"))
     picked = textfeat.mmr_keywords(
         retrieval.embed_column(candidates, "term", dim, model),
         retrieval.embed_column(sampled, "text", dim, model),
     )
-    return textfeat.file_summary(docs, picked)
+    return textfeat.file_summary(docs, picked, chars)
 
 
-def large_run(docs: DataFrame, eps: float = 0.8, dim: int = 64, model=None) -> DataFrame:
+def large_run(
+    docs: DataFrame, eps: float = 0.8, dim: int = 64, model=None, chars: int | None = None
+) -> DataFrame:
     """Files to (file_name, summary, cluster_id, category, final_path).
 
     ``docs(doc_id, name, text)`` with numeric ids.
     """
-    summaries = materialize(summaries_by_weight(docs.select("doc_id", "text")), "summaries")
+    summaries = materialize(summaries_by_weight(docs.select("doc_id", "text"), chars), "summaries")
     vectors = retrieval.embed_column(summaries, "summary", dim, model).select(
         F.col("doc_id").alias("row_id"), "embedding"
     )

@@ -110,3 +110,41 @@ def test_ids_and_names(spark):
 def test_recent(spark):
     df = spark.createDataFrame([("f", i, f"2024-01-{i:02d}") for i in range(1, 9)], "file_id string, line_no int, created_on string")
     assert [r["line_no"] for r in metadata.recent_rows(df).collect()] == [8, 7, 6, 5, 4]
+
+
+def test_following_names_reaches_the_ends_of_all_chains(spark):
+    """The frontier search agrees with the doubling over all rows; only rows reached are joined."""
+    rows = [(i, f"n{i}", f"n{i + 1}") for i in range(1, 9)]  # one chain
+    rows += [(20, "a", "b"), (21, "b", "a"), (22, "a", "c"), (23, "b", "c"), (24, "c", "N/A"), (25, "d", "d"), (26, "e", "gone")]
+    master = spark.createDataFrame(rows, "id long, original_filename string, stored_filename string")
+    ends = {r["id"]: r["end_id"] for r in metadata.chain_ends(master).collect()}
+    starts = master.select(F.col("id").cast("string").alias("name"), "id")
+    found = {int(r["name"]): r["end_id"] for r in metadata.follow_names(master, starts).collect()}
+    assert found == ends and found[1] == 8 and found[21] == 24
+    sizes = []
+    written = metadata.round_tables
+
+    def counted(session, name):
+        write = written(session, name)
+
+        def note(df):
+            out = write(df)
+            sizes.append(out.count())
+            return out
+
+        return note
+
+    metadata.round_tables = counted
+    try:
+        one = metadata.follow_names(master, starts.where("id = 1")).collect()
+    finally:
+        metadata.round_tables = written
+    assert [(r["name"], r["end_id"]) for r in one] == [("1", 8)]
+    assert sizes == [1] * 8 + [0]
+    assert metadata.follow_names(master, starts.limit(0)).count() == 0
+
+
+def test_listings_without_a_limit(spark):
+    rows = [(f"f{i}", "o", "c", "Processed", i) for i in range(150)]
+    master = spark.createDataFrame(rows, "file_id string, original_filename string, category string, status string, created_on int")
+    assert metadata.list_files(master).count() == 150 and metadata.list_files(master, limit=7).count() == 7

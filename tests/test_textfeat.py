@@ -141,3 +141,13 @@ def test_hashed_vectors(spark):
     rows = [r["embedding"] for r in df.orderBy("doc_id").collect()]
     assert rows[0] == rows[1] and len(rows[0]) == 32
     assert abs(np.linalg.norm(rows[0]) - 1) < 1e-6 and np.linalg.norm(rows[3]) == 0
+
+
+def test_nothing_is_cut_unless_asked(spark):
+    many = " ".join(f"word{i}" for i in range(700))
+    rows = textfeat.keyword_candidates(docs(spark, many))
+    assert rows.count() == 1399
+    assert textfeat.keyword_candidates(docs(spark, many), 500).count() == 500
+    assert textfeat.doc_sample(docs(spark, "y" * 250_000)).first()["sample"] == "y" * 250_000
+    short = textfeat.file_summary(docs(spark, "z" * 300), spark.createDataFrame([], "doc_id long, rank int, term string"), 200)
+    assert len(short.first()["summary"]) == 200
