@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of that very name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def unused_name(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` doesn't have, in any case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -33,7 +33,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from logmill.llm.common import column, unused_name
 from logmill.llm.packs import tidy
 from logmill.session import materialize
 
@@ -115,36 +117,40 @@ def drop_lines(text: str, firsts: list[int], lasts: list[int]) -> tuple[str, lis
     return "\n".join(line for line, g in zip(lines, gone, strict=True) if not g), runs
 
 
+RUNS = ArrayType(StructType([StructField("first", IntegerType()), StructField("last", IntegerType())]))
+
+
 def delete_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with ``text`` less its repeated passages; the columns stay as they are,
-    and ``deleted_runs`` (first and last line, from 0) is added."""
+    whatever their names, and ``deleted_runs`` (first and last line, from 0) is added, as
+    the last one (with ``_`` at its end where that name is taken)."""
     spans = (
         repeated_windows(docs, least_words)
         .distinct()
-        .groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-        .agg(F.collect_list("first").alias("__first"), F.collect_list("last").alias("__last"))
+        .groupBy("doc_id", "text_hash")
+        .agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
     )
     spans = materialize(spans, "line-spans")
-    hashed = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = hashed.join(
-        spans, (F.col("__own") == F.col("__hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left"
+    rows = docs.select(
+        F.struct(*map(column, docs.columns)).alias("row"),
+        F.col("doc_id").cast("long").alias("id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"),
     )
-    names = docs.columns
+    same = (F.col("own") == F.col("text_hash")) & F.col("id").eqNullSafe(F.col("doc_id"))
+    names, runs_name = docs.columns, unused_name(docs, "deleted_runs")
+    at = names.index("text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, runs = [], []
-            for text, first, last in zip(
-                *(batch.column(c).to_pylist() for c in ("text", "__first", "__last")), strict=True
-            ):
+            columns = batch.column("row").flatten()
+            for text, first, last in zip(columns[at].to_pylist(), *(batch.column(c).to_pylist() for c in ("firsts", "lasts")), strict=True):
                 text, run = drop_lines(text, first, last) if first else (text, [])
                 texts.append(text)
                 runs.append([{"first": a, "last": b} for a, b in run])
             kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(runs, kind)], [*names, "deleted_runs"])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(runs, kind)], [*names, runs_name])
 
-    result = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.drop("__own", "__hash", "__id").mapInArrow(
-        tidy(clean), f"{result}, deleted_runs array<struct<first:int,last:int>>"
-    )
+    schema = StructType([*docs.schema.fields, StructField(runs_name, RUNS)])
+    return rows.join(spans, same, "left").select("row", "firsts", "lasts").mapInArrow(tidy(clean), schema)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logmill.llm.common import unused_name
+from logmill.llm.common import column, unused_name
 from logmill.operators.components import connected_components
 from logmill.session import materialize
 
@@ -204,7 +204,7 @@ def keep_one_of_each(docs: DataFrame, words: int = 3, crowd: int = CROWD) -> Dat
     """
     row = unused_name(docs, "row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    named = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(f"`{row}`").alias("row"))
+    named = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), column(row).alias("row"))
     found = simhash_components(numbered.select(named.alias("doc_id"), "text"), words, crowd)
     gone = materialize(found.where("doc_id != component_id").select(F.col("doc_id.row").alias(row)), "simhash-gone")
     return numbered.join(gone, row, "left_anti").drop(row)

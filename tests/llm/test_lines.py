@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from logmill.llm import lines
 from tests.llm.helpers import ODD, documents
 
@@ -70,3 +72,15 @@ def test_odd_rows(spark):
     assert out.columns == [*docs.columns, "deleted_runs"]
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(ODD, key=str)
     assert lines.delete_repeated_lines(documents(spark, [])).count() == 0
+
+
+def test_columns_of_any_name_are_kept(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    more = ["deleted_runs", "__own", "__hash", "__id", "__first", "row", "id", "own", "firsts", "text_hash", "a`b", "c.d"]
+    docs = documents(spark, [(1, passage), (2, f"{passage}\nmore"), (3, None)])
+    docs = docs.select("*", *[F.lit(f"{k}").alias(name) for k, name in enumerate(more)])
+    out = lines.delete_repeated_lines(docs)
+    assert out.columns == [*docs.columns, "deleted_runs_"]
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert rows[1]["text"] == passage and rows[2]["text"] == "more" and rows[3]["text"] is None
+    assert all([r[name] for name in more] == [str(k) for k in range(len(more))] for r in rows.values())
