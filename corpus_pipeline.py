@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmill.llm import bpe, lines, mixing, simhash, toxicity
-from logmill.llm.common import rank_path, table
+from logmill.llm.common import column, rank_path, table
 from logmill.session import materialize
 
 
@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = lines.delete_repeated_lines(docs).drop("deleted_runs")
+    cleaned = lines.delete_repeated_lines(docs).select(*map(column, docs.columns))
     return cleaned.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
