@@ -18,7 +18,7 @@ place: entries of the plan cover ranges of numbers of a length. Only the counts
 and the plan (some entries a length) pass through the driver.
 
 Tokens: a text is split at blanks, line ends and tabs, which no token crosses, and each
-chunk is encoded once a task (a bounded cache, long chunks outside it) by the tokenizer.
+chunk is encoded once a worker (a bounded cache, long chunks outside it) by the tokenizer.
 
 Edge cases: null text is empty and still has its end id; null or repeated ids are rows of
 their own; other columns are ignored; an empty table gives no rows.
@@ -30,6 +30,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ from logmill.session import materialize
 
 MOST = 4096
 END = 1
-CACHED = 1 << 19  # chunks that a task remembers
+CACHED = 1 << 19  # chunks that a worker remembers
 LONG = 64  # characters of a chunk that is not remembered
 TEXTS = 256  # whose new chunks are encoded together
 MARKS = ".,;:!?"
@@ -88,7 +89,7 @@ class Encoder:
                 word = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
                 found = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
         else:
-            ids = self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
             found = np.array(ids, "<u4").tobytes()
         self.known[chunk] = found
         return found
@@ -111,12 +112,18 @@ class Encoder:
         return found
 
 
+@lru_cache(maxsize=1)
+def encoder_of(data: str) -> Encoder:
+    """One for a worker, whose tasks share its memory of chunks."""
+    return Encoder(data)
+
+
 def _pieces(data: str, most: int, end: int, ids: bool):
     """Pieces of documents, numbered by length within the task."""
     closing = np.array([end], "<u4").tobytes()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen, part = Encoder(data), Counter(), TaskContext.get().partitionId()
+        encoder, seen, part = encoder_of(data), Counter(), TaskContext.get().partitionId()
         for batch in batches:
             own, rows = [], []
             texts = [t or "" for t in batch.column("text").to_pylist()]
