@@ -216,7 +216,8 @@ def scan_targets(api: bool) -> str:
 
 BY_SUBSTRING = " OR ".join(f"contains(path, {q(t)})" for t in dims.DOCUMENT_TYPES)
 put("scan_exclusions", FILES, scan_targets(False), select=f"SELECT file_id, {BY_SUBSTRING} AS excluded_by_substring FROM targets")
-put("walk_scan_targets", FILES, scan_targets(True), select="SELECT file_id, path FROM targets")
+put("walk_scan_targets", FILES, scan_targets(True), select="""SELECT string_split(path, '/')[-2] AS folder, sum(strlen(text) + 1)::BIGINT AS size_bytes
+  FROM files WHERE file_id IN (SELECT file_id FROM targets) GROUP BY ALL""")
 put("security_scan", FILES, scan_targets(True), lines_of("files", "file_id", "text", "fl", "file_id IN (SELECT file_id FROM targets)"),
     findings("fl"), select="SELECT file_id, type, count(*) AS n FROM findings GROUP BY ALL")
 
@@ -341,7 +342,7 @@ EXT = "lower(string_split(name, '.')[-1])"
 STATUS = f"""CASE WHEN {EXT} IN ({items(dims.STRUCTURED_EXTENSIONS)}) THEN 'structured'
   WHEN {EXT} IN ({items(dims.TEXT_EXTENSIONS)}) THEN 'text' ELSE 'unsupported' END"""
 put("ingest_status", FILES, select=f"SELECT file_id, {EXT} AS ext, {STATUS} AS status FROM files")
-put("list_landing_files", LOG, select="SELECT file_id, sum(strlen(line) + 1)::BIGINT AS size_bytes FROM log_lines GROUP BY ALL")
+put("list_landing_files", LOG, select="SELECT file_id, sum(strlen(line) + 1)::BIGINT AS size_bytes FROM log_lines GROUP BY ALL UNION ALL SELECT '_SUCCESS', 0")
 put("load_master_csv", MASTER, select="""SELECT file_id, original_filename, CASE WHEN status = 'Failed' THEN 'from the old report' ELSE summary END AS summary, status
   FROM file_master""")
 

@@ -87,16 +87,21 @@ def ingest_status(spark, sf_dir):
 
 @query
 def list_landing_files(spark, sf_dir):
+    """With the empty file that the writer leaves; a local writer's checksum files are left out."""
     listed = readers.list_landing_files(spark, _written_logs(spark, sf_dir), recursive=True)
-    return listed.select(
-        F.concat(F.regexp_extract("path", "name=([^/]+)/", 1), F.lit(".log")).alias("file_id"), "size_bytes"
-    )
+    log = F.concat(F.nullif(F.regexp_extract("path", "name=([^/]+)/", 1), F.lit("")), F.lit(".log"))
+    return listed.where(~F.col("name").startswith(".")).select(F.coalesce(log, "name").alias("file_id"), "size_bytes")
 
 
 @query
 def walk_scan_targets(spark, sf_dir):
-    files = inputs.files(spark, sf_dir, with_text=False)
-    return parse.scan_exclusions(files, api=True).select("file_id", "path")
+    """Bytes by folder of a tree as routing leaves it, read by the walk."""
+    root = scratch_path(spark, "processed")
+    files = materialize(inputs.files(spark, sf_dir).select(F.element_at(F.split("path", "/"), -2).alias("folder"), "text"), "routed")
+    for folder in inputs.FOLDERS:
+        files.where(F.col("folder") == folder).select("text").write.text(f"{root}/{folder}")
+    found = readers.walk_scan_targets(spark, root, api=True)
+    return found.groupBy(F.element_at(F.split("path", "/"), -2).alias("folder")).agg(F.sum("size_bytes").alias("size_bytes"))
 
 
 @query

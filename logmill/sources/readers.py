@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window
 
 from logmill.operators.metadata import file_uuid
 from logmill.session import materialize
+from logmill.sources.folders import FolderListing
 
 
 def base_name(path: Column) -> Column:
@@ -104,22 +107,11 @@ def read_parquet_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def list_landing_files(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
-    """The files of a folder (path, name, size_bytes, modified).
-
-    The content column is never selected, so nothing is read. Empty files have
-    nothing to process and are not listed.
-    """
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(path)
-        .select(
-            "path",
-            base_name(F.col("path")).alias("name"),
-            F.col("length").alias("size_bytes"),
-            F.col("modificationTime").alias("modified"),
-        )
-    )
+    """Every file of a folder (path, name, size_bytes, modified): empty ones and those
+    whose names begin with ``_`` or ``.`` too. Nothing is opened; see ``folders``."""
+    spark.dataSource.register(FolderListing)
+    reader = spark.read.format("folder_listing").option("recursive", str(recursive).lower())
+    return reduce(DataFrame.unionByName, [reader.load(p) for p in ([path] if isinstance(path, str) else path)])
 
 
 def walk_scan_targets(spark: SparkSession, path: str | list[str], api: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from logmill.operators import enrich, metadata, parse
 from logmill.session import materialize, scratch_path, shared_dir
-from logmill.sources import readers, sinks
+from logmill.sources import folders, readers, sinks
 from logmill.streaming import streams
 
 
@@ -52,15 +52,29 @@ def test_lines_of_texts_agree(spark, landing):
     assert lines.count() == read.count() == 6000
 
 
-def test_folder_listing_does_not_read(spark, landing):
-    (landing / "cv").mkdir()
-    (landing / "cv" / "me.txt").write_text("x")
+def test_folder_listing_names_every_file(spark, landing, monkeypatch):
+    for folder in ("cv", "deep/er/still", "deep/cv"):
+        (landing / folder).mkdir(parents=True, exist_ok=True)
+        (landing / folder / "me.txt").write_text("x")
     (landing / ".hidden").write_text("x")
-    listed = readers.list_landing_files(spark, str(landing))
-    assert sorted(r["name"] for r in listed.collect()) == ["a.log", "b.log", "c.txt"]
-    assert "content" not in listed._jdf.queryExecution().executedPlan().toString().lower().replace("_content", "")
+    (landing / "_odd name.log").write_text("xy")
+    own = [".hidden", "_odd name.log", "a.log", "b.log", "c.txt", "empty.log"]
+    listed = {r["name"]: r for r in readers.list_landing_files(spark, str(landing)).collect()}
+    assert sorted(listed) == own
+    assert (listed["empty.log"]["size_bytes"], listed["_odd name.log"]["size_bytes"]) == (0, 2)
+    assert listed["a.log"]["path"] == f"file:{landing}/a.log" and listed["a.log"]["modified"].year > 2020
+    every = readers.list_landing_files(spark, f"file://{landing}", recursive=True)
+    assert sorted(r["name"] for r in every.collect()) == sorted([*own, "me.txt", "me.txt", "me.txt"])
+    both = readers.list_landing_files(spark, [str(landing / "cv"), str(landing / "deep")], recursive=True)
+    assert both.count() == 3
     targets = readers.walk_scan_targets(spark, str(landing))
-    assert sorted(r["name"] for r in targets.collect()) == ["a.log", "b.log", "c.txt"]
+    assert sorted(r["name"] for r in targets.collect()) == ["_odd name.log", "a.log", "b.log", "c.txt", "empty.log", "me.txt"]
+    many, few = folders.FolderReader(str(landing), True), {"below": 0}
+    assert [p.below for p in many.partitions()] == [False] * 6
+    monkeypatch.setattr(folders, "FOLDERS", 3)
+    few = many.partitions()
+    assert [p.below for p in few] == [False, True, True]
+    assert sorted(r[1] for p in few for r in many.read(p)) == sorted([*own, "me.txt", "me.txt", "me.txt"])
 
 
 def test_files_of_one_name_stay_apart(spark, tmp_path):
