@@ -151,6 +151,8 @@ DEFAULT_RESOLUTION = (
 )
 SEARCH_URL = "https://google.com/search?q="
 ANSWER_DEFAULT_SOLUTION = "Review and sanitize input."
+#: Severity, summary, solution and address for an incident whose model call failed.
+FAILED_CALL_RESOLUTION = ("High", "", "Manual investigation required.", "")
 
 # --- Fixed values: stop words ----------------------------------------------------
 

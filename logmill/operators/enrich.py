@@ -105,7 +105,8 @@ def parse_resolution_json(answers: DataFrame) -> DataFrame:
 
     The text from the first ``{`` to the last ``}`` is read as JSON; a list of
     steps is joined by blanks; a CVE id goes in front; what cannot be read gets
-    the fixed resolution of its type.
+    the fixed resolution of its type. No response at all is a failed call: an
+    incident (no ``vuln_type``) then asks for a manual investigation.
     """
     body = F.regexp_extract("response", r"(?s)\{.*\}", 0)
     doc = F.try_parse_json(body)
@@ -127,9 +128,11 @@ def parse_resolution_json(answers: DataFrame) -> DataFrame:
         .alias("solution"),
         F.coalesce(text("reference_url"), fixed["reference_url"]).alias("reference_url"),
     )
+    failed = F.col("response").isNull() & F.col("vuln_type").isNull()
+    by_hand = _resolution_struct(dims.FAILED_CALL_RESOLUTION)
     return (
         answers.withColumn("doc", doc)
-        .withColumn("_r", F.when(F.col("doc").isNull(), fixed).otherwise(read))
+        .withColumn("_r", F.when(failed, by_hand).when(F.col("doc").isNull(), fixed).otherwise(read))
         .select("signature", "vuln_type", "_r.*")
     )
 

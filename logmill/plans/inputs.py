@@ -277,6 +277,17 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def request_answers(requests: DataFrame) -> DataFrame:
+    """What a model may have answered to E12's requests: to some with steps, to some
+    with nothing (the call failed), to the others not yet."""
+    n = F.length("signature")
+    response = F.concat(
+        F.lit('Sure: {"severity": "Low", "summary": "Seen before.", "solution": ["Look at it.", "Length '), _str(n),
+        F.lit('."], "reference_url": "https://example.com/seen"}'),
+    )
+    return requests.where(n % 3 != 0).select("signature", "vuln_type", F.when(n % 3 == 1, response).alias("response"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 

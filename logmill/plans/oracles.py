@@ -308,6 +308,29 @@ RES = (LOG, events("log_lines"), CACHE, RESOLVED)
 UNIFIED = """file_id, line_no, category_no, entry_type, message, severity, solution AS resolution, summary AS resolution_summary,
   reference_url, logged_on"""
 put("resolve_incidents", *RES, select="SELECT file_id, line_no, category_no, entry_type, signature, severity, summary, solution, reference_url FROM resolved")
+ANSWERED = {
+    "severity": ("'Low'", "'High'"), "summary": ("'Seen before.'", "''"), "reference_url": ("'https://example.com/seen'", "''"),
+    "solution": ("'Look at it. Length ' || length(s.signature) || '.'", "'Manual investigation required.'"),
+}
+
+
+def answered(field: str) -> str:
+    """The answer to a request of this length; a failed call about an attack gives the fixed text."""
+    given, failed = ANSWERED[field]
+    return f"""CASE length(s.signature) % 3 WHEN 1 THEN {given} WHEN 2 THEN CASE WHEN s.vuln_type IS NULL THEN {failed} ELSE {fixed(field)} END END"""
+
+
+WITH_ANSWERS = RESOLVED
+for name in ANSWERED:
+    WITH_ANSWERS = WITH_ANSWERS.replace(f"coalesce(c.{name}, CASE", f"coalesce(c.{name}, {answered(name)}, CASE")
+put("resolve_with_answers", LOG, events("log_lines"), CACHE, WITH_ANSWERS,
+    select="SELECT file_id, line_no, category_no, entry_type, signature, severity, summary, solution, reference_url FROM resolved")
+put("answers_to_cache", LOG, events("log_lines"), CACHE, f"""asked AS (SELECT {SIGNATURE} AS signature, vuln_type FROM ev
+  WHERE {SIGNATURE} NOT IN (SELECT signature FROM cache) GROUP BY ALL)""", select=f"""SELECT * FROM cache UNION ALL
+  SELECT s.signature, {answered('severity')}, {answered('summary')}, {answered('solution')}, {answered('reference_url')}
+  FROM asked s LEFT JOIN {KNOWN.replace('AS known', 'AS k')} ON s.vuln_type = k.vuln_type WHERE length(s.signature) % 3 <> 0""")
+put("events_of_file", *RES, f"""one AS (SELECT min(file_id) AS f FROM ev WHERE entry_type IN ('ERROR', 'WARNING'))""", select="""SELECT 'event' AS kind, file_id, line_no, category_no, entry_type FROM resolved, one WHERE file_id = f
+  UNION ALL SELECT 'vulnerability', file_id, line_no, category_no, entry_type FROM resolved, one WHERE file_id = f AND entry_type = 'Vulnerability'""")
 put("unified_events", *RES, select=f"SELECT {UNIFIED} FROM resolved")
 put("append_events", *RES, select="SELECT file_id, line_no, category_no, entry_type, severity, solution AS resolution, reference_url FROM resolved")
 put("append_vulns", LOG, events("log_lines"), select=f"""SELECT file_id, line_no, e.vuln_type, {fixed('severity')} AS severity, {fixed('solution')} AS solution,

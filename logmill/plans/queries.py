@@ -558,6 +558,38 @@ def resolve_incidents(spark, sf_dir):
     return events.select(*keep).unionByName(vulns.select(*keep))
 
 
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = enrich.resolution_requests(_events(spark, sf_dir), inputs.resolution_cache(spark, sf_dir))
+    return enrich.parse_resolution_json(inputs.request_answers(requests))
+
+
+@query
+def resolve_with_answers(spark, sf_dir):
+    """Requests, their answers, then the whole chain: cache, answer, fixed text."""
+    lines, cache = inputs.log_lines(spark, sf_dir), inputs.resolution_cache(spark, sf_dir)
+    events, vulns = runs.resolved_incidents(lines, cache, _answers(spark, sf_dir))
+    keep = ["file_id", "line_no", "category_no", "entry_type", "signature", *enrich.RESOLUTION]
+    return events.select(*keep).unionByName(vulns.select(*keep))
+
+
+@query
+def answers_to_cache(spark, sf_dir):
+    """The cache after the answers are written back to it."""
+    answers = materialize(_answers(spark, sf_dir).select("signature", *enrich.RESOLUTION), "answers")
+    return enrich.cache_upsert(inputs.resolution_cache(spark, sf_dir), answers)
+
+
+@query
+def events_of_file(spark, sf_dir):
+    """E10 and E11 of one file."""
+    events, vulns = _resolved(spark, sf_dir)
+    first = events.agg(F.min("file_id")).first()[0]
+    listed = enrich.list_events(enrich.unified_events(events, vulns).withColumn("created_on", F.col("logged_on")), file_id=first)
+    attacks = enrich.list_vulns(vulns.withColumn("analyzed_on", F.col("logged_on")), file_id=first)
+    row = ["file_id", "line_no", "category_no", "entry_type"]
+    return listed.select(F.lit("event").alias("kind"), *row).unionByName(attacks.select(F.lit("vulnerability").alias("kind"), *row))
+
+
 @query
 def unified_events(spark, sf_dir):
     return enrich.unified_events(*_resolved(spark, sf_dir)).drop("logged_ts")

@@ -107,3 +107,13 @@ def test_listing_filters_and_orders(spark):
     assert enrich.list_events(events, file_id="f", entry_type="ERROR").count() == 1
     vulns = events.withColumns({"analyzed_on": F.col("created_on"), "vuln_type": F.lit("x")})
     assert enrich.list_vulns(vulns, vuln_type="x", severity="High").count() == 1
+
+
+def test_failed_calls_and_answers(spark):
+    """No response: an incident is for a person, an attack gets its fixed text; an answer beats the fixed text."""
+    rows = [("ERROR:x", None, None), ("SQL Injection (SQLi)", "SQL Injection (SQLi)", None), ("ERROR:y", None, "no json")]
+    read = enrich.parse_resolution_json(spark.createDataFrame(rows, "signature string, vuln_type string, response string"))
+    got = {r["signature"]: (r["severity"], r["summary"], r["solution"], r["reference_url"]) for r in read.collect()}
+    assert got["ERROR:x"] == dims.FAILED_CALL_RESOLUTION
+    assert got["SQL Injection (SQLi)"] == dims.FIXED_RESOLUTIONS["SQL Injection (SQLi)"]
+    assert got["ERROR:y"] == dims.DEFAULT_RESOLUTION
