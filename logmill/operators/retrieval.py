@@ -32,6 +32,81 @@ def chunk_text(docs: DataFrame, size: int = dims.CHUNK_CHARS, step: int = dims.C
     )
 
 
+def line_offsets(lines: DataFrame, block_lines: int = 4096) -> DataFrame:
+    """``lines(file_id, line_no, line)`` with ``start``, the place of a line's first character
+    in its file (from 0, one character for a line end), and ``total``, the file's characters
+    without a last line end.
+
+    Characters are summed by blocks of lines; sums over the blocks of a file give each block
+    its offset, and only a block's own lines are put in order, so a file of any size spreads.
+    """
+    size = F.length("line").cast("long") + 1
+    blocked = lines.withColumn("block", F.floor((F.col("line_no") - 1) / F.lit(block_lines)))
+    blocks = blocked.groupBy("file_id", "block").agg(F.sum(size).alias("chars"))
+    whole = Window.partitionBy("file_id")
+    before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select(
+        "file_id", "block", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("offset"),
+        (F.sum("chars").over(whole) - 1).alias("total"),
+    )
+    ahead = Window.partitionBy("file_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        blocked.join(materialize(offsets, "line-blocks"), ["file_id", "block"])
+        .withColumn("start", F.col("offset") + F.coalesce(F.sum(size).over(ahead), F.lit(0)))
+        .drop("block", "offset")
+    )
+
+
+def _joined(parts: DataFrame, *keys: str) -> DataFrame:
+    """The parts (start, part) of each key, in order, as one text."""
+    held = F.array_sort(F.collect_list(F.struct("start", "part")))
+    return parts.groupBy(*keys).agg(F.array_join(F.transform(held, lambda p: p["part"]), "").alias("text"))
+
+
+def chunk_lines(
+    lines: DataFrame, size: int = dims.CHUNK_CHARS, step: int = dims.CHUNK_STEP, block_lines: int = 4096
+) -> DataFrame:
+    """V1 for files of any size: the pieces that ``chunk_text`` cuts from the lines of a
+    file joined by line ends, made from lines that stay apart: each gives its part to the
+    pieces it reaches, and a piece gathers at most ``size`` characters."""
+    placed = line_offsets(lines, block_lines)
+    end = F.least(F.col("start") + F.length("line") + 1, F.col("total"))  # the last line has no line end
+    first = F.greatest(F.lit(0), F.floor((F.col("start") - size) / F.lit(step)) + 1)
+    last = F.least(F.floor((end - 1) / F.lit(step)), F.floor((F.col("total") - 1) / F.lit(step)))
+    begin = F.greatest(F.col("start"), F.col("chunk_index") * step)
+    stop = F.least(end, F.col("chunk_index") * step + size)
+    body = F.concat("line", F.lit("\n"))
+    parts = (
+        placed.where(F.col("total") > 0)
+        .withColumn("end", end).where(F.col("end") > F.col("start"))
+        .withColumn("chunk_index", F.explode(F.sequence(first, last)))
+        .select(
+            "file_id", F.col("chunk_index").cast("int").alias("chunk_index"), begin.alias("start"),
+            F.substr(body, (begin - F.col("start") + 1).cast("int"), (stop - begin).cast("int")).alias("part"),
+        )
+    )
+    return _joined(parts, "file_id", "chunk_index")
+
+
+def sample_lines(lines: DataFrame, chars: int = dims.SAMPLE_CHARS, block_lines: int = 4096) -> DataFrame:
+    """T7 for files of any size: (file_id, text), the first and last ``chars`` characters of
+    the lines of a file joined by line ends, or all of a file of up to twice as many."""
+    placed = line_offsets(lines, block_lines).withColumn("end", F.least(F.col("start") + F.length("line") + 1, F.col("total")))
+    body, total = F.concat("line", F.lit("\n")), F.col("total")
+    part = lambda a, b: F.struct(
+        a.alias("start"), F.substr(body, (a - F.col("start") + 1).cast("int"), (b - a).cast("int")).alias("part")
+    )
+    head_end = F.when(total > 2 * chars, F.lit(chars)).otherwise(total)
+    tail = F.when(total > 2 * chars, total - chars).otherwise(total)
+    start, end = F.col("start"), F.col("end")
+    both = F.array(
+        F.when(start < F.least(end, head_end), part(start, F.least(end, head_end))),
+        F.when(F.greatest(start, tail) < end, part(F.greatest(start, tail), end)),
+    )
+    found = placed.select("file_id", F.explode(F.array_compact(both)).alias("p")).select("file_id", "p.*")
+    return _joined(found, "file_id")
+
+
 def _docs(df: DataFrame, **fields: Column) -> DataFrame:
     return df.select(
         *[fields.get(n, F.lit(None).cast("string")).cast("string").alias(n) for n in DOC_FIELDS]

@@ -633,6 +633,10 @@ put("extract_http_errors", DOC_LINES, select=pattern_report("doc_lines", {"error
 CHUNKS = f"""chunks AS (SELECT file_id, i AS chunk_index, substring(text, i * {dims.CHUNK_STEP} + 1, {dims.CHUNK_CHARS}) AS text FROM (
   SELECT file_id, text, unnest(range((length(text) - 1) // {dims.CHUNK_STEP} + 1)) AS i FROM files WHERE length(text) > 0))"""
 put("chunk_text", FILES, CHUNKS, select="SELECT file_id, chunk_index, length(text) AS chars, md5(text) AS text_md5 FROM chunks")
+BODIES = "bodies AS (SELECT 'doc-' || doc_id AS file_id, CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END AS text FROM documents)"
+put("chunk_lines", BODIES, CHUNKS.replace("FROM files", "FROM bodies"), select="SELECT file_id, chunk_index, length(text) AS chars, md5(text) AS text_md5 FROM chunks")
+put("sample_lines", BODIES, select="""SELECT file_id, length(sample) AS chars, md5(sample) AS sample_md5 FROM (
+  SELECT file_id, CASE WHEN length(text) > 3000 THEN left(text, 1500) || right(text, 1500) ELSE text END AS sample FROM bodies WHERE length(text) > 0)""")
 INDEX = f"""docs AS (
   SELECT 'summaries' AS collection, 'summary_' || file_id AS id, file_id, path AS text, '-' AS level, '-' AS vuln_type, '-' AS severity, '-' AS category, '-' AS status, '-' AS reference_url, '-' AS timestamp FROM files
   UNION ALL SELECT 'chunks', 'chunk_' || file_id || '_' || chunk_index, file_id, text, '-', '-', '-', '-', '-', '-', '-' FROM chunks

@@ -847,6 +847,19 @@ def chunk_text(spark, sf_dir):
     )
 
 
+@query
+def chunk_lines(spark, sf_dir):
+    """The same pieces from lines, without a whole file in a row."""
+    found = retrieval.chunk_lines(inputs.doc_lines(spark, sf_dir), block_lines=16)
+    return found.select("file_id", "chunk_index", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
+
+
+@query
+def sample_lines(spark, sf_dir):
+    found = retrieval.sample_lines(inputs.doc_lines(spark, sf_dir), 1500, block_lines=16)
+    return found.select("file_id", F.length("text").alias("chars"), F.md5("text").alias("sample_md5"))
+
+
 @query
 def index_docs(spark, sf_dir):
     events, vulns = _resolved(spark, sf_dir)

@@ -14,6 +14,21 @@ def test_chunks(spark, length, starts):
     assert "".join(r["text"][:900] for r in rows[:-1]) + (rows[-1]["text"] if rows else "") == text
 
 
+@pytest.mark.parametrize("size, step, block_lines", [(1000, 900, 4096), (7, 5, 2), (10, 10, 3)])
+def test_pieces_from_lines_are_those_of_whole_texts(spark, size, step, block_lines):
+    rng = np.random.default_rng(size)
+    texts = ["", "\n", "a", "\n\n\nb", "é" * 40, "one\n\ntwo\n"] + [
+        "\n".join("w" * int(n) for n in rng.integers(0, 30, rng.integers(1, 40))) for _ in range(12)
+    ]
+    lines = [(f"f{i}", k, line) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n"), start=1)]
+    frame = spark.createDataFrame(lines, "file_id string, line_no long, line string").repartition(5)
+    whole = spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(texts)], "file_id string, text string")
+    found = {(r["file_id"], r["chunk_index"]): r["text"] for r in retrieval.chunk_lines(frame, size, step, block_lines).collect()}
+    assert found == {(r["file_id"], r["chunk_index"]): r["text"] for r in retrieval.chunk_text(whole, size, step).collect()}
+    sampled = {r["file_id"]: r["text"] for r in retrieval.sample_lines(frame, size, block_lines).collect()}
+    assert sampled == {f"f{i}": t if len(t) <= 2 * size else t[:size] + t[-size:] for i, t in enumerate(texts) if t}
+
+
 def unit(rng, n, dim=6):
     x = rng.normal(size=(n, dim))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
