@@ -27,6 +27,7 @@ their own; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -54,6 +55,10 @@ LATIN = re.compile("[a-zß-öø-ÿ]+")
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def byte_signs() -> dict[int, str]:
     """The sign that the tokenizer's byte level writes for each byte, from what it writes for letters."""
     level, signs = ByteLevel(add_prefix_space=False, use_regex=False), {}
@@ -87,10 +92,9 @@ class Encoder:
                 found = self._learn(word)
             else:
                 word = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
-                found = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+                found = packed([t.id for t in self.model.tokenize(word)])
         else:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-            found = np.array(ids, "<u4").tobytes()
+            found = packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
         self.known[chunk] = found
         return found
 
@@ -120,7 +124,7 @@ def encoder_of(data: str) -> Encoder:
 
 def _pieces(data: str, most: int, end: int, ids: bool):
     """Pieces of documents, numbered by length within the task."""
-    closing = np.array([end], "<u4").tobytes()
+    closing = packed([end])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen, part = encoder_of(data), Counter(), TaskContext.get().partitionId()
