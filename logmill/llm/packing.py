@@ -81,22 +81,23 @@ class Encoder:
         self.model, self.signs = self.tokenizer.model, byte_signs()
         self.known: dict[str, bytes] = {"": b""}
 
-    def _learn(self, chunk: str) -> bytes:
-        found = self.known.get(chunk)
-        if found is not None:
-            return found
-        if chunk[-1] in MARKS and len(chunk) > 1 and LATIN.fullmatch(chunk[:-1].lower()):
-            found = self._learn(chunk[:-1]) + self._learn(chunk[-1])
-        elif LATIN.fullmatch(word := chunk.lower()):
-            if word != chunk:
-                found = self._learn(word)
-            else:
-                word = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
-                found = packed([t.id for t in self.model.tokenize(word)])
-        else:
-            found = packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-        self.known[chunk] = found
-        return found
+    def _whole(self, chunk: str) -> bytes:
+        return packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+
+    def _learn(self, chunks: set[str]) -> None:
+        known, tokenize, is_word = self.known, self.model.tokenize, LATIN.fullmatch
+        marks = {mark: self._whole(mark) for mark in MARKS}
+        for chunk in chunks:
+            closed = chunk[-1] in marks
+            word = (chunk[:-1] if closed else chunk).lower()
+            if not is_word(word):
+                known[chunk] = self._whole(chunk)
+                continue
+            ids = known.get(word)
+            if ids is None:
+                signs = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
+                ids = known[word] = packed([t.id for t in tokenize(signs)])
+            known[chunk] = ids + marks[chunk[-1]] if closed else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = []
@@ -107,8 +108,7 @@ class Encoder:
         if len(self.known) > CACHED:
             self.known = {"": b""}
         new = set().union(*split).difference(self.known)
-        for chunk in new:
-            self._learn(chunk)
+        self._learn(new)
         found = [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
         for chunk in new:
             if len(chunk) > LONG:
