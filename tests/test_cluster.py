@@ -223,3 +223,36 @@ def test_label_of_links_is_order_free(spark):
     df = spark.createDataFrame([(3, 1), (1, 2), (5, 5)], "a long, b long")
     got = components.connected_components(df.orderBy(F.rand())).collect()
     assert {r["node"]: r["component"] for r in got} == {1: 1, 2: 1, 3: 1}
+
+
+@pytest.mark.parametrize("tight", [False, True])
+def test_vectors_that_no_index_parts_are_not_copied_to_every_tile(spark, tight):
+    """Unit vectors all about as far from each other, or a crowd within eps with visitors."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    eps = 0.85
+    if tight:
+        x, eps = np.vstack([x[0] + 0.01 * x[:300], x[0] + 0.6 * x[300:400], 5 * x[400:]]), 0.6
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point long, embedding array<double>").repartition(3)
+    square = (x * x).sum(axis=1)
+    near = square[:, None] + square[None, :] - 2 * (x @ x.T) <= eps * eps
+    tiles, _ = cluster.vector_tiles(df, eps, tile_rows=8)
+    assert tiles.count() < 8 * len(x)
+    links = [(r["a"], r["b"]) for r in cluster.vector_links(df, eps, tile_rows=8).collect()]
+    assert union(len(x), links) == union(len(x), [(int(a), int(b)) for a, b in zip(*np.where(near))])
+    assert len(set(union(len(x), links))) > 3
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e3, 1e-3, 1e20, 1e-20])
+def test_close_vectors_at_the_edge_of_eps(scale):
+    """Distances a little below, at and above eps, which single precision does not tell apart."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 5))
+    step = rng.normal(size=(300, 5))
+    step /= np.linalg.norm(step, axis=1)[:, None]
+    y = x + step * (0.5 * (1 + rng.choice([-1e-9, 1e-9], size=300)))[:, None]
+    x, y = x * scale, y * scale
+    got = {(int(i), int(j)) for a, b in cluster._close(x, y, 0.5 * scale) for i, j in zip(a, b)}
+    far = np.linalg.norm(x[:, None] - y[None], axis=2)
+    assert got == {(int(i), int(j)) for i, j in zip(*np.where(far <= 0.5 * scale))}
