@@ -151,3 +151,27 @@ def test_nothing_is_cut_unless_asked(spark):
     assert textfeat.doc_sample(docs(spark, "y" * 250_000)).first()["sample"] == "y" * 250_000
     short = textfeat.file_summary(docs(spark, "z" * 300), spark.createDataFrame([], "doc_id long, rank int, term string"), 200)
     assert len(short.first()["summary"]) == 200
+
+
+def shuffled(df):
+    """Exchanges that the plan of a DataFrame starts with."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+@pytest.mark.parametrize("k", [None, 3])
+def test_terms_of_single_rows_are_not_shuffled(spark, k):
+    texts = ["disk of the disk full disk", None, "", "log", "é é zz", "of the"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for found in (textfeat.term_counts(rows, k), textfeat.keyword_candidates(rows, k)):
+        assert shuffled(found) == 0
+    got = {(r["doc_id"], r["term"], r["n"]) for r in textfeat.term_counts(rows, k).collect()}
+    every = {(0, "disk", 3), (0, "disk disk", 1), (0, "disk full", 1), (0, "full", 1), (0, "full disk", 1), (3, "log", 1), (4, "zz", 1)}
+    assert got == (every if k is None else every - {(0, "full", 1), (0, "full disk", 1)})
+
+
+def test_rows_that_share_an_id_are_counted_together(spark):
+    rows = spark.createDataFrame(
+        [(1, "aa bb"), (1, "bb cc"), (2, "aa aa"), (None, "zz"), (None, "zz yy"), (3, "bb"), (3, None)], "doc_id long, text string"
+    ).repartition(3)
+    got = {(r["doc_id"], r["term"], r["n"]) for r in textfeat.term_counts(rows, 2).collect()}
+    assert got == {(1, "bb", 2), (1, "aa", 1), (2, "aa", 2), (2, "aa aa", 1), (None, "zz", 2), (None, "yy", 1), (3, "bb", 1)}
