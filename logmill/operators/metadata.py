@@ -197,9 +197,10 @@ def follow_names(master: DataFrame, starts: DataFrame) -> DataFrame:
     write = round_tables(master.sparkSession, "frontier")
     frontier, ends = write(starts.select("name", "id")), []
     while True:
+        # written, so that the planner knows how few names meet those on record
+        names = materialize(frontier.join(rows.where(named), "id").select("name", "id", "stored_filename"), "names")
         onward = (
-            frontier.join(rows.where(named), "id")
-            .join(later, "stored_filename")
+            names.join(later, "stored_filename")
             .where(F.col("next_id") > F.col("id"))
             .groupBy("name").agg(F.max("next_id").alias("next_id"))
         )

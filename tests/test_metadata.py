@@ -148,3 +148,25 @@ def test_listings_without_a_limit(spark):
     rows = [(f"f{i}", "o", "c", "Processed", i) for i in range(150)]
     master = spark.createDataFrame(rows, "file_id string, original_filename string, category string, status string, created_on int")
     assert metadata.list_files(master).count() == 150 and metadata.list_files(master, limit=7).count() == 7
+
+
+def test_one_name_never_shuffles_the_names_on_record(spark, tmp_path):
+    """Each step of a chain broadcasts the few names it has reached."""
+    rows = [(i, f"s-{i - 1}", f"s-{i}") for i in range(1, 5)] + [(100 + i, f"o-{i}", f"p-{i}") for i in range(40)]
+    spark.createDataFrame(rows, "id long, original_filename string, stored_filename string").write.parquet(str(tmp_path / "m"))
+    master = spark.read.parquet(str(tmp_path / "m"))
+    joins = []
+
+    def plan(df, name):
+        if name == "reached":
+            joins.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    plain = metadata.materialize
+    metadata.materialize = plan
+    try:
+        ends = metadata.follow_names(master, spark.createDataFrame([("a", 1), ("b", 105)], "name string, id long"))
+        assert {(r["name"], r["end_id"]) for r in ends.collect()} == {("a", 4), ("b", 105)}
+    finally:
+        metadata.materialize = plain
+    assert len(joins) == 4 and not any("SortMergeJoin" in j for j in joins)
