@@ -1,10 +1,10 @@
 """A data source that lists files, also those that Spark's file readers leave out.
 
 Planning expands folders level by level until there are enough of them (``FOLDERS``) or
-the tree ends; each folder is then a partition, whose task lists it, and all below it where
-planning went no deeper. So the files of a tree are never in one place, and no file is
-opened. Any store that pyarrow reaches can be listed (local and shared folders, object
-stores, HDFS with its client library).
+the tree ends. Those of the last level are dealt to at most ``FOLDERS`` partitions, whose
+tasks list them and all below them; each folder above is a partition of its own. So the
+files of a tree are never in one place, and no file is opened. Any store that pyarrow
+reaches can be listed (local and shared folders, object stores, HDFS with its client library).
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ def entries(store: fs.FileSystem, folder: str) -> list[fs.FileInfo]:
 
 
 @dataclass
-class Folder(InputPartition):
-    path: str
+class Folders(InputPartition):
+    paths: list[str]
     below: bool
 
 
@@ -43,19 +43,20 @@ class FolderReader(DataSourceReader):
     def __init__(self, path: str, recursive: bool) -> None:
         self.path, self.recursive = path, recursive
 
-    def partitions(self) -> list[Folder]:
+    def partitions(self) -> list[Folders]:
         store, root, _ = store_of(self.path)
         if not self.recursive:
-            return [Folder(root, False)]
+            return [Folders([root], False)]
         listed, level = [], [root]
         while level and len(listed) + len(level) < FOLDERS:
             listed += level
             level = [e.path for folder in level for e in entries(store, folder) if e.type == fs.FileType.Directory]
-        return [*(Folder(f, False) for f in listed), *(Folder(f, True) for f in level)]
+        dealt = [level[i::FOLDERS] for i in range(min(FOLDERS, len(level)))]
+        return [*(Folders([f], False) for f in listed), *(Folders(part, True) for part in dealt)]
 
-    def read(self, partition: Folder) -> Iterator[tuple]:
+    def read(self, partition: Folders) -> Iterator[tuple]:
         store, _, before = store_of(self.path)
-        folders = [partition.path]
+        folders = list(partition.paths)
         while folders:
             for entry in entries(store, folders.pop()):
                 if entry.type == fs.FileType.File:

@@ -210,3 +210,14 @@ def test_scratch_is_under_the_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(shared_dir(spark))
     df = materialize(spark.range(3), "range")
     assert df.count() == 3 and all(shared_dir(spark) in f for f in df.inputFiles())
+
+
+def test_many_folders_are_dealt_to_few_partitions(tmp_path, monkeypatch):
+    monkeypatch.setattr(folders, "FOLDERS", 4)
+    for i in range(30):
+        (tmp_path / f"f{i}" / "in").mkdir(parents=True)
+        (tmp_path / f"f{i}" / "in" / f"{i}.log").write_text("x")
+    reader = folders.FolderReader(str(tmp_path), True)
+    parts = reader.partitions()
+    assert len(parts) == 5
+    assert sorted(r[1] for p in parts for r in reader.read(p)) == sorted(f"{i}.log" for i in range(30))
