@@ -256,3 +256,12 @@ def test_close_vectors_at_the_edge_of_eps(scale):
     got = {(int(i), int(j)) for a, b in cluster._close(x, y, 0.5 * scale) for i, j in zip(a, b)}
     far = np.linalg.norm(x[:, None] - y[None], axis=2)
     assert got == {(int(i), int(j)) for i, j in zip(*np.where(far <= 0.5 * scale))}
+
+
+def test_lines_are_cleaned_once(spark, sf_dir):
+    """What the steps of the template clustering read is written, not rendered and cleaned anew."""
+    from logmill.plans import queries
+
+    rows, labels = queries._template_labels(spark, sf_dir)
+    for df in (rows, labels, queries._clustered(spark, sf_dir)):
+        assert "regexp_replace" not in df._jdf.queryExecution().executedPlan().toString()
