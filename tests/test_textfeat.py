@@ -175,3 +175,25 @@ def test_rows_that_share_an_id_are_counted_together(spark):
     ).repartition(3)
     got = {(r["doc_id"], r["term"], r["n"]) for r in textfeat.term_counts(rows, 2).collect()}
     assert got == {(1, "bb", 2), (1, "aa", 1), (2, "aa", 2), (2, "aa aa", 1), (None, "zz", 2), (None, "yy", 1), (3, "bb", 1)}
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_keyword_choice_across_batches(spark, batch):
+    """Documents that end within, at and after a batch; ids and vectors that have no partner."""
+    rng = np.random.default_rng(7)
+    terms = [(i, f"t{i}{j}", rng.normal(size=3).tolist()) for i in (1, 2, 4, 5, None) for j in range(1 + 3 * (i or 2) % 8)]
+    own = {i: rng.normal(size=3).tolist() for i in (1, 2, 3, 5, None)}
+    kind = "embedding array<double>"
+    candidates = spark.createDataFrame(terms, f"doc_id long, term string, {kind}").repartition(3)
+    vectors = spark.createDataFrame(list(own.items()), f"doc_id long, {kind}")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    df = textfeat.mmr_keywords(candidates, vectors, top_n=4)
+    got = {(r["doc_id"], r["rank"]): r["term"] for r in df.collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = {}
+    for i in (1, 2, 5, None):
+        mine = sorted((t, v) for d, t, v in terms if d == i)
+        for rank, p in enumerate(textfeat._pick(np.array(own[i]), np.array([v for _, v in mine]), 4, 0.5), 1):
+            expected[i, rank] = mine[p][0]
+    assert got == expected
+    assert "InPandas" not in df._jdf.queryExecution().executedPlan().toString()
