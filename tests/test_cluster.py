@@ -265,3 +265,14 @@ def test_lines_are_cleaned_once(spark, sf_dir):
     rows, labels = queries._template_labels(spark, sf_dir)
     for df in (rows, labels, queries._clustered(spark, sf_dir)):
         assert "regexp_replace" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_lists_are_copied_to_few_blocks(spark):
+    """A list of 3,000 rests met in blocks of 1,024 rows would be sent three times over."""
+    rng = np.random.default_rng(11)
+    rows = [(i, [("aa", 0.8), ("bb", float(w)), ("cc", float((0.36 - w * w) ** 0.5))]) for i, w in enumerate(rng.uniform(0.01, 0.59, 3000))]
+    points = spark.createDataFrame(rows, "point long, terms array<struct<term:string,weight:double>>")
+    tiles = cluster.line_tiles(points, 0.755)
+    assert tiles.groupBy("key", "point").count().where("count > 1").isEmpty()
+    links = [(r["a"], r["b"]) for r in cluster.line_links(points, 0.7).collect()]
+    assert len(links) < 2 * 3000 and set(union(3000, links)) == {0}
