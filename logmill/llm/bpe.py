@@ -4,7 +4,7 @@ Words are what the public splitting pattern matches. Each task reads its texts i
 blocks of about ``BLOCK`` bytes; a block gives its distinct words, numbered and packed
 by their hash, and its texts as word numbers. The packs of all blocks meet by hash, and
 Spark higher-order functions fold the ranked merges over the bytes of each distinct
-word once (``fold_merges``, with the ranks as a literal); the ids go back to the blocks. A task then puts a
+word once (``fold_merges``, with the ranks from a subquery); the ids go back to the blocks. A task then puts a
 block's numbers and ids together and decodes by concatenating the binary pieces of
 the ids. So merges are worked out once for each distinct word of the corpus, texts
 move only as compressed word numbers, and a task holds one block, or the distinct words
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
 import sys
 import zlib
 from collections.abc import Iterator
@@ -31,7 +30,7 @@ from unicodedata import category
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -56,19 +55,21 @@ def _sign(number: int) -> str:
     return chr(FIRST_SIGN + number)
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one literal: which id, as a sign, two adjacent ids merge into. It is
-    an array of small maps, the place of a pair given by its hash, so that a look-up
-    compares one or two keys."""
-    maps: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+def rank_maps(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+    """Which id, as a sign, two adjacent ids merge into: an array of small maps, the place
+    of a pair given by its hash, so that a look-up compares one or two keys.
+
+    It is a subquery on a table of one row. A literal would be written out, with all its
+    pairs, in every description of every plan that the driver keeps or sends to listeners."""
+    maps: list[list[tuple[str, str]]] = [[] for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
         for cut in range(1, len(piece)):
             left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if left is not None and right is not None:
                 pair = _sign(left) + _sign(right)
-                maps[xxhash.xxh64_intdigest(pair.encode(), 42) % BUCKETS][pair] = _sign(rank)
-    text = json.dumps(maps, separators=(",", ":"), ensure_ascii=False)
-    return F.from_json(F.lit(text), "array<map<string,string>>")
+                maps[xxhash.xxh64_intdigest(pair.encode(), 42) % BUCKETS].append((pair, _sign(rank)))
+    column = pa.array([maps], pa.list_(pa.map_(pa.string(), pa.string())))
+    return spark.createDataFrame(pa.table({"maps": column})).scalar()
 
 
 def _let(value: Column, use) -> Column:
@@ -76,7 +77,7 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def fold_merges(word: Column, ranks: dict[bytes, int], literal: Column) -> Column:
+def fold_merges(word: Column, ranks: dict[bytes, int], maps: Column) -> Column:
     """The ids of a word: its bytes, with the adjacent pair of least rank merged (the
     leftmost of equals) until no pair has a rank.
 
@@ -124,7 +125,7 @@ def fold_merges(word: Column, ranks: dict[bytes, int], literal: Column) -> Colum
 
     name = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
     signs = "".join(_sign(ranks[bytes([b])]) for b in range(256))
-    folded = F.transform(F.split(_let(literal, fold), ""), lambda sign: F.ascii(sign) - FIRST_SIGN)
+    folded = F.transform(F.split(_let(maps, fold), ""), lambda sign: F.ascii(sign) - FIRST_SIGN)
     return F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(folded)
 
 
@@ -388,9 +389,9 @@ def encode_texts(docs: DataFrame, rank_path: str, columns: tuple[str, ...] = ("i
     distinct = step(
         packs.repartition(tasks, "bucket"), _distinct_words, "word string, block long, numbers binary, picks binary"
     )
-    folded = distinct.withColumn(
-        "ids", F.when(F.col("word").isNotNull(), fold_merges(F.col("word"), ranks, rank_literal(ranks)))
-    )
+    ids = F.when(F.col("word").isNotNull(), fold_merges(F.col("word"), ranks, F.col("maps")))
+    # used once, so the optimizer puts the subquery in its place and no row carries the maps
+    folded = distinct.withColumn("maps", rank_maps(spark, ranks)).select(*distinct.columns, ids.alias("ids"))
     words = step(folded, _id_packs, "block long, numbers binary, sizes binary, ids binary", own_ids(ranks))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:

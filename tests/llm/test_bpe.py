@@ -52,6 +52,12 @@ def test_digests(spark, encoding):
     assert bpe.encode_texts(documents(spark, []), rank_path()).count() == 0
 
 
+def test_plans_do_not_hold_the_ranks(spark):
+    plans = bpe.encode_texts(documents(spark, ROWS), rank_path())._jdf.queryExecution()
+    assert len(plans.toString()) < 100_000
+    assert " AS maps#" not in plans.optimizedPlan().toString()  # nor do rows
+
+
 def test_packing():
     values = np.array([0, 1, 255, 256, 70_000, 2**31])
     assert bpe.unpack(bpe.pack(values)).tolist() == values.tolist()
