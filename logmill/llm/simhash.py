@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logmill.llm.common import column, unused_name
+from logmill.llm.packs import tidy
 from logmill.operators.components import connected_components
 from logmill.session import materialize
 
@@ -104,7 +105,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(hash_batch, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(hash_batch), f"doc_id {kind}, fp long")
 
 
 def _forest(members: np.ndarray) -> np.ndarray:
@@ -146,7 +147,7 @@ def _lists(postings: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
     """Edges within the lists of at most ``crowd`` members, and the rows of the others."""
     sized = postings.withColumn("n", F.count("*").over(Window.partitionBy("set", "key"))).where("n > 1")
     few = sized.where(F.col("n") <= crowd).groupBy("set", "key").agg(F.collect_list("fp").alias("members"))
-    return few.select("members").mapInArrow(_verify, "a long, b long"), sized.where(F.col("n") > crowd)
+    return few.select("members").mapInArrow(tidy(_verify), "a long, b long"), sized.where(F.col("n") > crowd)
 
 
 def fingerprint_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:

@@ -139,7 +139,7 @@ def fit_toxicity(
     spark = docs.sparkSession
     sample = texts_of(docs, labelled_rows(labels, "toxic", fit_rows))
     counts = (
-        sample.mapInArrow(_count_grams, "bucket int, ones long, n long")
+        sample.mapInArrow(tidy(_count_grams), "bucket int, ones long, n long")
         .groupBy("bucket")
         .agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"))
     )
@@ -153,7 +153,7 @@ def fit_toxicity(
                 [batch.column("label"), pa.array(grams, pa.list_(pa.int32()))], ["label", "grams"]
             )
 
-    got = sample.mapInArrow(features, "label int, grams array<int>").toArrow()
+    got = sample.mapInArrow(tidy(features), "label int, grams array<int>").toArrow()
     labels_ = got.column("label").to_numpy().astype(np.float64)
     if len(labels_) == 0 or labels_.min() == labels_.max():
         share = min(max(labels_.mean() if len(labels_) else 0.5, 1e-6), 1 - 1e-6)
