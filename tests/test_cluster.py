@@ -276,3 +276,34 @@ def test_long_lists_are_copied_to_few_blocks(spark):
     assert tiles.groupBy("key", "point").count().where("count > 1").isEmpty()
     links = [(r["a"], r["b"]) for r in cluster.line_links(points, 0.7).collect()]
     assert len(links) < 2 * 3000 and set(union(3000, links)) == {0}
+
+
+@pytest.mark.parametrize("fold, two", [(4, False), (64, False), (8, True)])
+def test_sets_of_a_list_against_all_products(monkeypatch, fold, two):
+    """Short and long vectors, many strips, folded terms that fall together, one side or two."""
+    for name, value in (("STRIP_ROWS", 16), ("CELLS", 1 << 11), ("FOLD", fold), ("SLICE_ROWS", 50)):
+        monkeypatch.setattr(cluster, name, value)
+    rng = np.random.default_rng(12)
+    x = np.zeros((400, 30))
+    for row in x:
+        row[rng.choice(30, size=rng.integers(1, 13), replace=False)] = 1
+    x *= rng.uniform(0.5, 2, size=x.shape)
+    x[300:350] = x[200:250] * rng.uniform(0.8, 1.2, size=(50, 30))  # near copies of long ones
+    x *= (rng.uniform(0.76, 1, size=400) / np.linalg.norm(x, axis=1))[:, None]
+    side = (rng.random(400) < 0.3) if two else np.zeros(400, bool)
+    row, column = np.nonzero(x)
+    start = np.concatenate([[0], np.cumsum((x > 0).sum(axis=1))])
+    root = cluster._connected(start, column, x[row, column], side, 0.72)
+    near = (x @ x.T >= 0.72) & ((side[:, None] != side[None]) | (not two))
+    pairs = [(int(a), int(b)) for a, b in zip(*np.where(near))]
+    assert root.tolist() == union(400, pairs)
+    assert len(set(root.tolist())) > 20
+
+
+def test_lists_of_many_thousands_are_not_copied(spark):
+    """A list of 9,000 rests was cut into two blocks, and each row was sent twice."""
+    weights = np.random.default_rng(13).uniform(0.01, 0.59, 9000)
+    rows = [(i, [("aa", 0.8), ("bb", float(w)), ("cc", float((0.36 - w * w) ** 0.5))]) for i, w in enumerate(weights)]
+    points = spark.createDataFrame(rows, "point long, terms array<struct<term:string,weight:double>>")
+    tiles = cluster.line_tiles(points, 0.755)
+    assert tiles.groupBy("key", "point").count().where("count > 1").isEmpty()
